@@ -1,0 +1,160 @@
+"""Percentiles of very large columns, from mergeable summaries and exact bisection.
+
+A summary counts the values of each group by code: the sign, binary exponent and leading SECTION bits of
+the value, an order-preserving code of bounded range. Summaries of parts (files, days, acquisitions) add
+up. Bisection keeps an interval per group, percentile and target rank, counts the rows below the midpoints
+in each pass and narrows until the rank is resolved: first on the summary, which fixes each target value
+within a relative error of 2**-SECTION, then, for the exact value, on the rows that fall into the codes so
+found. Both read the column once; the passes between run over the small tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from trackloom.session import written
+
+SECTION = 8
+_LOWEST = 1100  # above the largest negative binary exponent of a double
+
+
+def value_code(v: Column) -> Column:
+    """Non-decreasing in v, equal only for values within 2**-SECTION of each other (relatively)."""
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    # the mantissa is taken after scaling so that neither tiny nor huge values overflow
+    half = F.floor(exponent / 2)
+    mantissa = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half)
+    inner = (exponent + _LOWEST) * (1 << SECTION) + F.floor((mantissa - 1) * (1 << SECTION))
+    code = F.when(size == float("inf"), F.lit(float(1 << 30))).otherwise(inner.cast("double"))
+    return F.when(v == 0, F.lit(0.0)).when(v > 0, code).otherwise(-code)
+
+
+def summarise(df: DataFrame, value: str, groups: Sequence[str], parts: Sequence[str] = ()) -> DataFrame:
+    """(groups, parts, code, n): the mergeable summary of the non-missing values, with map-side combine.
+    At most 2 * 2**SECTION rows per binary exponent that occurs in a group and part."""
+    v = F.col(value).cast("double")
+    return (
+        df.where(v.isNotNull() & ~F.isnan(v))
+        .groupBy(*groups, *parts, value_code(v).alias("code"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def combine(*summaries: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Add summaries of separate parts up to one per group."""
+    every = reduce(DataFrame.unionByName, [s.select(*groups, "code", "n") for s in summaries])
+    return every.groupBy(*groups, "code").agg(F.sum("n").alias("n"))
+
+
+def targets(summary: DataFrame, groups: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
+    """(groups, p, side, rank): the 0-based ranks between which each percentile interpolates linearly."""
+    rank = F.col("p") * (F.col("rows") - 1)
+    return (
+        summary.groupBy(*groups)
+        .agg(F.sum("n").alias("rows"))
+        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
+        .withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        .select(
+            *groups, "rows", "p", "side", F.when(F.col("side") == 0, F.floor(rank)).otherwise(F.ceil(rank)).cast("long").alias("rank")
+        )
+    )
+
+
+def bisect(counted: DataFrame, goals: DataFrame, keys: Sequence[str], sections: int = 16) -> DataFrame:
+    """Resolve goals (keys, goal, rank) against counted (keys, x, n): (keys, goal, x, below), the value of
+    each rank and the number of rows before it.
+
+    Every pass splits the open intervals at sections - 1 midpoints (2 sections: plain bisection), counts the
+    rows in each part and goes on with the part that holds the rank, shrunk to its smallest and largest
+    value; an interval of one value is resolved. Parts of the value range hold finite spans, so each pass
+    divides an interval's span by `sections`; spans of very different magnitude close in because the
+    interval shrinks to values that occur.
+    """
+    edges = counted.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    state = written(goals.join(edges, list(keys)).withColumn("below", F.lit(0).cast("long")))
+    done: list[DataFrame] = []
+    by_goal = Window.partitionBy(*keys, "goal").orderBy("part")
+    while True:
+        done.append(state.where("lo = hi").select(*keys, "goal", F.col("lo").alias("x"), "below"))
+        still = state.where("lo < hi")
+        if still.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        # an infinite end is a part of its own, as no midpoint lies before it
+        low = F.greatest("lo", F.lit(-1.7e308))
+        high = F.least("hi", F.lit(1.7e308))
+        width = high / sections - low / sections
+        part = (
+            F.when(F.col("x") <= low, 0)
+            .when(F.col("x") >= high, sections - 1)
+            .when(width == 0, F.lit(0))
+            .otherwise(F.least(F.lit(sections - 1), F.floor(F.col("x") / width - low / width)))
+        )
+        seen = (
+            counted.join(still, list(keys))
+            .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+            .withColumn("part", part.cast("int"))
+            .groupBy(*keys, "goal", "rank", "below", "part")
+            .agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .withColumn("upto", F.col("below") + F.sum("n").over(by_goal))
+            .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        )
+        state = written(seen.select(*keys, "goal", "rank", (F.col("upto") - F.col("n")).alias("below"), "lo", "hi"))
+
+
+def percentiles(df: DataFrame, value: str, groups: Sequence[str], ps: Sequence[float], summary: DataFrame | None = None) -> DataFrame:
+    """(groups, p, n, percentile): exact percentiles of the non-missing values with linear interpolation.
+
+    Null and NaN values are missing; groups without values give no row; null group keys form a group of
+    their own. Ties and repeated rows count as often as they occur. An empty table gives an empty result.
+    Infinite values sort at the ends; an interpolation between values of which one is infinite gives that
+    infinity. Columns of other names are ignored; the names p, n and code must not be group columns.
+
+    summary: a combined summary of exactly these rows, if there is one; else it is made here. A group that
+    holds most rows is one group of summary rows only: the exact pass works on rows of the resolved codes,
+    combined to one row per distinct value before any shuffle.
+    """
+    # null keys join only null-safely, so a struct key stands in for the groups
+    key = F.struct(*[F.col(g) for g in groups])
+    keyed = df.withColumn("_key", F.to_json(key, {"ignoreNullFields": "false"}))
+    v = F.col(value).cast("double")
+    if summary is None:
+        summary = summarise(keyed, value, ["_key"])
+    else:
+        summary = summary.withColumn("_key", F.to_json(key, {"ignoreNullFields": "false"}))
+    total = written(summary.groupBy("_key", "code").agg(F.sum("n").alias("n")))
+    wanted = targets(total, ["_key"], ps).withColumn("goal", F.concat_ws("/", F.col("p").cast("string"), F.col("side").cast("string")))
+    wanted = written(wanted)
+    coarse = written(bisect(total.withColumnRenamed("code", "x"), wanted.select("_key", "goal", "rank"), ["_key"]))
+    codes = coarse.select("_key", F.col("x").alias("code")).distinct()
+    fine = written(
+        keyed.where(v.isNotNull() & ~F.isnan(v))
+        .select("_key", v.alias("x"), value_code(v).alias("code"))
+        .join(F.broadcast(codes) if _small(codes) else codes, ["_key", "code"])
+        .groupBy("_key", "code", "x")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    inner = (
+        coarse.withColumnRenamed("x", "code")
+        .join(wanted, ["_key", "goal"])
+        .select("_key", "code", "goal", (F.col("rank") - F.col("below")).alias("rank"))
+    )
+    exact = bisect(fine, inner, ["_key", "code"]).select("_key", "goal", "x")
+    found = wanted.join(exact, ["_key", "goal"])
+    fraction = F.col("p") * (F.max("rows") - 1) - F.min("rank")
+    low, high = F.max(F.when(F.col("side") == 0, F.col("x"))), F.max(F.when(F.col("side") == 1, F.col("x")))
+    between = F.when(low == high, low).otherwise(low * (1 - fraction) + high * fraction)
+    answer = found.groupBy("_key", "p").agg(F.max("rows").alias("n"), between.alias("percentile"))
+    kinds = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in groups)
+    return answer.select(F.from_json("_key", kinds).alias("_g"), "p", "n", "percentile").select(
+        *[F.col(f"_g.{g}").alias(g) for g in groups], "p", "n", "percentile"
+    )
+
+
+def _small(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether df has at most so many rows, read only as far as needed to tell."""
+    return df.limit(rows + 1).count() <= rows
