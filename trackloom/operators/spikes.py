@@ -149,7 +149,7 @@ def _examine(pdf: pd.DataFrame, positions: Sequence[str], time: str | None) -> p
             own = np.flatnonzero(s == b)
             put(rows[own[_out_of_order(t[own])]], time, "time_order")
     if not parts:
-        return pd.DataFrame({"bundle_id": [], "frame": pd.Series([], dtype="int64"), "field": [], "kind": []})
+        return pd.DataFrame({c: pd.Series([], dtype="int64" if c == "frame" else object) for c in ("bundle_id", "frame", "field", "kind")})
     return pd.concat(parts, ignore_index=True)
 
 
