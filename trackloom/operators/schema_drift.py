@@ -48,6 +48,7 @@ def _plain(v) -> tuple[str | None, str | None]:
     if isinstance(v, int):
         return "long", str(v)
     if isinstance(v, str):
+        v = _sound(v)
         low = v.strip().lower()
         if low in ("true", "false"):
             return "string", "1" if low == "true" else "0"
@@ -55,6 +56,15 @@ def _plain(v) -> tuple[str | None, str | None]:
     return "string", json.dumps(v, sort_keys=True)
 
 
+def _sound(s: str) -> str:
+    """Half surrogate pairs, which JSON escapes can spell but no text column can hold, as replacement characters."""
+    try:
+        s.encode()
+        return s
+    except UnicodeEncodeError:
+        return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _leaves(v: dict, path: str = "") -> Iterator[tuple[str, object]]:
     for k, x in v.items():
         if isinstance(x, dict) and x:
@@ -86,7 +96,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
                     continue
                 if not isinstance(record, dict):
                     continue
-                leaves = {k: _plain(v) for k, v in _leaves(record)}
+                leaves = {_sound(k): _plain(v) for k, v in _leaves(record)}
                 keep.append(i)
                 ids.append(leaves.pop(KEYS[0], (None, None))[1])
                 frames.append(leaves.pop(KEYS[1], (None, None))[1])
