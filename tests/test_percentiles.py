@@ -1,0 +1,56 @@
+import math
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trackloom.operators.percentiles import combine, percentiles, summarise
+
+PS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+
+
+def check(spark, rows, ps=PS):
+    df = spark.createDataFrame(rows, "g string, h double, v double, rank string, goal int")
+    got = {(r.g, r.h, r.p): (r.n, r.percentile) for r in percentiles(df, "v", ["g", "h"], ps).collect()}
+    want = {}
+    for g, h in {(r[0], r[1]) for r in rows}:
+        v = [r[2] for r in rows if (r[0], r[1]) == (g, h) and r[2] is not None and not math.isnan(r[2])]
+        for p in ps if v else []:
+            want[g, h, p] = (len(v), float(np.quantile(v, p)))
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], rel_tol=1e-12, abs_tol=1e-300), (k, got[k], want[k])
+
+
+def test_groups_ties_nulls_and_sizes(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", 1.0, float(v), "", 0) for v in rng.lognormal(0, 12, 300)] + [("a", None, float(v), "", 0) for v in rng.integers(-3, 3, 200)]
+    rows += [(None, 2.0, 7.0, "", 0)] * 5 + [("b", 1.0, None, "", 0), ("b", 1.0, float("nan"), "", 0), ("c", 1.0, -0.0, "", 0), ("c", 1.0, 1e-300, "", 0), ("c", 1.0, -1e300, "", 0), ("c", 1.0, 5e-324, "", 0)]
+    check(spark, rows)
+
+
+def test_empty(spark):
+    check(spark, [])
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False, min_value=-1e300, max_value=1e300), min_size=1, max_size=40))
+def test_any_values(spark, values):
+    check(spark, [("a", 1.0, v, "", 0) for v in values], [0.0, 0.5, 1.0])
+
+
+def test_infinite_values_sort_at_the_ends(spark):
+    df = spark.createDataFrame([("a", v) for v in (float("-inf"), 1.0, 2.0, float("inf"), float("inf"))], "g string, v double")
+    got = {r.p: r.percentile for r in percentiles(df, "v", ["g"], [0.0, 0.5, 1.0]).collect()}
+    assert got == {0.0: float("-inf"), 0.5: 2.0, 1.0: float("inf")}
+
+
+def test_summaries_of_parts_combine(spark):
+    rows = [("a", f"day{i % 3}", float(i % 17) * 1.37) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, day string, v double")
+    parts = [summarise(df.where(f"day = 'day{i}'"), "v", ["g"]) for i in range(3)]
+    whole = {tuple(r) for r in summarise(df, "v", ["g"]).select("g", "code", "n").collect()}
+    assert {tuple(r) for r in combine(*parts, groups=["g"]).select("g", "code", "n").collect()} == whole
+    a = percentiles(df, "v", ["g"], PS).collect()
+    b = percentiles(df, "v", ["g"], PS, summary=combine(*parts, groups=["g"])).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))

@@ -102,8 +102,10 @@ def parse_records(raw: DataFrame) -> DataFrame:
                 frames.append(leaves.pop(KEYS[1], (None, None))[1])
                 types.append({k: t for k, (t, _) in leaves.items()})
                 values.append({k: v for k, (_, v) in leaves.items()})
-            out = pdf.iloc[keep].drop(columns="payload")
-            yield out.assign(bundle_id=ids, frame=frames, types=types, values=values)
+            out = pdf.iloc[keep].drop(columns="payload").reset_index(drop=True)
+            if len(out):
+                text = {"bundle_id": ids, "frame": frames, "types": types, "values": values}
+                yield out.assign(**{k: pd.Series(v, dtype=object) for k, v in text.items()})
 
     columns = ["feed_id", "file_id", "table_name", "exported_at", "line_no"]
     kinds = dict(raw.dtypes)
@@ -165,13 +167,19 @@ def _size(node) -> int:
 
 def _edit(old, new, proven: set) -> tuple[float, list]:
     """Cost and script between the children of two nodes; subtrees map to subtrees (constrained tree edit
-    distance): equal names are kept, the others are assigned at minimum cost."""
-    cost, script = 0.0, []
+    distance): equal names are kept, the others are assigned at minimum cost. A field of equal name whose
+    path differs lies below a renamed object, which has been paid for; it too needs its proof."""
+    cost, script, settled = 0.0, [], set()
     for name in old.keys() & new.keys():
+        x, y = old[name], new[name]
         if name[1] == "object":
-            c, s = _edit(old[name], new[name], proven)
+            c, s = _edit(x, y, proven)
             cost, script = cost + c, script + s
-    a, b = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
+            settled.add(name)
+        elif x == y or (x, y) in proven:
+            script += [("renamed", x, y)] if x != y else []
+            settled.add(name)
+    a, b = sorted(old.keys() - settled), sorted(new.keys() - settled)
     n = len(a) + len(b)
     table, ways = [[0.0] * n for _ in range(n)], {}
     for i in range(n):
