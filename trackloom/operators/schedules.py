@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.contracts import present
 from trackloom.operators import lags, points
+from trackloom.session import written
 
 PAPER_DELTAS = (1, 2, 4, 8)
 
@@ -63,7 +64,7 @@ def unit_curves(frames: DataFrame, clock: DataFrame, min_pairs: int = 8) -> Data
     value, raw_value, sd, pair_count, normalization."""
     one, two = points.site_points(frames), points.paired_points(frames)
     deltas = delta_family(matched_delta(clock))
-    v = lags.velocities(one, deltas)
+    v = written(lags.velocities(one, deltas))  # both correlations join it with itself
     columns = ["metric", "unit_id", "site", "direction", "delta", "lag", "lag_s_median", "delta_s_median", "value", "raw_value", "sd", "pair_count", "normalization"]
 
     def shape(df: DataFrame, metric: str) -> DataFrame:

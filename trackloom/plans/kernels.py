@@ -16,7 +16,8 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
-    return points.site_points(frames(spark, d))
+    """Cleaned once: the self-joins read both their sides from it."""
+    return points.site_points(written(frames(spark, d)))
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -28,7 +29,7 @@ def k_msd(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k_mscd(spark: SparkSession, d: str) -> DataFrame:
-    return _round(lags.mean_squared_displacement(points.paired_points(frames(spark, d))))
+    return _round(lags.mean_squared_displacement(points.paired_points(written(frames(spark, d)))))
 
 
 def k_velocity(spark: SparkSession, d: str) -> DataFrame:
