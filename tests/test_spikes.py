@@ -22,7 +22,7 @@ def found(spark, rows, limit=1000.0):
 
 def walk(n=40):
     rng = np.random.default_rng(5)
-    return list(500 + np.cumsum(rng.choice([-1.0, 1.0, 1.5], n)))
+    return (500 + np.cumsum(rng.choice([-1.0, 1.0, 1.5], n))).tolist()
 
 
 def test_spike_returns_and_level_shift_stays(spark):

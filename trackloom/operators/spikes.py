@@ -82,7 +82,7 @@ def _outliers(
                 stays[start[back]] = False
         fresh = found & ~ao
         ao |= found
-        shift = stays & ~ao
+        shift = stays & ~ao & ~np.r_[False, ao[:-1]]  # the way back from an outlier is no shift
         if not fresh.any():
             return ao, shift
         keep &= ~fresh
