@@ -127,3 +127,15 @@ def test_pair_modes_and_energy(spark):
 def test_empty_tables(spark):
     none = pts(spark, [], [])
     assert lags.mean_squared_displacement(none).count() == 0 and lags.turning_angles(lags.velocities(none)).count() == 0
+
+
+def test_dense_arrays_give_the_curves_of_the_joins(spark, data):
+    own = points.bundle_frames(spark.read.parquet(f"{data}/frame_table.parquet"), spark.read.parquet(f"{data}/acquisition_index.parquet")).persist()
+    clock = points.acquisition_clock(spark.read.parquet(f"{data}/frame_table.parquet"))
+    keys = ["metric", "unit_id", "site", "direction", "delta", "lag"]
+    a, b = (by(f(own, clock), *keys) for f in (schedules.unit_curves, schedules.unit_curves_by_joins))
+    assert a.keys() == b.keys() and len(a) > 5000 and {k[0] for k in a} == {"msd", "mscd", "vac", "vcc"}
+    for k in a:
+        for c in ("value", "raw_value", "sd", "lag_s_median", "delta_s_median", "normalization"):
+            assert (a[k][c] is None) == (b[k][c] is None) and (a[k][c] is None or a[k][c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-12)), (k, c)
+        assert (a[k].pair_count, a[k].is_primary, a[k].hour, a[k].nd2_id) == (b[k].pair_count, b[k].is_primary, b[k].hour, b[k].nd2_id)

@@ -115,9 +115,10 @@ def regular_grid(
         )
     )
     matrix = written(gathered)
-    sizes = {r["group_id"]: r["last_slot"] + 1 for r in clocks.select("group_id", "last_slot").distinct().limit(1_000_000).toLocalIterator()}
-    if sum(sizes.values()) * rank * len(series) > MAX_FACTOR_CELLS:
+    periods = clocks.agg(F.sum(F.col("last_slot").cast("long") + 1)).first()[0] or 0
+    if periods * rank * len(series) > MAX_FACTOR_CELLS:
         raise ValueError("the clocks have more periods than the tasks may hold time factors for")
+    sizes = {r["group_id"]: r["last_slot"] + 1 for r in clocks.select("group_id", "last_slot").collect()}
     factors = {(g, s): _start(n, rank) for g, n in sizes.items() for s in series}
     upper = np.triu_indices(rank)
     sums = [f"g{i}" for i in range(len(upper[0]))] + [f"b{i}" for i in range(rank)]

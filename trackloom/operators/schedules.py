@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.contracts import present
-from trackloom.operators import lags, points
+from trackloom.operators import dense, lags, points
 from trackloom.session import written
 
 PAPER_DELTAS = (1, 2, 4, 8)
@@ -62,14 +62,27 @@ def delta_family(matched: DataFrame, paper: Sequence[int] = PAPER_DELTAS) -> Dat
 def unit_curves(frames: DataFrame, clock: DataFrame, min_pairs: int = 8) -> DataFrame:
     """All finite curve points of every unit: metric, unit_id, site, direction, delta, is_primary, lag, lag_s_median,
     value, raw_value, sd, pair_count, normalization."""
+    deltas = written(delta_family(matched_delta(clock)))
+    return with_identity(dense.unit_curves(frames, deltas, min_pairs), frames, deltas)
+
+
+def with_identity(curves: DataFrame, frames: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Curves with their unit's identity, and whether their offset is the primary one."""
+    ids = frames.groupBy("unit_id").agg(*[F.min(c).alias(c) for c in lags.IDENTITY])
+    primary = deltas.where("is_primary").select("nd2_id", "delta", F.lit(True).alias("is_primary"))
+    return curves.join(ids, "unit_id").join(primary, ["nd2_id", "delta"], "left").withColumn("is_primary", F.coalesce("is_primary", F.lit(False)))
+
+
+def unit_curves_by_joins(frames: DataFrame, clock: DataFrame, min_pairs: int = 8) -> DataFrame:
+    """The same curves from the pair joins of `lags`, one kernel each."""
     one, two = points.site_points(frames), points.paired_points(frames)
-    deltas = delta_family(matched_delta(clock))
+    deltas = written(delta_family(matched_delta(clock)))
     v = written(lags.velocities(one, deltas))  # both correlations join it with itself
     columns = ["metric", "unit_id", "site", "direction", "delta", "lag", "lag_s_median", "delta_s_median", "value", "raw_value", "sd", "pair_count", "normalization"]
 
     def shape(df: DataFrame, metric: str) -> DataFrame:
         have = {c: F.col(c) for c in df.columns}
-        kinds = {"site": "string", "direction": "string", "delta": "int", "delta_s_median": "double", "sd": "double", "normalization": "double"}
+        kinds = {"site": "string", "direction": "string", "delta": "int"}
         raw = have.get("raw_value", F.col("value"))
         return df.where("value is not null").select(
             F.lit(metric).alias("metric"), *[raw.alias(c) if c == "raw_value" else have.get(c, F.lit(None).cast(kinds.get(c, "double"))).alias(c) for c in columns[1:]]
@@ -84,9 +97,7 @@ def unit_curves(frames: DataFrame, clock: DataFrame, min_pairs: int = 8) -> Data
     out = every[0]
     for x in every[1:]:
         out = out.unionByName(x)
-    ids = frames.select("unit_id", *lags.IDENTITY).distinct()
-    primary = deltas.where("is_primary").select("nd2_id", "delta", F.lit(True).alias("is_primary"))
-    return out.join(ids, "unit_id").join(primary, ["nd2_id", "delta"], "left").withColumn("is_primary", F.coalesce("is_primary", F.lit(False)))
+    return with_identity(out, frames, deltas)
 
 
 def support_census(frames: DataFrame, curves: DataFrame, min_pairs: int = 8) -> DataFrame:

@@ -322,6 +322,32 @@ DELTA_SQL = f"""{FRAMES}, spans as (select a.nd2_id, cast(b.frame - a.frame as i
 ranked as (select *, row_number() over (partition by nd2_id, target_s order by abs(delta_s - target_s), delta) as place from spans cross join (select unnest([10.0, 20.0, 40.0]::double[]) as target_s))
 select nd2_id, target_s, case when delta_s between 0.75 * target_s and 1.25 * target_s then delta end as delta, {_r("delta_s", "delta_s")} from ranked where place = 1"""
 
+UNIT_CURVES_SQL = f"""{FRAMES}, spans as (select a.nd2_id, cast(b.frame - a.frame as int) as delta, median(b.time_s - a.time_s) as delta_s from clock a join clock b on a.nd2_id = b.nd2_id and b.frame > a.frame group by all),
+ranked as (select *, row_number() over (partition by nd2_id order by abs(delta_s - 10), delta) as place from spans),
+matched as (select nd2_id, case when delta_s between 7.5 and 12.5 then delta end as delta from ranked where place = 1),
+family as (select distinct nd2_id, unnest(case when delta is null then [1, 2, 4, 8] else [1, 2, 4, 8, delta] end) as delta from matched),
+every as (select * from sites union all select * from paired),
+moved as (select a.unit_id, a.site, cast(b.frame - a.frame as int) as lag, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) as sq, b.time_s - a.time_s as dt
+  from every a join every b on a.unit_id = b.unit_id and a.site = b.site and b.frame - a.frame between 1 and {LAST}),
+msd as (select case when site = 'pair' then 'mscd' else 'msd' end as metric, unit_id, site, cast(null as varchar) as direction, cast(null as int) as delta, lag, median(dt) as lag_s_median, cast(null as double) as delta_s_median,
+  avg(sq) as value, avg(sq) as raw_value, stddev_samp(sq) as sd, count(*) as pair_count, cast(null as double) as normalization from moved group by unit_id, site, lag having count(*) >= 8),
+v as (select a.unit_id, a.site, a.movie_frames, f.delta, cast(a.frame as int) as start_frame, a.time_s as start_s, b.time_s - a.time_s as duration_s, (b.x - a.x) / (b.time_s - a.time_s) as vx, (b.y - a.y) / (b.time_s - a.time_s) as vy
+  from sites a join family f on a.nd2_id = f.nd2_id join sites b on a.unit_id = b.unit_id and a.site = b.site and b.frame = a.frame + f.delta where b.time_s > a.time_s),
+own as (select unit_id, site, delta, avg(vx * vx + vy * vy) as e, count(*) as n, median(duration_s) as m from v group by all),
+twin as (select unit_id, delta, median(duration_s) as m, case when count(*) filter (site = 'site1') >= 8 and count(*) filter (site = 'site2') >= 8
+  then sqrt(avg(vx * vx + vy * vy) filter (site = 'site1') * avg(vx * vx + vy * vy) filter (site = 'site2')) end as e from v group by unit_id, delta),
+raw as (select a.unit_id, a.delta, a.site as early, b.site as late, b.start_frame - a.start_frame as lag, median(b.start_s - a.start_s) as lag_s_median, avg(a.vx * b.vx + a.vy * b.vy) as r, count(*) as pair_count
+  from v a join v b on a.unit_id = b.unit_id and a.delta = b.delta and b.start_frame - a.start_frame between 0 and {LAST} group by all having count(*) >= 8),
+vac as (select 'vac' as metric, r.unit_id, early as site, cast(null as varchar) as direction, r.delta, lag, lag_s_median, m as delta_s_median, r / e as value, r as raw_value, cast(null as double) as sd, pair_count, e as normalization
+  from raw r join own o on r.unit_id = o.unit_id and r.early = o.site and r.delta = o.delta where early = late and e > 0),
+vcc as (select 'vcc' as metric, r.unit_id, cast(null as varchar) as site, case when late = 'site1' then 'site1_later_vs_site2' else 'site2_later_vs_site1' end as direction, r.delta, lag, lag_s_median, m as delta_s_median, r / e as value, r as raw_value,
+  cast(null as double) as sd, pair_count, e as normalization from raw r join twin o on r.unit_id = o.unit_id and r.delta = o.delta where early <> late and e > 0),
+curves as (select * from msd union all select * from vac union all select * from vcc),
+ids as (select unit_id, min(nd2_id) as nd2_id, min(crop_id) as crop_id, min(hour) as hour from frames group by unit_id)
+select metric, c.unit_id, site, direction, c.delta, lag, {", ".join(_r(x, x) for x in ("lag_s_median", "delta_s_median", "value", "raw_value", "sd"))}, pair_count, {_r("normalization", "normalization")},
+  ids.nd2_id, crop_id, {_r("hour", "hour")}, m.delta is not null as is_primary
+from curves c join ids using (unit_id) left join matched m on ids.nd2_id = m.nd2_id and c.delta = m.delta"""
+
 QUERIES = {f.__name__: f for f in (
     k_msd, k_mscd, k_velocity, k_vac, k_vcc, k_vcc_matrix, k_vcc_symmetric, k_matrix_symmetric, k_msd_exact_time, k_velocity_exact_time, k_vcc_exact_time, k_vac_exact_time,
     k_turning, k_direction_histogram, k_turning_persistence, k_persistence_null, k_directed_bursts, k_positive_area, k_curve_area, k_pair_modes, k_motion_energy,
@@ -350,6 +376,7 @@ ORACLES = {
     "k_motion_energy": ENERGY_SQL,
     "u_schedule": SCHEDULE_SQL,
     "u_matched_delta": DELTA_SQL,
+    "u_unit_curves": UNIT_CURVES_SQL,
     "u_support_census": f"""{FRAMES}, seen as (select unit_id, max(movie_frames) as movie_frames, count(x1) as s1, count(x2) as s2, count(*) filter (x1 is not null and x2 is not null) as sp from frames group by all),
 grid as (select unit_id, movie_frames, 'msd' as metric, 'site1' as site, s1 as observed from seen union all select unit_id, movie_frames, 'msd', 'site2', s2 from seen union all select unit_id, movie_frames, 'mscd', 'pair', sp from seen),
 every as (select * from sites union all select * from paired),
