@@ -40,6 +40,21 @@ class Cube:
         return out
 
 
+def _best_tau(pdf: pd.DataFrame, cube: Cube, alpha: float, taus: tuple[int, int]) -> tuple[float, float, int, int]:
+    """First best tau, its loss, and the targets and points used; NaN where support is too small."""
+    pdf = pdf.groupby("target_s").filter(lambda g: len(g) >= 3)
+    targets = pdf.target_s.nunique()
+    if targets < 2 or len(pdf) < 6:
+        return float("nan"), float("nan"), targets, len(pdf)
+    tau = np.arange(taus[0], taus[1] + 1)
+    ratio = np.log10(tau[:, None] / pdf.delta_s.to_numpy()[None, :])
+    inside = ((ratio >= cube.log_ratios[0]) & (ratio <= cube.log_ratios[-1])).all(1)
+    error = (pdf.value.to_numpy()[None, :] - cube.evaluate(alpha, ratio[inside], pdf.center.to_numpy()[None, :])) ** 2
+    loss = np.mean([error[:, (pdf.target_s == t).to_numpy()].mean(1) for t in sorted(pdf.target_s.unique())], axis=0)
+    best = int(loss.argmin())
+    return float(tau[inside][best]), float(loss[best]), targets, len(pdf)
+
+
 def tau_search(points: DataFrame, cube: Cube, alpha: float, taus: tuple[int, int] = (1, 1000), least_units: int = 8, last_lag: float = 2.5) -> DataFrame:
     """Communication time per hour: the first tau on the whole-second grid that minimises the mean over targets
     of the mean squared error against cube(alpha, log10(tau / delta), lag). points: hour_post_delivery,
@@ -47,19 +62,32 @@ def tau_search(points: DataFrame, cube: Cube, alpha: float, taus: tuple[int, int
     an hour two targets and six points. An hour has at most targets x centers points, so it is one group."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.groupby("target_s").filter(lambda g: len(g) >= 3)
-        row = {"hour_post_delivery": key[0], "targets": pdf.target_s.nunique(), "points": len(pdf), "tau_s": np.nan, "mse": np.nan}
-        if row["targets"] >= 2 and row["points"] >= 6:
-            tau = np.arange(taus[0], taus[1] + 1)
-            ratio = np.log10(tau[:, None] / pdf.delta_s.to_numpy()[None, :])
-            inside = ((ratio >= cube.log_ratios[0]) & (ratio <= cube.log_ratios[-1])).all(1)
-            fitted = cube.evaluate(alpha, ratio[inside], pdf.center.to_numpy()[None, :])
-            error = (pdf.value.to_numpy()[None, :] - fitted) ** 2
-            groups = [error[:, (pdf.target_s == t).to_numpy()].mean(1) for t in sorted(pdf.target_s.unique())]
-            loss = np.mean(groups, axis=0)
-            best = int(loss.argmin())
-            row["tau_s"], row["mse"] = float(tau[inside][best]), float(loss[best])
-        return pd.DataFrame([row])
+        tau, loss, targets, n = _best_tau(pdf, cube, alpha, taus)
+        return pd.DataFrame([{"hour_post_delivery": key[0], "targets": targets, "points": n, "tau_s": tau, "mse": loss}])
 
     use = points.where((F.col("units") >= least_units) & F.col("center").between(0, last_lag) & F.col("value").isNotNull())
     return use.groupBy("hour_post_delivery").applyInPandas(one, "hour_post_delivery double, targets long, points long, tau_s double, mse double")
+
+
+def tau_bootstrap(bins: DataFrame, cube: Cube, alpha: float, cluster: str, iterations: int = 200, seed: int = 0, least_units: int = 8) -> DataFrame:
+    """tau_search with an interval from resampling clusters. bins: one point per unit (hour_post_delivery, target_s,
+    center, value, delta_median_s, the cluster); Spark sums them by cluster and bin first, so that a group in
+    pandas holds clusters x bins rows."""
+    from trackloom.operators.resampling import group_seed, percentile_interval
+
+    sums = bins.where("value is not null").groupBy("hour_post_delivery", cluster, "target_s", "center").agg(F.sum("value").alias("total"), F.sum("delta_median_s").alias("delta"), F.count(F.lit(1)).alias("n"))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [g for _, g in pdf.assign(_c=pdf[cluster].astype(str)).groupby("_c", sort=True)]
+
+        def tau(table: pd.DataFrame) -> float:
+            s = table.groupby(["target_s", "center"], as_index=False)[["total", "delta", "n"]].sum()
+            s = s[s.n >= least_units]
+            return _best_tau(s.assign(value=s.total / s.n, delta_s=s.delta / s.n), cube, alpha, (1, 1000))[0] if len(s) else float("nan")
+
+        rng = np.random.default_rng(group_seed(seed, *key))
+        got = np.array([tau(pd.concat([parts[i] for i in rng.integers(0, len(parts), len(parts))])) for _ in range(iterations)]) if len(parts) > 1 else np.array([])
+        low, high = percentile_interval(got)
+        return pd.DataFrame([{"hour_post_delivery": key[0], "clusters": len(parts), "tau_s": tau(pdf), "low": low, "high": high}])
+
+    return sums.groupBy("hour_post_delivery").applyInPandas(one, "hour_post_delivery double, clusters long, tau_s double, low double, high double")

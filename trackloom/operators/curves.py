@@ -36,7 +36,7 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 def unit_bins(curves: DataFrame, centers: Sequence[float] = CENTERS_S) -> DataFrame:
     """One point per unit and lag bin: nearest to the center in log lag, then most pairs, then smallest lag. VCC
-    needs both directions, whose points are averaged (counts take the smaller)."""
+    needs both directions of a bundle, whose points are averaged (counts take the smaller); the bundle is its unit."""
     binned = primary_points(curves).withColumn("bin_s", lag_bin(F.col("lag_median_s"), centers)).where("bin_s is not null")
     off = F.when(F.col("bin_s") > 0, F.abs(F.ln(F.col("lag_median_s") / F.col("bin_s")))).otherwise(F.lit(0.0))
     keys = ["metric", "unit_id", "hour_post_delivery", "site", "direction", "bin_s"]
@@ -45,6 +45,7 @@ def unit_bins(curves: DataFrame, centers: Sequence[float] = CENTERS_S) -> DataFr
     values = ["lag_median_s", "scaled_lag_tau_over_delta", "delta_median_s", "value", "endpoint_pair_sd"]
     both = (
         chosen.where("metric = 'vcc'")
+        .withColumn("unit_id", F.coalesce("bundle_id", "unit_id"))
         .groupBy(*columns)
         .agg(*[F.avg(c).alias(c) for c in values], F.min("pair_count").alias("pair_count"), F.min("lag_frames").alias("lag_frames"), F.count_distinct("direction").alias("ways"))
         .where("ways = 2")
@@ -209,13 +210,33 @@ def benjamini_hochberg(df: DataFrame, p: str, *ties: str, out: str = "p_bh") ->
 
 
 def zero_crossing(curves: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """First x at which y falls through zero, by linear interpolation; null if it never does."""
+    """First x at which y is zero or changes sign, by linear interpolation; null if it never does. The last point
+    alone does not count as a crossing."""
     along = Window.partitionBy(*keys).orderBy(x)
     px, py = F.lag(x).over(along), F.lag(y).over(along)
-    crossing = F.when((py > 0) & (F.col(y) <= 0), px + (F.col(x) - px) * py / (py - F.col(y)))
+    crossing = F.when(py == 0, px).when(py * F.col(y) < 0, px - py * (F.col(x) - px) / (F.col(y) - py))
     return curves.withColumn("_c", crossing).groupBy(*keys).agg(F.min("_c").alias("zero_crossing"))
 
 
+def correlation_endpoints(bins: DataFrame) -> DataFrame:
+    """Endpoints of each unit's cross-correlation up to five offsets, as rows (hour, crop, unit, endpoint, value): the
+    value at zero lag; for at least three points over at least three offsets the trapezoid area of its positive
+    part (of the points, without the exact crossing) and the first zero crossing; and the mean from three on."""
+    keys = ["hour_post_delivery", "crop_id", "unit_id"]
+    own = bins.where("metric = 'vcc' and scaled_lag_tau_over_delta between 0 and 5").select(*keys, F.col("scaled_lag_tau_over_delta").alias("x"), F.col("value").alias("y"))
+    along = Window.partitionBy(*keys).orderBy("x")
+    step = own.withColumns({"nx": F.lead("x").over(along), "ny": F.lead("y").over(along)})
+    plus = lambda c: F.greatest(c, F.lit(0.0))
+    crossing = F.when(F.col("ny").isNull(), None).when(F.col("y") == 0, F.col("x")).when(F.col("y") * F.col("ny") < 0, F.col("x") - F.col("y") * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y")))
+    per = step.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("span"), F.max(F.when(F.abs("x") < 1e-6, F.col("y"))).alias("zero"),
+        F.sum((plus(F.col("y")) + plus(F.col("ny"))) / 2 * (F.col("nx") - F.col("x"))).alias("area"), F.min(crossing).alias("crossing"), F.avg(F.when(F.col("x") >= 3, F.col("y"))).alias("late"),
+    )
+    wide = (F.col("n") >= 3) & (F.col("span") >= 3)
+    per = per.withColumns({"area": F.when(wide, F.col("area")), "crossing": F.when(wide, F.col("crossing"))})
+    return per.select(*keys, F.expr("stack(4,'zero_lag_trace',zero,'positive_auc',area,'first_zero_crossing',crossing,'late_mean',late) as (endpoint,value)")).where("value is not null")
+
+
 def fbm_rmse(points: DataFrame, alphas: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weighted RMSE of curve points (x, value, weight) against the fBM curve at each group's alpha."""
     r = F.col("value") - fbm_vac(F.col("x"), F.col("alpha"))

@@ -214,6 +214,20 @@ def exact_time_correlation(v1: DataFrame, v2: DataFrame, lags: Sequence[float],
     return both.select("unit_id", "lag_s", "pair_count", raw_value.alias("raw_value"), norm.alias("normalization"), ratio(raw_value, norm).alias("value"))
 
 
+def default_tolerance(points: DataFrame, longest_lag: float) -> float:
+    """Tolerance of exact-time matching where none is given: rounding of the times about each unit's first, and one
+    unit in the last place of the times themselves; the largest over the units."""
+    eps = 2.0**-52
+    per = points.groupBy("unit_id", "site").agg((F.max("time_s") - F.min("time_s")).alias("span"), F.max(F.abs("time_s")).alias("size"))
+    need = F.greatest(64 * eps * F.greatest(F.lit(1.0), F.lit(abs(float(longest_lag))), F.col("span")), eps * F.col("size"))
+    return per.agg(F.max(need)).first()[0] or 64 * eps
+
+
+def exact_time_turning(points: DataFrame, delta_s: float, tolerance: float) -> DataFrame:
+    """Turning angles of velocities over a physical duration; the two steps share the very same vertex frame."""
+    return turning_angles(exact_time_velocities(points, delta_s, tolerance).withColumn("delta", F.lit(0)))
+
+
 class ExactTimeSupportError(ValueError):
     """No lag of a default time grid has enough pairs."""
 

@@ -172,6 +172,36 @@ def bootstrap_fbm(curves: DataFrame, keys: Sequence[str], cluster: str, iteratio
     return cluster_sums(curves, keys, cluster, "value", "x").groupBy(*keys).applyInPandas(one, schema)
 
 
+def bootstrap_window_means(bins: DataFrame, keys: Sequence[str], cluster: str, lower: float, upper: float, iterations: int = 500, seed: int = 0) -> DataFrame:
+    """Mean over log time of the power law fitted to each group's mean curve on its bins (bin_s, value) between lower
+    and upper, with an interval from refitting resampled clusters. A fit needs five bins."""
+    kinds = dict(bins.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", clusters long, window_mean double, low double, high double, successes long"
+    span = np.log(upper / lower)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        index = pdf[cluster].astype(str)
+        total, n = (pdf.pivot_table(index=index, columns="bin_s", values=c, aggfunc="sum").fillna(0).sort_index() for c in ("total", "n"))
+        x, t, c = np.log(total.columns.to_numpy(float)), total.to_numpy(), n.to_numpy()
+
+        def mean(rows: np.ndarray) -> float:
+            k = c[rows].sum(0)
+            y = np.divide(t[rows].sum(0), k, out=np.zeros(len(k)), where=k > 0)
+            ok = y > 0
+            if ok.sum() < 5:
+                return float("nan")
+            a, b = np.polyfit(x[ok], np.log(y[ok]), 1, w=np.sqrt(k[ok]))
+            return float(np.exp(b) * (upper**a - lower**a) / (a * span)) if abs(a) > 1e-12 else float(np.exp(b))
+
+        rng = np.random.default_rng(group_seed(seed, *key))
+        got = np.array([mean(rng.integers(0, len(t), len(t))) for _ in range(iterations)]) if len(t) > 1 else np.array([])
+        low, high = percentile_interval(got)
+        return pd.DataFrame([[*key, len(t), mean(np.arange(len(t))), low, high, int(np.isfinite(got).sum())]], columns=[*keys, "clusters", "window_mean", "low", "high", "successes"])
+
+    own = bins.where(F.col("bin_s").between(lower, upper))
+    return cluster_sums(own, keys, cluster, "value", "bin_s").groupBy(*keys).applyInPandas(one, schema)
+
+
 def empirical_dropout(points: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Remove floor(fraction * n) observed frames of each unit and site at random, without filling."""
     if not 0 <= fraction < 1:

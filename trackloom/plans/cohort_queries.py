@@ -156,6 +156,10 @@ def g_aligned(spark: SparkSession, d: str) -> DataFrame:
     return _round(cohorts.aligned_frames(_frames(spark, d), _members(spark, d)), 5)
 
 
+def g_half_width(spark: SparkSession, d: str) -> DataFrame:
+    return cohorts.half_width(cohorts.aligned_frames(_frames(spark, d).where("hour_post_delivery is not null"), _members(spark, d)))
+
+
 def v_frame_issues(spark: SparkSession, d: str) -> DataFrame:
     return cohorts.frame_issues(table(spark, d, "frame_table"))
 
@@ -217,7 +221,7 @@ stats as (select hour_post_delivery, n, clusters, mean, sqrt(meat / (n * n) * (s
 QUERIES = {f.__name__: f for f in (
     q_bundle_summary, q_point_channel, q_missingness_census, q_missingness_asymmetry, q_technical_hierarchy, q_timing_hierarchy, q_one_to_one, q_sensitivity_grid, q_primary_cohort, q_cohort_flow, q_tiers,
     q_channels, q_coverage_associations, q_motion_coverage, q_track_loss, q_dropout_stress, q_intervals, s_separation, s_histogram, s_threshold_sweep, s_shape_candidates, s_hour_statistics, s_hour_p_values,
-    sel_complete_pairs, sel_extremes, sel_hour_census, g_gallery, g_aligned, v_frame_issues, v_bundle_issues, v_reconciliation,
+    sel_complete_pairs, sel_extremes, sel_hour_census, g_gallery, g_aligned, g_half_width, v_frame_issues, v_bundle_issues, v_reconciliation,
 )}
 ORACLES = {
     "q_bundle_summary": f"""{QC}, c as (select bundle_id, count(*) as frame_rows, count(*) filter (site1_valid) as site1_count, count(*) filter (site2_valid) as site2_count, count(*) filter (paired_valid) as paired_count, count(*) filter (bp1_valid) as bp1_count from qf group by bundle_id)
@@ -302,6 +306,9 @@ select bundle_id, hour_post_delivery, paired_frames, {_r("r1", "site1_rg_um")},
     "g_aligned": f"""{QC}, m as (select bundle_id from bundles where {_rules(cohorts.RELAXED)} = '' and hour_post_delivery is not null),
 s as (select *, avg((site1_x_nm + site2_x_nm) / 2) over (partition by bundle_id) as mx, avg((site1_y_nm + site2_y_nm) / 2) over (partition by bundle_id) as my from shared where bundle_id in (select bundle_id from m))
 select bundle_id, frame, {", ".join(_r(f"(site{s}_{a}_nm - m{a}) / 1000", f"site{s}_{a}_um", 5) for s in (1, 2) for a in "xy")} from s""",
+    "g_half_width": f"""{QC}, m as (select bundle_id from bundles where {_rules(cohorts.RELAXED)} = '' and hour_post_delivery is not null),
+s as (select *, avg((site1_x_nm + site2_x_nm) / 2) over (partition by bundle_id) as mx, avg((site1_y_nm + site2_y_nm) / 2) over (partition by bundle_id) as my from shared where hour_post_delivery is not null and bundle_id in (select bundle_id from m))
+select ceil(greatest(max(abs(site1_x_nm - mx)), max(abs(site1_y_nm - my)), max(abs(site2_x_nm - mx)), max(abs(site2_y_nm - my))) / 1000 * 4) / 4 as half_width_um from s""",
     "v_frame_issues": "with q as (select *, lag(frame) over w as sf, lag(case when not isnan(micro_time_s) then micro_time_s end) over w as bt, case when not isnan(micro_time_s) then micro_time_s end as t from frame_table window w as (partition by bundle_id order by frame, loaded_at)) " + _codes(
         "q",
         {

@@ -84,6 +84,10 @@ def k_vac_exact_time(spark: SparkSession, d: str) -> DataFrame:
     return _round(lags.exact_time_correlation(v, v, [0.0, 10.0], 0.25, pooled_energy=True))
 
 
+def k_turning_exact_time(spark: SparkSession, d: str) -> DataFrame:
+    return _round(lags.exact_time_turning(_sites(spark, d), 10.0, 0.25).drop("delta"))
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     return lags.turning_angles(lags.velocities(_sites(spark, d), [1]))
 
@@ -144,6 +148,16 @@ def u_unit_curves(spark: SparkSession, d: str) -> DataFrame:
     return _round(_curves(spark, d)[1])
 
 
+def computed_curves(spark: SparkSession, d: str) -> DataFrame:
+    """The unit curves computed from the frames, under the names of the delivered unit_curves table."""
+    c = _curves(spark, d)[1]
+    return c.select(
+        "metric", "unit_id", F.col("unit_id").alias("bundle_id"), "nd2_id", "crop_id", F.col("hour").alias("hour_post_delivery"), "site", "direction", F.col("is_primary").alias("is_primary_matched_10s"),
+        F.col("delta_s_median").alias("delta_median_s"), F.col("lag").cast("long").alias("lag_frames"), F.col("lag_s_median").alias("lag_median_s"), (F.col("lag_s_median") / F.col("delta_s_median")).alias("scaled_lag_tau_over_delta"),
+        "value", "raw_value", F.col("sd").alias("endpoint_pair_sd"), "pair_count", "normalization",
+    )
+
+
 def u_support_census(spark: SparkSession, d: str) -> DataFrame:
     own = written(frames(spark, d))
     every = lags.mean_squared_displacement(points.site_points(own)).withColumn("metric", F.lit("msd")).unionByName(
@@ -322,7 +336,7 @@ DELTA_SQL = f"""{FRAMES}, spans as (select a.nd2_id, cast(b.frame - a.frame as i
 ranked as (select *, row_number() over (partition by nd2_id, target_s order by abs(delta_s - target_s), delta) as place from spans cross join (select unnest([10.0, 20.0, 40.0]::double[]) as target_s))
 select nd2_id, target_s, case when delta_s between 0.75 * target_s and 1.25 * target_s then delta end as delta, {_r("delta_s", "delta_s")} from ranked where place = 1"""
 
-UNIT_CURVES_SQL = f"""{FRAMES}, spans as (select a.nd2_id, cast(b.frame - a.frame as int) as delta, median(b.time_s - a.time_s) as delta_s from clock a join clock b on a.nd2_id = b.nd2_id and b.frame > a.frame group by all),
+UNIT_CURVES = f"""{FRAMES}, spans as (select a.nd2_id, cast(b.frame - a.frame as int) as delta, median(b.time_s - a.time_s) as delta_s from clock a join clock b on a.nd2_id = b.nd2_id and b.frame > a.frame group by all),
 ranked as (select *, row_number() over (partition by nd2_id order by abs(delta_s - 10), delta) as place from spans),
 matched as (select nd2_id, case when delta_s between 7.5 and 12.5 then delta end as delta from ranked where place = 1),
 family as (select distinct nd2_id, unnest(case when delta is null then [1, 2, 4, 8] else [1, 2, 4, 8, delta] end) as delta from matched),
@@ -344,12 +358,14 @@ vcc as (select 'vcc' as metric, r.unit_id, cast(null as varchar) as site, case w
   cast(null as double) as sd, pair_count, e as normalization from raw r join twin o on r.unit_id = o.unit_id and r.delta = o.delta where early <> late and e > 0),
 curves as (select * from msd union all select * from vac union all select * from vcc),
 ids as (select unit_id, min(nd2_id) as nd2_id, min(crop_id) as crop_id, min(hour) as hour from frames group by unit_id)
+"""
+UNIT_CURVES_SQL = f"""{UNIT_CURVES}
 select metric, c.unit_id, site, direction, c.delta, lag, {", ".join(_r(x, x) for x in ("lag_s_median", "delta_s_median", "value", "raw_value", "sd"))}, pair_count, {_r("normalization", "normalization")},
   ids.nd2_id, crop_id, {_r("hour", "hour")}, m.delta is not null as is_primary
 from curves c join ids using (unit_id) left join matched m on ids.nd2_id = m.nd2_id and c.delta = m.delta"""
 
 QUERIES = {f.__name__: f for f in (
-    k_msd, k_mscd, k_velocity, k_vac, k_vcc, k_vcc_matrix, k_vcc_symmetric, k_matrix_symmetric, k_msd_exact_time, k_velocity_exact_time, k_vcc_exact_time, k_vac_exact_time,
+    k_msd, k_mscd, k_velocity, k_vac, k_vcc, k_vcc_matrix, k_vcc_symmetric, k_matrix_symmetric, k_msd_exact_time, k_velocity_exact_time, k_vcc_exact_time, k_vac_exact_time, k_turning_exact_time,
     k_turning, k_direction_histogram, k_turning_persistence, k_persistence_null, k_directed_bursts, k_positive_area, k_curve_area, k_pair_modes, k_motion_energy,
     u_schedule, u_matched_delta, u_unit_curves, u_support_census,
 )}
@@ -366,6 +382,9 @@ ORACLES = {
     "k_velocity_exact_time": EXACT_VELOCITY_SQL,
     "k_vcc_exact_time": _exact_correlation("site1", "site2", "n1 >= 8 and n2 >= 8"),
     "k_vac_exact_time": _exact_correlation("site1", "site1", "true"),
+    "k_turning_exact_time": f"""{EXACT_PAIRS}{EXACT_VELOCITY}, m as (select * from ev where vx <> 0 or vy <> 0)
+select a.unit_id, a.site, a.start_frame, a.end_frame as vertex, b.end_frame, {_r("acos(greatest(-1.0, least(1.0, (a.vx * b.vx + a.vy * b.vy) / sqrt((a.vx * a.vx + a.vy * a.vy) * (b.vx * b.vx + b.vy * b.vy)))))", "angle")},
+  {_r("b.start_s - a.duration_s", "from_s")}, {_r("b.start_s + b.duration_s", "to_s")} from m a join m b on a.unit_id = b.unit_id and a.site = b.site and b.start_frame = a.end_frame""",
     "k_turning": TURNS_SQL,
     "k_direction_histogram": HISTOGRAM_SQL,
     "k_turning_persistence": PERSISTENCE_SQL,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.numeric import bin_edges
 from trackloom.operators import cube, curves, resampling
-from trackloom.plans.kernels import _r, _round
+from trackloom.plans.kernels import UNIT_CURVES, _r, _round, computed_curves
 from trackloom.session import written
 from trackloom.sources.tables import table
 
@@ -124,6 +124,26 @@ def f_zero_crossing(spark: SparkSession, d: str) -> DataFrame:
     return _round(curves.zero_crossing(own, ["site", "hour_post_delivery"], "center", "mean"), 5)
 
 
+def _endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """From the computed curves: the delivered table has no bundle with both directions at its primary offset."""
+    return curves.correlation_endpoints(curves.unit_bins(computed_curves(spark, d).where("metric = 'vcc'"))).where("hour_post_delivery is not null")
+
+
+def f_vcc_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    own = _endpoints(spark, d)
+    per = own.groupBy("hour_post_delivery", "endpoint").agg(F.avg("value").alias("estimate"), F.count_distinct("unit_id").alias("n_units"), F.count_distinct("crop_id").alias("n_crops"))
+    return _round(per)
+
+
+def f_vcc_endpoint_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.bootstrap_means(_endpoints(spark, d), ["hour_post_delivery", "endpoint"], "crop_id", "value", 500)
+
+
+def f_window_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of each hour's fitted curve over log time from 1 to 50 s, refitted for resampled crops."""
+    return resampling.bootstrap_window_means(_bins(spark, d).where("metric = 'msd' and hour_post_delivery is not null"), ["site", "hour_post_delivery"], "crop_id", 1.0, 50.0, 200)
+
+
 def f_fbm_fits(spark: SparkSession, d: str) -> DataFrame:
     return resampling.fit_fbm(_vac_points(spark, d), ["site", "hour_post_delivery"], weighted=True)
 
@@ -152,17 +172,28 @@ def f_bootstrap_exponents(spark: SparkSession, d: str) -> DataFrame:
     return resampling.cluster_bootstrap(sums, ["site", "hour_post_delivery"], "crop_id", slope, 100, columns=["bin_s", "total", "n"])
 
 
-def f_tau_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Communication time of each hour's symmetric cross-correlation against a reference cube. The measured cube
-    is not published with the data, so the cube here is the fBM curve damped by the ratio of tau and delta."""
+def _vcc_points(spark: SparkSession, d: str) -> DataFrame:
     own = _clean(spark, d).where("metric = 'vcc' and hour_post_delivery is not null and scaled_lag_tau_over_delta <= 2.5")
     target = F.when(F.col("delta_median_s") < 15, 10.0).when(F.col("delta_median_s") < 30, 20.0).otherwise(40.0)
-    binned = curves.scaled_bins(own.withColumn("target_s", target), SCALED[:11], ("hour_post_delivery", "unit_id", "direction", "delta_median_s", "target_s"))
-    points = binned.groupBy("hour_post_delivery", "target_s", "center").agg(F.avg("value").alias("value"), F.avg("delta_median_s").alias("delta_s"), F.count_distinct("unit_id").alias("units"))
+    return curves.scaled_bins(own.withColumn("target_s", target), SCALED[:11], ("hour_post_delivery", "unit_id", "direction", "delta_median_s", "target_s"))
+
+
+def _cube() -> cube.Cube:
     alphas, ratios, lag = np.linspace(0.25, 1.0, 4), np.linspace(-3, 3, 13), np.linspace(0, 5, 21)
     a, r, x = np.meshgrid(alphas, ratios, lag, indexing="ij")
-    values = resampling.fbm(x, a) / (1 + 10.0**r)
-    return cube.tau_search(points, cube.Cube(alphas, ratios, lag, values), alpha=0.5)
+    return cube.Cube(alphas, ratios, lag, resampling.fbm(x, a) / (1 + 10.0**r))
+
+
+def f_tau_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Communication time of each hour's symmetric cross-correlation against a reference cube. The measured cube
+    is not published with the data, so the cube here is the fBM curve damped by the ratio of tau and delta."""
+    binned = _vcc_points(spark, d)
+    points = binned.groupBy("hour_post_delivery", "target_s", "center").agg(F.avg("value").alias("value"), F.avg("delta_median_s").alias("delta_s"), F.count_distinct("unit_id").alias("units"))
+    return cube.tau_search(points, _cube(), alpha=0.5)
+
+
+def f_tau_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return cube.tau_bootstrap(_vcc_points(spark, d), _cube(), 0.5, "crop_id", 100)
 
 
 CLEAN = """
@@ -190,8 +221,8 @@ placed as (select *, row_number() over (partition by metric, unit_id, hour_post_
 chosen as (select * from placed where place = 1),
 bins as (
   select metric, unit_id, bundle_id, nd2_id, crop_id, hour_post_delivery, site, bin_s, lag_median_s, scaled_lag_tau_over_delta, delta_median_s, value, endpoint_pair_sd, pair_count, lag_frames from chosen where metric <> 'vcc'
-  union all select metric, unit_id, bundle_id, nd2_id, crop_id, hour_post_delivery, site, bin_s, avg(lag_median_s), avg(scaled_lag_tau_over_delta), avg(delta_median_s), avg(value), avg(endpoint_pair_sd), min(pair_count), min(lag_frames)
-  from chosen where metric = 'vcc' group by metric, unit_id, bundle_id, nd2_id, crop_id, hour_post_delivery, site, bin_s having count(distinct direction) = 2)
+  union all select metric, coalesce(bundle_id, unit_id), bundle_id, nd2_id, crop_id, hour_post_delivery, site, bin_s, avg(lag_median_s), avg(scaled_lag_tau_over_delta), avg(delta_median_s), avg(value), avg(endpoint_pair_sd), min(pair_count), min(lag_frames)
+  from chosen where metric = 'vcc' group by metric, coalesce(bundle_id, unit_id), bundle_id, nd2_id, crop_id, hour_post_delivery, site, bin_s having count(distinct direction) = 2)
 """
 HOURS = f"""{BINS}, available as (select metric, site, hour_post_delivery, count(distinct unit_id) as available_units from bins where hour_post_delivery is not null group by all),
 per as (select metric, site, hour_post_delivery, bin_s, avg(lag_median_s) as lag_s_mean, avg(value) as mean, stddev_samp(value) as sd, median(value) as median, quantile_cont(value, 0.25) as q25, quantile_cont(value, 0.75) as q75,
@@ -235,7 +266,7 @@ _six = lambda *c: ", ".join(_r(x, x) for x in c)
 
 QUERIES = {f.__name__: f for f in (
     n_unit_bins, a_hour_curves, n_scaled_bins, a_delta_curves, a_collapsed_curves, n_fine_grid, f_power_fits, f_trajectory_fits, t_alpha_extremes, t_alpha_cases, t_site_ranks, t_near_lag,
-    f_vac_consistency, t_best_worst_hour, f_hour_trend, f_zero_crossing, f_fbm_fits, f_fbm_bootstrap, f_bootstrap_means, f_bootstrap_exponents, f_tau_grid,
+    f_vac_consistency, t_best_worst_hour, f_hour_trend, f_zero_crossing, f_fbm_fits, f_fbm_bootstrap, f_bootstrap_means, f_bootstrap_exponents, f_vcc_endpoints, f_vcc_endpoint_intervals, f_window_means, f_tau_grid, f_tau_bootstrap,
 )}
 ORACLES = {
     "n_unit_bins": f"{BINS} select metric, unit_id, bundle_id, nd2_id, crop_id, {_six('hour_post_delivery')}, site, {_six('bin_s', 'lag_median_s', 'scaled_lag_tau_over_delta', 'delta_median_s', 'value', 'endpoint_pair_sd')}, pair_count, lag_frames from bins",
@@ -264,6 +295,16 @@ select arg_min(hour_post_delivery, rmse) as best_hour, arg_max(hour_post_deliver
     "f_hour_trend": f"""{POWER}, ra as (select metric, site, rank() over (partition by metric, site order by hour_post_delivery) + (count(*) over (partition by metric, site, hour_post_delivery) - 1) / 2.0 as a,
   rank() over (partition by metric, site order by exponent) + (count(*) over (partition by metric, site, exponent) - 1) / 2.0 as b from power where exponent is not null)
 select metric, site, count(*) as n, {_r("case when stddev_samp(a) * stddev_samp(b) > 0 then covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b)) end", "rho")} from ra group by metric, site having count(*) >= 3""",
+    "f_vcc_endpoints": f"""{UNIT_CURVES}, clean as (
+  select metric, c.unit_id, c.unit_id as bundle_id, ids.nd2_id, crop_id, hour as hour_post_delivery, site, direction, m.delta is not null as is_primary_matched_10s, delta_s_median as delta_median_s, lag as lag_frames, lag_s_median as lag_median_s,
+    lag_s_median / delta_s_median as scaled_lag_tau_over_delta, value, raw_value, sd as endpoint_pair_sd, pair_count, normalization
+  from curves c join ids using (unit_id) left join matched m on ids.nd2_id = m.nd2_id and c.delta = m.delta where metric = 'vcc'){BINS[len(CLEAN):]}, o as (select hour_post_delivery, crop_id, unit_id, scaled_lag_tau_over_delta as x, value as y, lead(scaled_lag_tau_over_delta) over w as nx, lead(value) over w as ny from bins
+  where metric = 'vcc' and scaled_lag_tau_over_delta between 0 and 5 and hour_post_delivery is not null window w as (partition by hour_post_delivery, crop_id, unit_id order by scaled_lag_tau_over_delta)),
+u as (select hour_post_delivery, crop_id, unit_id, count(*) >= 3 and max(x) - min(x) >= 3 as wide, max(y) filter (abs(x) < 1e-6) as zero, sum((greatest(y, 0) + greatest(ny, 0)) / 2 * (nx - x)) filter (ny is not null) as area,
+  min(case when ny is null then null when y = 0 then x when y * ny < 0 then x - y * (nx - x) / (ny - y) end) as crossing, avg(y) filter (x >= 3) as late from o group by all),
+e as (select hour_post_delivery, crop_id, unit_id, 'zero_lag_trace' as endpoint, zero as v from u union all select hour_post_delivery, crop_id, unit_id, 'positive_auc', area from u where wide
+  union all select hour_post_delivery, crop_id, unit_id, 'first_zero_crossing', crossing from u where wide union all select hour_post_delivery, crop_id, unit_id, 'late_mean', late from u)
+select hour_post_delivery, endpoint, {_r("avg(v)", "estimate")}, count(distinct unit_id) as n_units, count(distinct crop_id) as n_crops from e where v is not null group by hour_post_delivery, endpoint""",
     "f_zero_crossing": f"""{SCALED_BINS}, z as (select *, lag(center) over w as px, lag(mean) over w as py from collapsed where hour_post_delivery is not null window w as (partition by site, hour_post_delivery order by center))
-select site, hour_post_delivery, {_r("min(case when py > 0 and mean <= 0 then px + (center - px) * py / (py - mean) end)", "zero_crossing", 5)} from z group by site, hour_post_delivery""",
+select site, hour_post_delivery, {_r("min(case when py = 0 then px when py * mean < 0 then px - py * (center - px) / (mean - py) end)", "zero_crossing", 5)} from z group by site, hour_post_delivery""",
 }
