@@ -63,6 +63,43 @@ def k_matrix_symmetric(spark: SparkSession, d: str) -> DataFrame:
     return _round(lags.symmetrise(rows, keys, ["raw_value", "normalized_value"]))
 
 
+def a_matrix_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Hour mean and SD of the symmetrised matrices, every unit with equal weight."""
+    own = written(frames(spark, d))
+    vcc = lags.velocity_cross_correlation(lags.velocities(points.site_points(own), [2]))
+    keys = ["unit_id", "delta", "lag", "row_component", "column_component"]
+    unit = lags.symmetrise(lags.transpose_reverse(lags.matrix_rows(vcc)), keys, ["raw_value", "normalized_value"])
+    hours = own.groupBy("unit_id").agg(F.min("hour").alias("hour"))
+    return _round(
+        unit.join(hours, "unit_id").groupBy("hour", "lag", "row_component", "column_component").agg(
+            F.count(F.lit(1)).alias("n_units"), F.avg("normalized_value").alias("normalized_mean"), F.stddev_samp("normalized_value").alias("normalized_sd"),
+            F.avg("raw_value").alias("raw_mean"), F.stddev_samp("raw_value").alias("raw_sd"), F.sum("pair_count").alias("total_pairs"),
+        )
+    )
+
+
+TARGETS = (10.0, 20.0, 40.0)
+
+
+def _target_velocities(spark: SparkSession, d: str) -> DataFrame:
+    """Velocities over the offsets of each acquisition that come nearest to the targets."""
+    deltas = schedules.matched_delta(points.acquisition_clock(table(spark, d, "frame_table")), TARGETS)
+    return written(lags.velocities(_sites(spark, d), written(deltas.where("delta is not null").select("nd2_id", "delta").distinct())))
+
+
+def _target_lags():
+    return F.least(F.col("movie_frames") - 1, F.floor(2.5 * F.col("delta") + 1e-12)).cast("int")
+
+
+def k_vac_targets(spark: SparkSession, d: str) -> DataFrame:
+    return _round(lags.velocity_autocorrelation(_target_velocities(spark, d), last=_target_lags()))
+
+
+def k_vcc_targets(spark: SparkSession, d: str) -> DataFrame:
+    found = lags.velocity_cross_correlation(_target_velocities(spark, d), last=_target_lags()).where("value is not null")
+    return _round(lags.symmetrise(found, ["unit_id", "delta", "lag"], ["value", "raw_value", "lag_s_median"]))
+
+
 EXACT = ([5.0, 10.0, 20.0], 0.25)
 
 
@@ -250,6 +287,28 @@ MATRIX_SYMMETRIC_SQL = f"""{VCC} select unit_id, delta, lag, r as row_component,
 from (select *, case when direction = 'site2_later_vs_site1' then column_component else row_component end as r, case when direction = 'site2_later_vs_site1' then row_component else column_component end as c from matrices)
 group by unit_id, delta, lag, r, c having count(distinct direction) = 2"""
 
+MATRIX_HOURS_SQL = f"""{VCC}, unit as (select unit_id, delta, lag, r, c, avg(raw_value) as raw_value, avg(normalized_value) as normalized_value, min(pair_count) as pair_count
+  from (select *, case when direction = 'site2_later_vs_site1' then column_component else row_component end as r, case when direction = 'site2_later_vs_site1' then row_component else column_component end as c from matrices)
+  group by unit_id, delta, lag, r, c having count(distinct direction) = 2),
+hours as (select unit_id, min(hour) as hour from frames group by unit_id)
+select hour, lag, r as row_component, c as column_component, count(*) as n_units, {_r("avg(normalized_value)", "normalized_mean")}, {_r("stddev_samp(normalized_value)", "normalized_sd")}, {_r("avg(raw_value)", "raw_mean")}, {_r("stddev_samp(raw_value)", "raw_sd")}, cast(sum(pair_count) as bigint) as total_pairs
+from unit join hours using (unit_id) group by hour, lag, r, c"""
+TARGET_V = f"""{FRAMES}, spans as (select a.nd2_id, cast(b.frame - a.frame as int) as delta, median(b.time_s - a.time_s) as delta_s from clock a join clock b on a.nd2_id = b.nd2_id and b.frame > a.frame group by all),
+ranked as (select *, row_number() over (partition by nd2_id, target_s order by abs(delta_s - target_s), delta) as place from spans cross join (select unnest([10.0, 20.0, 40.0]::double[]) as target_s)),
+family as (select distinct nd2_id, delta from ranked where place = 1 and delta_s between 0.75 * target_s and 1.25 * target_s),
+v as (select a.unit_id, a.site, a.movie_frames, f.delta, cast(a.frame as int) as start_frame, a.time_s as start_s, b.time_s - a.time_s as duration_s, (b.x - a.x) / (b.time_s - a.time_s) as vx, (b.y - a.y) / (b.time_s - a.time_s) as vy
+  from sites a join family f on a.nd2_id = f.nd2_id join sites b on a.unit_id = b.unit_id and a.site = b.site and b.frame = a.frame + f.delta where b.time_s > a.time_s),
+raw as (select a.unit_id, a.delta, a.site as early, b.site as late, b.start_frame - a.start_frame as lag, count(*) as pair_count, case when count(*) >= 8 then avg(a.vx * b.vx + a.vy * b.vy) end as r, median(b.start_s - a.start_s) as lag_s_median
+  from v a join v b on a.unit_id = b.unit_id and a.delta = b.delta and b.start_frame - a.start_frame between 0 and least(a.movie_frames - 1, cast(floor(2.5 * a.delta + 1e-12) as int)) group by all),
+own as (select unit_id, site, delta, avg(vx * vx + vy * vy) as e, count(*) as n, median(duration_s) as m from v group by all),
+twin as (select unit_id, delta, case when count(*) filter (site = 'site1') >= 8 and count(*) filter (site = 'site2') >= 8
+  then sqrt(avg(vx * vx + vy * vy) filter (site = 'site1') * avg(vx * vx + vy * vy) filter (site = 'site2')) end as e from v group by unit_id, delta)
+"""
+VAC_TARGETS_SQL = f"""{TARGET_V} select r.unit_id, early as site, r.delta, lag, pair_count, {_r("r", "raw_value")}, {_r("lag_s_median", "lag_s_median")}, {_r("e", "normalization")}, {_r("m", "delta_s_median")}, {_r("case when e > 0 then r / e end", "value")}
+from raw r join own o on r.unit_id = o.unit_id and r.early = o.site and r.delta = o.delta where early = late"""
+VCC_TARGETS_SQL = f"""{TARGET_V} select r.unit_id, r.delta, lag, {_r("avg(r / e)", "value")}, {_r("avg(r)", "raw_value")}, {_r("avg(lag_s_median)", "lag_s_median")}, min(pair_count) as pair_count
+from raw r join twin o on r.unit_id = o.unit_id and r.delta = o.delta where early <> late and e > 0 and r is not null group by r.unit_id, r.delta, lag having count(distinct late) = 2"""
+
 EXACT_PAIRS = f"""{FRAMES}, wanted as (select s.*, want from sites s cross join (select unnest([5.0, 10.0, 20.0]::double[]) as want)),
 near as (
   select a.unit_id, a.site, a.want, a.frame, a.time_s, a.x, a.y, b.frame as b_frame, b.time_s as b_time_s, b.x as b_x, b.y as b_y,
@@ -365,7 +424,7 @@ select metric, c.unit_id, site, direction, c.delta, lag, {", ".join(_r(x, x) for
 from curves c join ids using (unit_id) left join matched m on ids.nd2_id = m.nd2_id and c.delta = m.delta"""
 
 QUERIES = {f.__name__: f for f in (
-    k_msd, k_mscd, k_velocity, k_vac, k_vcc, k_vcc_matrix, k_vcc_symmetric, k_matrix_symmetric, k_msd_exact_time, k_velocity_exact_time, k_vcc_exact_time, k_vac_exact_time, k_turning_exact_time,
+    k_msd, k_mscd, k_velocity, k_vac, k_vcc, k_vcc_matrix, k_vcc_symmetric, k_matrix_symmetric, a_matrix_hours, k_vac_targets, k_vcc_targets, k_msd_exact_time, k_velocity_exact_time, k_vcc_exact_time, k_vac_exact_time, k_turning_exact_time,
     k_turning, k_direction_histogram, k_turning_persistence, k_persistence_null, k_directed_bursts, k_positive_area, k_curve_area, k_pair_modes, k_motion_energy,
     u_schedule, u_matched_delta, u_unit_curves, u_support_census,
 )}
@@ -396,6 +455,9 @@ select a.unit_id, a.site, a.start_frame, a.end_frame as vertex, b.end_frame, {_r
     "u_schedule": SCHEDULE_SQL,
     "u_matched_delta": DELTA_SQL,
     "u_unit_curves": UNIT_CURVES_SQL,
+    "a_matrix_hours": MATRIX_HOURS_SQL,
+    "k_vac_targets": VAC_TARGETS_SQL,
+    "k_vcc_targets": VCC_TARGETS_SQL,
     "u_support_census": f"""{FRAMES}, seen as (select unit_id, max(movie_frames) as movie_frames, count(x1) as s1, count(x2) as s2, count(*) filter (x1 is not null and x2 is not null) as sp from frames group by all),
 grid as (select unit_id, movie_frames, 'msd' as metric, 'site1' as site, s1 as observed from seen union all select unit_id, movie_frames, 'msd', 'site2', s2 from seen union all select unit_id, movie_frames, 'mscd', 'pair', sp from seen),
 every as (select * from sites union all select * from paired),
