@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trackloom.llm import byte_bpe, packing, same_look
 
@@ -18,7 +17,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     # a fixed table of four rows
-    sizes = spark.read.parquet(f"{d}/pack_sizes.parquet").select("pack_id", "capacity_tokens").orderBy("pack_id").limit(1000)
+    sizes = spark.read.parquet(f"{d}/pack_sizes.parquet").select("pack_id", "capacity_tokens").orderBy("pack_id")
     return packing.pack(byte_bpe.token_counts(_docs(spark, d)), [tuple(r) for r in sizes.collect()])
 
 
