@@ -1,0 +1,31 @@
+"""The queries over frames and bundles on all rows, whichever naming scheme a row came under.
+
+The queries of kernels and cohort_queries hold to rows with site1_valid, as their SQL does. NAME_both is the
+same query, with the same SQL, on tables in which the left/right columns fill site1/site2 where these are null."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from trackloom.plans import cohort_queries, kernels, summaries
+from trackloom.sources.tables import NAMINGS, BothNamings
+
+MADE = {**kernels.QUERIES, **cohort_queries.QUERIES, **{n: summaries.QUERIES[n] for n in ("f_vcc_endpoints", "f_vcc_endpoint_intervals")}}
+SQL = {**kernels.ORACLES, **cohort_queries.ORACLES, **summaries.ORACLES}
+
+
+def _both(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(spark, BothNamings(d))
+
+
+def _sql(sql: str) -> str:
+    tables = ", ".join(f"{t}_both as (select * replace ({', '.join(f'coalesce({a}, {b}) as {a}' for a, b in names.items())}) from {t})" for t, names in NAMINGS.items())
+    own = re.sub(rf"\b({'|'.join(NAMINGS)})\b", r"\1_both", sql).lstrip()
+    return f"with {tables}, {own[5:]}" if own.startswith("with ") else f"with {tables} {own}"
+
+
+QUERIES = {f"{n}_both": _both(f) for n, f in MADE.items()}
+ORACLES = {f"{n}_both": _sql(SQL[n]) for n in MADE if n in SQL}

@@ -11,9 +11,26 @@ from pyspark.sql import functions as F
 COMPARE = {"=": eq, "==": eq, "!=": ne, ">": gt, ">=": ge, "<": lt, "<=": le}
 
 
+# Fixed: the second naming scheme of the delivered tables.
+NAMINGS = {
+    "frame_table": {f"site{s}_{c}": f"site_{side}_{c}" for s, side in ((1, "left"), (2, "right")) for c in ("x_nm", "y_nm", "valid")},
+    "bundle_metadata": {f"site{s}_valid_count": f"{side}_valid_count" for s, side in ((1, "left"), (2, "right"))},
+}
+
+
+class BothNamings(str):
+    """A folder whose tables are read under the site1/site2 names alone."""
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Parquet file or directory `name` of the folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return one_naming(df, name) if isinstance(folder, BothNamings) else df
+
+
+def one_naming(df: DataFrame, name: str) -> DataFrame:
+    """site1/site2 columns filled from left/right where they are null; a row of both schemes keeps site1/site2."""
+    return df.withColumns({a: F.coalesce(a, b) for a, b in NAMINGS.get(name, {}).items()})
 
 
 def load_table(
