@@ -12,6 +12,7 @@ from trackloom.contracts import present
 from trackloom.functions.numeric import bad_flag, ratio
 from trackloom.operators.curves import kruskal, spearman
 from trackloom.operators.lags import islands
+from trackloom.session import written
 
 # Thresholds of the nested trajectory cohorts.
 PRIMARY = {"site1_valid_count": 20, "site2_valid_count": 20, "paired_valid_count": 20, "longest_paired_run": 10, "paired_coverage": 0.5}
@@ -231,6 +232,27 @@ def separation_histogram(shared: DataFrame, width_nm: float = 50.0, threshold_nm
     )
 
 
+def separation_runs(shared: DataFrame, width_nm: float = 50.0, threshold_nm: float = 550.0, keys: Sequence[str] = ()) -> DataFrame:
+    """separation_histogram over every distance: one row per occurring bin, and one per run of empty bins between
+    them (at most two where the run holds the threshold), so that far distances cost nothing. Null keys form a
+    group of their own."""
+    counted = written(shared.groupBy(*keys, F.floor(F.col("separation_nm") / width_nm).alias("bin")).count())
+    end = counted.select(*keys).distinct().join(F.broadcast(counted.agg((F.max("bin") + 1).alias("bin"))), F.lit(True))
+    group = Window.partitionBy(*keys)
+    start = F.coalesce(F.lag("bin").over(group.orderBy("bin")) + 1, F.lit(0))
+    marked = counted.unionByName(end, allowMissingColumns=True).withColumns({"start": start, "total": F.sum("count").over(group)})
+    cut = F.lit(math.ceil(threshold_nm / width_nm)).cast("long")
+    piece = lambda a, b, n: F.struct(a.alias("a"), b.alias("b"), n.alias("frames"))
+    none = F.lit(0).cast("long")
+    pieces = F.array(piece(F.col("start"), F.least("bin", cut), none), piece(F.greatest("start", cut), F.col("bin"), none), piece(F.col("bin"), F.col("bin") + F.when(F.col("count").isNotNull(), 1).otherwise(0), F.col("count")))
+    out = marked.select(*keys, "total", F.explode(pieces).alias("p")).where("p.b > p.a")
+    left = F.col("p.a") * width_nm
+    return out.select(
+        *keys, left.alias("bin_left_nm"), (F.col("p.b") * width_nm).alias("bin_right_nm"), "p.frames", (F.col("p.frames") / F.col("total")).alias("probability"),
+        F.when(left >= threshold_nm, "above").otherwise("at_or_below").alias("side"),
+    )
+
+
 def threshold_sweep(shared: DataFrame, low: int = 400, high: int = 1000, step: int = 25, key: str = "hour_post_delivery") -> DataFrame:
     """Share of frames above each threshold per hour: one pass, one conditional count per threshold."""
     values = list(range(low, high + 1, step))
