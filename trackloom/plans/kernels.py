@@ -142,7 +142,7 @@ def k_turning_persistence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k_persistence_null(spark: SparkSession, d: str) -> DataFrame:
-    return resampling.shuffled_persistence(lags.velocities(_sites(spark, d), [1]), shuffles=20, seed=1)
+    return resampling.shuffled_persistence(lags.velocities(_sites(spark, d), [1]), shuffles=100, seed=1)
 
 
 def k_directed_bursts(spark: SparkSession, d: str) -> DataFrame:

@@ -141,7 +141,7 @@ def f_vcc_endpoint_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def f_window_means(spark: SparkSession, d: str) -> DataFrame:
     """Mean of each hour's fitted curve over log time from 1 to 50 s, refitted for resampled crops."""
-    return resampling.bootstrap_window_means(_bins(spark, d).where("metric = 'msd' and hour_post_delivery is not null"), ["site", "hour_post_delivery"], "crop_id", 1.0, 50.0, 200)
+    return resampling.bootstrap_window_means(_bins(spark, d).where("metric = 'msd' and hour_post_delivery is not null"), ["site", "hour_post_delivery"], "crop_id", 1.0, 50.0, 500)
 
 
 def f_fbm_fits(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ def f_fbm_fits(spark: SparkSession, d: str) -> DataFrame:
 
 def f_fbm_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     own = curves.scaled_bins(_vac(spark, d), SCALED).where("hour_post_delivery is not null").withColumn("x", F.col("center"))
-    return resampling.bootstrap_fbm(own, ["site", "hour_post_delivery"], "crop_id", iterations=100)
+    return resampling.bootstrap_fbm(own, ["site", "hour_post_delivery"], "crop_id", iterations=300)
 
 
 def f_bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,7 @@ def f_bootstrap_exponents(spark: SparkSession, d: str) -> DataFrame:
 
     own = _bins(spark, d).where("hour_post_delivery is not null and metric = 'msd' and bin_s between 1 and 50")
     sums = resampling.cluster_sums(own, ["site", "hour_post_delivery"], "crop_id", "value", "bin_s")
-    return resampling.cluster_bootstrap(sums, ["site", "hour_post_delivery"], "crop_id", slope, 100, columns=["bin_s", "total", "n"])
+    return resampling.cluster_bootstrap(sums, ["site", "hour_post_delivery"], "crop_id", slope, 500, columns=["bin_s", "total", "n"])
 
 
 def _vcc_points(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +193,7 @@ def f_tau_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f_tau_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return cube.tau_bootstrap(_vcc_points(spark, d), _cube(), 0.5, "crop_id", 100)
+    return cube.tau_bootstrap(_vcc_points(spark, d), _cube(), 0.5, "crop_id", 200)
 
 
 CLEAN = """
