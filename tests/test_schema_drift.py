@@ -2,6 +2,8 @@ import datetime as dt
 import itertools
 import json
 
+from pyspark.sql import functions as F
+
 from trackloom.operators.schema_drift import STEP, changes, consistent_table, edit_script
 
 SCHEMA = "feed_id string, file_id string, table_name string, exported_at timestamp, received_at timestamp, line_no long, payload string, values string"
@@ -77,5 +79,21 @@ def test_consistent_table_follows_names_through_files(spark):
     assert t["b7"]["x__2"] == "7" and t["b0"]["x__2"] is None and len(t) == 8
 
 
+def test_feeds_of_both_namings_share_columns(spark):
+    one = raw(spark, [("a", [rec(1, site1_x_nm=1.5)])])
+    two = raw(spark, [("b", [rec(1, site_left_x_nm=2.5)])]).withColumn("feed_id", F.lit("g"))
+    t = consistent_table(one.unionByName(two), "frame_table")
+    assert t.columns == ["feed_id", "bundle_id", "frame", "site1_x_nm"] and {r.feed_id: r.site1_x_nm for r in t.collect()} == {"f": "1.5", "g": "2.5"}
+    counts = raw(spark, [("a", [{"bundle_id": "b", "longest_left_run": 3, "right_coverage": 0.5, "left_valid_count": 4}])], "bundle_metadata")
+    assert consistent_table(counts, "bundle_metadata").columns[3:] == ["longest_site1_run", "site1_valid_count", "site2_coverage"]
+
+
+def test_values_of_dropped_fields_and_records_without_key_stay(spark):
+    files = [("a", [rec(1, x=1.5, k="p"), rec(2, x=2.5, k="q"), {"frame": 1, "k": "u"}, {"frame": 1, "k": "v"}, {"bundle_id": "b9", "k": "w"}]), ("b", [rec(1, k="r"), rec(2, k=None), {"bundle_id": "b9", "k": "y"}])]
+    t = consistent_table(raw(spark, files), "frame_table").collect()
+    assert {r.bundle_id: (r.x, r.k) for r in t if r.bundle_id in ("b1", "b2")} == {"b1": ("1.5", "r"), "b2": ("2.5", "q")}
+    assert sorted(r.k for r in t if r.bundle_id is None or r.frame is None) == ["u", "v", "w", "y"]
+
+
 def test_paths_keep_dots_apart():
     assert edit_script(["a.b"], [f"a{STEP}b"], [("a.b", f"a{STEP}b")]) == [("renamed", "a.b", f"a{STEP}b")]

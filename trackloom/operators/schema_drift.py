@@ -81,6 +81,14 @@ def _int(text: str):
     return int(text) if len(text) < 4000 else _Written(text)
 
 
+# Fixed: the left/right names of the exports and the site1/site2 names of the same fields.
+SCHEMES = {
+    left.format(side): left.format(side).replace(f"site_{side}", f"site{s}").replace(side, f"site{s}")
+    for s, side in ((1, "left"), (2, "right"))
+    for left in ("site_{}_x_nm", "site_{}_y_nm", "site_{}_valid", "{}_valid_count", "{}_coverage", "longest_{}_run")
+}
+
+
 def parse_records(raw: DataFrame) -> DataFrame:
     """Add bundle_id, frame, types and values (field -> type, field -> comparable text) to the valid records.
     Lines that are not a JSON object, cut ones included, are left out; a null field is kept with null type
@@ -368,7 +376,8 @@ def _rows(raw: DataFrame) -> DataFrame:
 def projections(files: DataFrame, schemas: DataFrame, found: DataFrame) -> DataFrame:
     """(feed_id, file_id, field, canonical): scripts compiled to one projection per file. A field traces
     back over its renames to the name under which it first appeared; the chains of all feeds are followed
-    at once by pointer doubling, in as many joins as the logarithm of the longest chain."""
+    at once by pointer doubling, in as many joins as the logarithm of the longest chain. Feeds that began with
+    the left/right names get the site1/site2 names of the others (SCHEMES)."""
     at = files.select("feed_id", "file_id", "seq")
     first = schemas.join(at.where("seq = 1"), ["feed_id", "file_id"]).select("feed_id", "seq", "field", F.lit(None).cast("string").alias("came_from"))
     began = found.where("change in ('added', 'renamed')").join(at, ["feed_id", "file_id"])
@@ -393,6 +402,8 @@ def projections(files: DataFrame, schemas: DataFrame, found: DataFrame) -> DataF
     live = schemas.where("field is not null").join(at, ["feed_id", "file_id"]).select("feed_id", "file_id", "seq", "field", "table_name")
     spans = of_life.select("feed_id", "field", F.col("seq").alias("since"), "until", "canonical")
     mapped = live.join(spans, ["feed_id", "field"]).where("since <= seq and seq <= until")
+    schemes = F.create_map(*[F.lit(n) for pair in SCHEMES.items() for n in pair])
+    mapped = mapped.withColumn("canonical", F.coalesce(F.element_at(schemes, F.col("canonical")), "canonical"))
     # two fields of a file that go back to one name: the one that carries it longer keeps it
     clash = Window.partitionBy("feed_id", "file_id", "canonical").orderBy("since", "field")
     place = F.row_number().over(clash)
@@ -408,19 +419,22 @@ def projections(files: DataFrame, schemas: DataFrame, found: DataFrame) -> DataF
 def consistent_table(raw: DataFrame, table_name: str) -> DataFrame:
     """All files of one table as one table: feed_id, bundle_id, frame and one text column per canonical
     field (see projections), values in comparable form (booleans as 1/0). Of a record delivered again
-    the last export counts. Only the names of the fields, not rows, pass the driver."""
+    each field has its value of the last export in which it is not null; records without a key (bundle_id, and
+    frame in frame_table) are not combined but stay by file and line. Only the names of the fields, not rows, pass the driver."""
     records = written(parse_records(_rows(raw.where(F.col("table_name") == table_name))))
     found, files = drift(records)
     plan = written(projections(files, written(file_schemas(records)), written(found)))
     names = [r[0] for r in plan.select("canonical").distinct().orderBy("canonical").collect()]
     of_file = plan.groupBy("feed_id", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "field"))).alias("plan"))
+    unkeyed = F.col("bundle_id").isNull() | (F.col("frame").isNull() if table_name == "frame_table" else F.lit(False))
     renamed = records.join(of_file, ["feed_id", "file_id"]).select(
         "feed_id",
         "bundle_id",
         "frame",
+        F.when(unkeyed, F.struct("file_id", "line_no")).alias("line"),
         F.struct("exported_at", "file_id", "line_no").alias("at"),
         F.transform_values("plan", lambda _, f: F.element_at("values", f)).alias("row"),
     )
-    last = renamed.groupBy("feed_id", "bundle_id", "frame").agg(F.max_by(F.map_entries("row"), "at").alias("row"))
-    row = F.map_from_entries("row")
-    return last.select("feed_id", "bundle_id", "frame", *[F.element_at(row, n).alias(n.replace(STEP, ".")) for n in names])
+    value = lambda n: F.element_at("row", F.lit(n))
+    last = [F.max_by(value(n), F.when(value(n).isNotNull(), F.col("at"))).alias(n.replace(STEP, ".")) for n in names]
+    return renamed.groupBy("feed_id", "bundle_id", "frame", "line").agg(*last).drop("line")
