@@ -96,3 +96,52 @@ def test_longest_increasing_run_is_longest():
                 if t[j] < t[i]:
                     best[i] = max(best[i], best[j] + 1)
         assert len(kept) == best.max()
+
+
+def test_return_is_measured_by_the_runs_own_distance(spark):
+    """A run 100 steps away that comes back to 10 steps from where it left is an outlier, not a shift."""
+    s = walk()
+    s[10] += 100
+    for i in range(11, 40):
+        s[i] += 10
+    assert (11, "x", "spike") in run(spark, s)
+    s = walk()
+    s[10] += 100
+    for i in range(11, 40):
+        s[i] += 60
+    assert [x for x in run(spark, s) if x[2] == "spike"] == []
+
+
+def test_scores_separate_outliers_from_shifts(spark):
+    s = walk(60)
+    s[10] += 100
+    for i in range(40, 60):
+        s[i] += 100
+    rows = [("b", i + 1, "a", NOW, v, None, "clash", 1.0) for i, v in enumerate(s)]
+    lim = spark.createDataFrame([("a", 1000.0)], "acquisition_id string, limit double")
+    got = {r.kind: r for r in implausible_readings(spark.createDataFrame(rows, SCHEMA), lim, ["x"], "t").collect()}
+    assert got["spike"].frame == 11 and got["spike"].score > 12 and got["spike"].score_outlier < got["spike"].score_shift
+    assert got["level_shift"].frame == 41 and got["level_shift"].score_shift < got["level_shift"].score_outlier
+
+
+def test_every_run_of_the_rule_is_found(spark):
+    """The autoregressive tests let every run pass that the exact rule confirms."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for b in range(60):
+        x = 500 + np.cumsum(rng.normal(size=60) * rng.choice([1, 1, 1, 8], 60))
+        for i in rng.integers(1, 57, 5):
+            x[i : i + rng.integers(1, 4)] += rng.choice([-1, 1]) * rng.uniform(8, 60)
+        rows += [(f"b{b}", i + 1, "a", NOW, float(v), None, "", 1.0) for i, v in enumerate(x) if rng.random() > 0.02]
+    want = set()
+    for b in {r[0] for r in rows}:
+        own = [(r[1], r[4]) for r in rows if r[0] == b]
+        f, x = np.array([o[0] for o in own]), np.array([o[1] for o in own])
+        m = np.median(np.abs(np.diff(x)))
+        for i in range(1, len(x)):
+            for k in (1, 2, 3):
+                if i + k < len(x) and (np.abs(x[i : i + k] - x[i - 1]) > 12 * m).all() and abs(x[i + k] - x[i - 1]) <= np.abs(x[i : i + k] - x[i - 1]).min() / 2 and f[i + k] - f[i - 1] == k + 1:
+                    want |= {(b, int(v)) for v in f[i : i + k]}
+    lim = spark.createDataFrame([("a", 1e9)], "acquisition_id string, limit double")
+    got = {(r.bundle_id, r.frame) for r in implausible_readings(spark.createDataFrame(rows, SCHEMA), lim, ["x"], None).where("kind = 'spike'").collect()}
+    assert len(want) > 100 and got == want

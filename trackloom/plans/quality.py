@@ -107,7 +107,7 @@ def p5_readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_readings(spark, d).where("kind <> 'level_shift'").select("bundle_id", "frame", "field")
+    return p5_readings(spark, d).where("kind not in ('level_shift', 'outlier')").select("bundle_id", "frame", "field")
 
 
 P2_SQL = """
