@@ -1,28 +1,37 @@
 """Irregular readings onto a regular grid, with missing cells filled by low-rank factorisation.
 
-Every source gets one entry per period of its group's clock. Cells with a reading are observed and keep
-it exactly. The cells of one group form a source-by-time matrix; alternating least squares fits
-value = source mean + source factor . time factor on the observed cells, and a missing cell is filled
-from it where both its source and its period have enough observed cells; elsewhere it stays unsupported.
+Every source gets one entry per period of its group's clock. Cells with a reading are observed and keep it
+exactly. The source-by-time matrix of each component (a coordinate) is cut into windows of WINDOW periods
+that overlap by half and stacked: rows are windows of sources, columns the periods of a window. Each row is
+centred and divided by its source's median step, and alternating least squares fits
+row = source factor . time factors on the observed cells. A missing cell takes the fitted value of the
+window in which it lies most central, if that window and that period of all windows have enough observed
+cells; elsewhere it stays unsupported.
+
+The time factors are WINDOW x (rank + 1) numbers however many sources, groups and periods there are, so
+they and their normal equations are a fixed-size message between driver and tasks. Source factors are
+solved in the tasks and never leave them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.spikes import segment_medians
 from trackloom.session import written
 
 STATES = np.array(["unsupported", "filled", "observed"], dtype=object)
-MAX_FACTOR_CELLS = 20_000_000  # periods x series x groups of the time factors that tasks may hold
+WINDOW, FAR, PRIOR = 24, 12.0, 10.0
+_BLOCK_CELLS = 100_000  # cells laid out as dense arrays at a time
 
 
-def slot_readings(frames: DataFrame, clocks: DataFrame, series: Sequence[str]) -> DataFrame:
-    """One row per (group_id, source_id, slot): per series whether a reading is there and its mean value.
+def slot_readings(frames: DataFrame, clocks: DataFrame, series: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per (group_id, source_id, slot): per series whether a reading is there, and its mean components.
     Rows with null time or outside the grid go to slot -1, which only shows that the source exists.
     Combined map-side, so a source that holds much of the rows reduces to its slots."""
     slot = F.floor(F.col("time_s") / F.col("period_s") + 0.5)
@@ -32,163 +41,255 @@ def slot_readings(frames: DataFrame, clocks: DataFrame, series: Sequence[str]) -
     return placed.groupBy("group_id", "source_id", "slot").agg(
         F.max("counts").alias("counts"),
         *[F.max(f"{s}_seen").alias(f"{s}_seen") for s in series],
-        *[F.avg(F.when(F.col(f"{s}_seen"), F.col(f"{s}_value"))).alias(f"{s}_value") for s in series],
+        *[F.avg(F.when(F.col(f"{s}_seen"), F.col(c))).alias(c) for s, parts in series.items() for c in parts],
     )
 
 
-def _dense(pdf: pd.DataFrame, name: str, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seen flags and values (NaN where none) of the sources in pdf, sources by slots."""
-    seen, value = np.zeros((len(pdf), slots), bool), np.full((len(pdf), slots), np.nan)
+def _dense(pdf: pd.DataFrame, series: Mapping[str, Sequence[str]]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Seen flags per series and values per component (NaN where none) of the sources in pdf, sources by slots."""
+    shape = (len(pdf), int(pdf["last_slot"].max()) + 1)
     sizes = pdf["slots"].map(len).to_numpy()
     row, col = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf["slots"].to_numpy())
     on = col >= 0
-    flags = np.concatenate(pdf[f"{name}_seen"].to_numpy()).astype(bool)
-    values = np.concatenate(pdf[f"{name}_value"].to_numpy()).astype(float)
-    seen[row[on], col[on]] = flags[on]
-    value[row[on], col[on]] = values[on]
+    seen, value = {}, {}
+    for s, parts in series.items():
+        seen[s] = np.zeros(shape, bool)
+        seen[s][row[on], col[on]] = np.concatenate(pdf[f"{s}_seen"].to_numpy()).astype(bool)[on]
+        for c in parts:
+            value[c] = np.full(shape, np.nan)
+            value[c][row[on], col[on]] = np.concatenate(pdf[c].to_numpy()).astype(float)[on]
     return seen, value
 
 
-def _centred(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    there = np.isfinite(value)
-    n = there.sum(1)
-    mean = np.divide(np.where(there, value, 0).sum(1), n, out=np.zeros(len(n)), where=n > 0)
-    return there, np.where(there, value - mean[:, None], 0.0), mean
+def _fit_cells(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells the factors are fitted to and the scale of each source (its median step): readings outside
+    low..high, and readings more than FAR scales from the median of the two before and after, stay out."""
+    with np.errstate(invalid="ignore"):
+        use = np.isfinite(value) & (value >= low[:, None]) & (value <= high[:, None])
+    seg, col = np.nonzero(use)
+    x = value[seg, col]
+    inner = seg[1:] == seg[:-1]
+    scale = segment_medians(np.abs(np.diff(x))[inner], seg[1:][inner], len(value))
+    scale = np.where(scale > 0, scale, 1.0)
+    around = np.full((4, len(x)), np.nan)
+    for k, shift in enumerate((-2, -1, 1, 2)):
+        at = np.arange(len(x)) + shift
+        there = (at >= 0) & (at < len(x))
+        there[there] = seg[at[there]] == seg[there]
+        around[k, there] = x[at[there]]
+    some = ~np.isnan(around).all(0)
+    middle = np.full(len(x), np.nan)
+    middle[some] = np.nanmedian(around[:, some], axis=0)
+    far = np.abs(x - middle) > FAR * scale[seg]
+    use[seg[far], col[far]] = False
+    return use, scale
+
+
+def _windows(slots: int) -> list[int]:
+    """First periods of the windows: half a window apart, the last one reaching the end."""
+    half = WINDOW // 2
+    return list(range(0, max(1, slots - half), half))
+
+
+def _rows(value: np.ndarray, use: np.ndarray, scale: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Windows with at least `least` cells: source, first period, cells in use, standardised values, mean."""
+    wide = [(0, 0), (0, WINDOW)]
+    v, u = np.pad(np.where(use, value, 0.0), wide), np.pad(use, wide)
+    out = []
+    for first in _windows(value.shape[1]):
+        o = u[:, first : first + WINDOW]
+        n = o.sum(1)
+        at = np.flatnonzero(n >= least)
+        o = o[at]
+        mean = (v[at, first : first + WINDOW]).sum(1) / n[at]
+        y = np.where(o, v[at, first : first + WINDOW] - mean[:, None], 0.0) / scale[at][:, None]
+        out.append((at, np.full(len(at), first), o, y, mean))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def start_factors(rank: int) -> tuple[np.ndarray, float]:
+    """Time factors of a random walk, and the variance that the ranks left out would hold: the level and the
+    slowest cosines of the window with the walk's spectrum. Deterministic and of full rank."""
+    k = np.arange(1, WINDOW)
+    size = 1.4826 * np.sqrt(2 / WINDOW) / np.sqrt(2 - 2 * np.cos(np.pi * k / WINDOW))
+    t = (np.arange(WINDOW) + 0.5) / WINDOW
+    waves = np.cos(np.pi * np.outer(t, k)) * size
+    rest = (waves[:, rank:] ** 2).sum(1).mean() if rank < WINDOW - 1 else 0.0
+    return np.hstack([np.full((WINDOW, 1), float(WINDOW)), waves[:, :rank]]), max(rest, 0.02)
+
+
+def source_factors(o: np.ndarray, y: np.ndarray, v: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares source factors of rows with cells o, and their covariances. The unit ridge is the factors'
+    own spread (the time factors carry the size), so every system is positive definite."""
+    q = v.shape[1]
+    squares = (v[:, :, None] * v[:, None, :]).reshape(len(v), q * q)
+    gram = (o.astype(float) @ squares).reshape(-1, q, q) / noise + np.eye(q)
+    cov = np.linalg.inv(gram)
+    return np.einsum("npq,nq->np", cov, (y @ v) / noise), cov
+
 
+def time_equations(o: np.ndarray, y: np.ndarray, v: np.ndarray, noise: float) -> np.ndarray:
+    """Sums over rows for the other half step, one line per period of the window: Gram matrix, right-hand side,
+    cells, squared residuals. They add up over tasks."""
+    u, cov = source_factors(o, y, v, noise)
+    q = v.shape[1]
+    on = o.astype(float)
+    moments = (cov + u[:, :, None] * u[:, None, :]).reshape(-1, q * q)
+    spread = np.einsum("wp,wpq,wq->w", v, (on.T @ cov.reshape(-1, q * q)).reshape(-1, q, q), v)
+    misfit = (on * (y - u @ v.T) ** 2).sum(0) + spread
+    return np.hstack([on.T @ moments, y.T @ u, on.sum(0)[:, None], misfit[:, None]])
 
-def _source_factors(there: np.ndarray, y: np.ndarray, v: np.ndarray, ridge: float) -> np.ndarray:
-    gram = np.einsum("bs,sr,sq->brq", there.astype(float), v, v, optimize=True) + ridge * np.eye(v.shape[1])
-    return np.linalg.solve(gram, (y @ v)[..., None])[..., 0]
 
+def solve_time(total: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """Time factors and noise from summed equations. The starting factors count as PRIOR further rows, so few rows
+    move them little and no system is singular."""
+    q = start.shape[1]
+    gram, right = total[:, : q * q].reshape(-1, q, q), total[:, q * q : q * q + q]
+    new = np.linalg.solve(gram + PRIOR * np.eye(q), (right + PRIOR * start)[..., None])[..., 0]
+    return new, max(float(total[:, -1].sum() / max(total[:, -2].sum(), 1.0)), 1e-3)
 
-def _start(slots: int, rank: int) -> np.ndarray:
-    """Cosine basis over the periods: deterministic and of full rank."""
-    t = (np.arange(slots) + 0.5) / slots
-    return np.cos(np.pi * np.outer(t, np.arange(1, rank + 1)))
+
+def _components(pdf: pd.DataFrame, series: Mapping[str, Sequence[str]], signed: Sequence[str]) -> Iterator[tuple]:
+    """Dense arrays of a block of sources: seen flags, values, and per component its fit cells and scale."""
+    each = max(1, _BLOCK_CELLS // (int(pdf["last_slot"].max()) + 1)) if len(pdf) else 1
+    for start in range(0, len(pdf), each):
+        own = pdf.iloc[start : start + each]
+        seen, value = _dense(own, series)
+        high = np.where(np.isnan(h := own["limit"].to_numpy(float)), np.inf, h)
+        yield own, seen, value, {c: _fit_cells(value[c], -high if s in signed else np.zeros(len(high)), high) for s, parts in series.items() for c in parts}, high
 
 
 def regular_grid(
     frames: DataFrame,
     sources: DataFrame,
     clocks: DataFrame,
-    series: Sequence[str],
-    rank: int = 3,
-    rounds: int = 3,
-    ridge: float = 1e-3,
+    series: Mapping[str, Sequence[str]],
+    signed: Sequence[str] = (),
+    rank: int = 16,
+    rounds: int = 8,
+    tolerance: float = 0.02,
     least_cells: int = 5,
 ) -> DataFrame:
-    """(bundle_id, slot, series, state, value) with state observed, filled or unsupported.
+    """(bundle_id, slot, series, state, x, y, sd) with state observed, filled or unsupported.
 
-    frames: group_id, source_id, time_s, counts (boolean; a source needs one true) and per series
-    <series>_seen, <series>_value. sources: source_id, the sources wanted. clocks: group_id, period_s,
-    last_slot, one row per group. Other columns are ignored.
+    series: name -> its one or two components. frames: group_id, source_id, time_s, counts (boolean; a source
+    needs one true), per series <series>_seen and its components. sources: source_id, the sources wanted.
+    clocks: group_id, period_s, last_slot and limit (the largest possible component; null for none), one row
+    per group. signed: series whose components run from -limit, the others from 0. Other columns are ignored.
 
     Rows without source or clock, null or not positive periods and sources absent from `sources` give no
-    entries. A frame with null or NaN time, or outside slots 0..last_slot, fills no slot. A slot with a
-    true flag but no value is observed with value null. Repeated rows change nothing but the mean of
-    their slot. Empty tables give an empty result.
+    entries. A frame with null or NaN time, or outside slots 0..last_slot, fills no slot. A slot with a true
+    flag but no value is observed with null components. Repeated rows change nothing but the mean of their
+    slot. Observed cells keep their mean reading even where it is impossible; such readings and spikes (see
+    _fit_cells) only stay out of the fit. A fill outside the limits is unsupported instead. sd is the model's
+    standard deviation of a fill. Empty tables give an empty result.
+
+    Rounds end when the noise changes by less than `tolerance` (relative), or after `rounds`.
 
     Cost: one shuffle of readings combined by slot, one of slots gathered by source (at most last_slot + 2
-    per source), then `rounds` passes over that table; each pass sends rank*(rank+3)/2 sums per group and
-    period from each task. Time factors have one row per period of each clock; they are sent to the tasks
-    and their number is checked against MAX_FACTOR_CELLS.
+    per source), then a pass over that table per round, which sends WINDOW x (rank + 2)^2 sums per task.
     """
-    spark = frames.sparkSession
+    names = [c for parts in series.values() for c in parts]
     clocks = clocks.where((F.col("period_s") > 0) & F.col("last_slot").isNotNull() & (F.col("last_slot") >= 0)).select(
-        "group_id", "period_s", F.col("last_slot").cast("int").alias("last_slot")
+        "group_id", "period_s", F.col("last_slot").cast("int").alias("last_slot"), F.col("limit").cast("double").alias("limit")
     )
     slots = slot_readings(frames.where(F.col("source_id").isNotNull()), clocks, series)
-    names = ["slot", *[f"{s}_{k}" for s in series for k in ("seen", "value")]]
+    cells = ["slot", *[f"{s}_seen" for s in series], *names]
     gathered = (
         slots.groupBy("group_id", "source_id")
-        .agg(F.max("counts").alias("counts"), F.collect_list(F.struct(*names)).alias("cells"))
+        .agg(F.max("counts").alias("counts"), F.collect_list(F.struct(*cells)).alias("cells"))
         .where("counts")
-        .join(sources.select("source_id").distinct(), "source_id", "left_semi")
+        .join(sources.select("source_id").distinct().hint("shuffle_hash"), "source_id", "left_semi")
         .join(clocks, "group_id")
         .select(
-            "group_id",
             "source_id",
             "last_slot",
+            "limit",
             F.col("cells.slot").alias("slots"),
             *[F.transform(f"cells.{s}_seen", lambda x: F.coalesce(x, F.lit(False))).alias(f"{s}_seen") for s in series],
-            *[F.col(f"cells.{s}_value").alias(f"{s}_value") for s in series],
+            *[F.col(f"cells.{c}").alias(c) for c in names],
         )
     )
     matrix = written(gathered)
-    periods = clocks.agg(F.sum(F.col("last_slot").cast("long") + 1)).first()[0] or 0
-    if periods * rank * len(series) > MAX_FACTOR_CELLS:
-        raise ValueError("the clocks have more periods than the tasks may hold time factors for")
-    sizes = {r["group_id"]: r["last_slot"] + 1 for r in clocks.select("group_id", "last_slot").collect()}
-    factors = {(g, s): _start(n, rank) for g, n in sizes.items() for s in series}
-    upper = np.triu_indices(rank)
-    sums = [f"g{i}" for i in range(len(upper[0]))] + [f"b{i}" for i in range(rank)]
-    support: dict = {}
+    start, noise = start_factors(rank)
+    v, known = start, np.zeros(WINDOW, bool)
+    width = (rank + 1) * (rank + 2) + 2
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast(factors)
 
-        def normal(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            total: dict = {}
+        def equations(batches: Iterator[pd.DataFrame], v: np.ndarray = v, noise: float = noise) -> Iterator[pd.DataFrame]:
+            total = np.zeros((WINDOW, width))
             for pdf in batches:
-                for g, own in pdf.groupby("group_id", sort=False):
-                    for s in series:
-                        v = held.value[g, s]
-                        there, y, _ = _centred(_dense(own, s, len(v))[1])
-                        u = _source_factors(there, y, v, ridge) * (there.sum(1) >= least_cells)[:, None]
-                        gram = there.T.astype(float) @ (u[:, upper[0]] * u[:, upper[1]])
-                        block = np.hstack([gram, y.T @ u, there.sum(0)[:, None]])
-                        total[g, s] = total[g, s] + block if (g, s) in total else block
-            for (g, s), block in total.items():
-                yield pd.DataFrame(block, columns=[*sums, "n"]).assign(group_id=g, series=s, slot=np.arange(len(block)))
-
-        kinds = ", ".join(f"{c} double" for c in [*sums, "n"])
-        equations = matrix.mapInPandas(normal, f"{kinds}, group_id string, series string, slot int")
-        table = equations.groupBy("group_id", "series", "slot").agg(*[F.sum(c).alias(c) for c in [*sums, "n"]]).toPandas()
-        for (g, s), own in table.groupby(["group_id", "series"]):
-            own = own.sort_values("slot")
-            block = own[sums].to_numpy(float)
-            gram = np.zeros((len(own), rank, rank))
-            gram[:, upper[0], upper[1]] = block[:, : len(upper[0])]
-            gram[:, upper[1], upper[0]] = block[:, : len(upper[0])]
-            v = np.linalg.solve(gram + ridge * np.eye(rank), block[:, len(upper[0]) :, None])[..., 0]
-            # columns of unit length keep the ridge small beside the Gram matrix of the next round
-            length = np.sqrt((v**2).mean(0))
-            factors[g, s] = v / np.where(length > 0, length, 1.0)
-            support[g, s] = own["n"].to_numpy() >= least_cells
-        held.destroy()
-    held = spark.sparkContext.broadcast((factors, support))
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for _, _, value, fit, _ in _components(pdf, series, signed):
+                    for c in names:
+                        _, _, o, y, _ = _rows(value[c], *fit[c], least_cells)
+                        if len(o):
+                            total += time_equations(o, y, v, noise)
+            yield pd.DataFrame({"period": np.arange(WINDOW), "sums": list(total)})
+
+        sums = matrix.mapInPandas(equations, "period int, sums array<double>").select("period", F.posexplode("sums").alias("at", "part"))
+        lines = sums.groupBy("period", "at").agg(F.sum("part").alias("total")).collect()  # WINDOW x width numbers, whatever the input
+        total = np.zeros((WINDOW, width))
+        for period, at, part in lines:
+            total[period, at] = part
+        if not total[:, -2].any():
+            break
+        before = noise
+        v, noise = solve_time(total, start)
+        known = total[:, -2] >= least_cells
+        if abs(noise - before) <= tolerance * before:
+            break
+
+    def entries(batches: Iterator[pd.DataFrame], v: np.ndarray = v, noise: float = noise, known: np.ndarray = known) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            # a few hundred sources at a time: each becomes one row per slot
-            for (g, _), own in pdf.groupby(["group_id", np.arange(len(pdf)) // 512], sort=False):
-                for s in series:
-                    v = held.value[0][g, s]
-                    seen, value = _dense(own, s, len(v))
-                    there, y, mean = _centred(value)
-                    fitted = _source_factors(there, y, v, ridge) @ v.T + mean[:, None]
-                    able = (there.sum(1) >= least_cells)[:, None] & held.value[1].get((g, s), np.zeros(len(v), bool))[None, :]
-                    row, col = np.indices(seen.shape)
-                    state = STATES[np.where(seen, 2, able.astype(int))]
-                    yield pd.DataFrame(
-                        {
-                            "bundle_id": own["source_id"].to_numpy(object)[row.ravel()],
-                            "slot": col.ravel().astype(np.int64),
-                            "series": s,
-                            "state": state.ravel(),
-                            "value": np.where(seen, value, np.where(able, fitted, np.nan)).ravel(),
-                        }
-                    )
-
-    out = matrix.mapInPandas(entries, "bundle_id string, slot long, series string, state string, value double")
-    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+            for own, seen, value, fit, high in _components(pdf, series, signed):
+                inside = np.arange(seen[next(iter(series))].shape[1]) <= own["last_slot"].to_numpy()[:, None]
+                for s, parts in series.items():
+                    filled = {c: _fill(value[c], *fit[c], seen[s] | ~inside, v, noise, known, least_cells) for c in parts}
+                    low = -high if s in signed else np.zeros(len(high))
+                    with np.errstate(invalid="ignore"):
+                        able = np.logical_and.reduce([(x >= low[:, None]) & (x <= high[:, None]) for x, _ in filled.values()])
+                    row, col = np.nonzero(inside)
+                    state = np.where(seen[s], 2, able.astype(int))[row, col]
+                    out = {"bundle_id": own["source_id"].to_numpy(object)[row], "slot": col.astype(np.int64), "series": s, "state": STATES[state]}
+                    for name, c in zip("xy", parts):
+                        out[name] = np.where(state == 2, value[c][row, col], np.where(state == 1, filled[c][0][row, col], np.nan))
+                    sd = np.sqrt(sum(filled[c][1] ** 2 for c in parts))[row, col]
+                    yield pd.DataFrame({**{"y": np.nan}, **out, "sd": np.where(state == 1, sd, np.nan)})[["bundle_id", "slot", "series", "state", "x", "y", "sd"]]
+
+    out = matrix.mapInPandas(entries, "bundle_id string, slot long, series string, state string, x double, y double, sd double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "sd")})
+
+
+def _fill(value: np.ndarray, use: np.ndarray, scale: np.ndarray, settled: np.ndarray, v: np.ndarray, noise: float, known: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fitted value and standard deviation of the cells not settled, from the window in which each is most central
+    among those whose time factors are known there."""
+    at, first, o, y, mean = _rows(value, use, scale, least)
+    shape = (len(value), value.shape[1] + WINDOW)
+    found, spread, off = np.full(shape, np.nan), np.full(shape, np.nan), np.full(shape, np.inf)
+    left = np.pad(~settled, [(0, 0), (0, WINDOW)])
+    for f in np.unique(first):
+        own = np.flatnonzero(first == f)
+        own = own[left[at[own], f : f + WINDOW].any(1)]  # a window without missing cells needs no factors
+        if not len(own):
+            continue
+        u, cov = source_factors(o[own], y[own], v, noise)
+        part = np.ix_(at[own], np.arange(f, f + WINDOW))
+        beside = np.where(known, np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2), np.inf)
+        nearer = beside < off[part]
+        variance = np.einsum("wp,npq,wq->nw", v, cov, v, optimize=True) + noise
+        found[part] = np.where(nearer, u @ v.T * scale[at[own]][:, None] + mean[own][:, None], found[part])
+        spread[part] = np.where(nearer, np.sqrt(variance) * scale[at[own]][:, None], spread[part])
+        off[part] = np.where(nearer, beside, off[part])
+    return found[:, : value.shape[1]], spread[:, : value.shape[1]]
+
+
+def _finite(v: Column) -> Column:
+    return F.when(F.abs(v) < float("inf"), F.when(~F.isnan(v), v))
 
 
 def by_bundle(frame_table: DataFrame, bundle_metadata: DataFrame, acquisition_index: DataFrame) -> DataFrame:
-    """The grid of the frame table: series site1 (x position) and paired (separation of the sites)."""
-    value = {
-        "site1": F.col("site1_x_nm"),
-        "paired": F.hypot(F.col("site2_x_nm") - F.col("site1_x_nm"), F.col("site2_y_nm") - F.col("site1_y_nm")),
-    }
+    """The grid of the frame table: series site1 (its position) and paired (the vector from site 1 to site 2)."""
+    across = lambda a: F.col(f"site2_{a}_nm") - F.col(f"site1_{a}_nm")
     frames = frame_table.select(
         F.col("acquisition_id").alias("group_id"),
         F.col("bundle_id").alias("source_id"),
@@ -196,11 +297,12 @@ def by_bundle(frame_table: DataFrame, bundle_metadata: DataFrame, acquisition_in
         F.col("site1_valid").isNotNull().alias("counts"),
         F.col("site1_valid").alias("site1_seen"),
         F.col("paired_valid").alias("paired_seen"),
-        *[F.when(F.abs(v) < float("inf"), F.when(~F.isnan(v), v)).alias(f"{s}_value") for s, v in value.items()],
+        *[_finite(F.col(f"site1_{a}_nm")).alias(f"site1_{a}") for a in "xy"],
+        *[_finite(across(a)).alias(f"paired_{a}") for a in "xy"],
     )
     clocks = acquisition_index.groupBy(F.col("nd2_id").alias("group_id")).agg(
-        F.max("median_interval_s").alias("period_s"), F.max("movie_duration_s").alias("duration_s")
+        F.max("median_interval_s").alias("period_s"), F.max("movie_duration_s").alias("duration_s"), F.max("field_width_nm").alias("limit")
     )
     clocks = clocks.withColumn("last_slot", F.floor(F.col("duration_s") / F.col("period_s") + 0.5))
     sources = bundle_metadata.select(F.col("bundle_id").alias("source_id")).where("source_id is not null")
-    return regular_grid(frames, sources, clocks, ["site1", "paired"])
+    return regular_grid(frames, sources, clocks, {s: [f"{s}_x", f"{s}_y"] for s in ("site1", "paired")}, signed=["paired"])
