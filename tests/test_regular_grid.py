@@ -88,11 +88,11 @@ def test_held_out_cells_are_filled_as_well_as_by_lines(spark):
     width = index.select(fn.max("field_width_nm")).first()[0]
     filled = got[got.state == "filled"]
     assert filled.x.between(0, width).all() and filled.y.between(0, width).all()
-    rows = frames.where("site1_valid").join(index, frames.acquisition_id == index.nd2_id).withColumn("slot", fn.floor(fn.col("micro_time_s") / fn.col("median_interval_s") + 0.5))
+    rows = frames.where("site1_valid and micro_time_s >= 0 and not isnan(micro_time_s)").join(index, frames.acquisition_id == index.nd2_id).withColumn("slot", fn.floor(fn.col("micro_time_s") / fn.col("median_interval_s") + 0.5))
     seen = rows.where("site1_x_nm between 0 and field_width_nm").groupBy("bundle_id", "slot").agg(fn.avg("site1_x_nm").alias("x"), fn.min("hidden").alias("hidden")).toPandas()
     true = seen[seen.hidden].set_index(["bundle_id", "slot"]).x
     both = filled.join(true.rename("true"), how="inner")
     known = {b: (p.slot.to_numpy(), p.x.to_numpy()) for b, p in seen[~seen.hidden].sort_values("slot").groupby("bundle_id")}
     lines = np.array([np.interp(s, *known[b]) for b, s in both.index])
-    assert len(both) > 1000
+    assert len(both) > 1000, len(both)
     assert np.median(np.abs(both.x - both.true)) <= 1.05 * np.median(np.abs(lines - both.true))
