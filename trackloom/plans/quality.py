@@ -1,15 +1,13 @@
-"""Queries of the data-quality problems 1 to 5."""
+"""Queries of the data-quality problems 1, 2, 4 and 5."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.operators import orphans, percentiles, regular_grid, schema_drift, spikes
+from trackloom.operators import orphans, regular_grid, schema_drift, spikes
 from trackloom.sources.tables import table
 
-PERCENTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
-
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.changes(table(spark, d, "export_records"))
@@ -31,48 +29,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_grid(spark, d).where("state <> 'observed'").select("bundle_id", "slot", "series")
 
 
-def _interval_columns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "frame_table").select("acquisition_id", "frame_interval_s")
-
-
-def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """The three groupings as one long column, so that one set of passes serves them all."""
-    curves = table(spark, d, "unit_curves").where("not isnan(value)")
-    text = lambda c: F.col(c).cast("string")
-    hour = F.when(~F.isnan("hour_post_delivery"), text("hour_post_delivery"))
-    long = (
-        table(spark, d, "frame_table")
-        .select(
-            F.lit("frame_interval_s by acquisition_id").alias("measure"),
-            F.col("acquisition_id").alias("group_a"),
-            F.lit(None).cast("string").alias("group_b"),
-            F.col("frame_interval_s").alias("value"),
-        )
-        .union(curves.select(F.lit("value by metric and hour"), "metric", hour, "value"))
-        .union(curves.select(F.lit("value by nd2_id"), "nd2_id", F.lit(None).cast("string"), "value"))
-    )
-    return percentiles.percentiles(long, "value", ["measure", "group_a", "group_b"], PERCENTILES).select(
-        "measure", "group_a", "group_b", "p", "n", F.round("percentile", 9).alias("percentile")
-    )
-
-
-P3_SQL = f"""
-with v as (
-  select 'frame_interval_s by acquisition_id' as measure, acquisition_id as group_a, cast(null as varchar) as group_b, frame_interval_s as value from frame_table
-  union all select 'value by metric and hour', metric, cast(case when not isnan(hour_post_delivery) then hour_post_delivery end as varchar), value from unit_curves
-  union all select 'value by nd2_id', nd2_id, cast(null as varchar), value from unit_curves),
-k as (select * from v where value is not null and not isnan(value)),
-ps as (select unnest([{", ".join(map(str, PERCENTILES))}]::double[]) as p),
-o as (select *, row_number() over (partition by measure, group_a, group_b order by value) - 1 as r from k),
-c as (select measure, group_a, group_b, count(*) as n from k group by all),
-t as (select c.*, p, floor(p * (n - 1)) as lo, ceil(p * (n - 1)) as hi from c, ps)
-select t.measure, t.group_a, t.group_b, p, n,
-  round(max(case when r = lo then value end) * (1 - (p * (n - 1) - lo)) + max(case when r = hi then value end) * (p * (n - 1) - lo), 9) as percentile
-from t join o on t.measure = o.measure and t.group_a is not distinct from o.group_a and t.group_b is not distinct from o.group_b and r in (lo, hi)
-group by t.measure, t.group_a, t.group_b, p, n, lo, hi
-"""
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     frames, bundles, crops = (table(spark, d, t) for t in ("frame_table", "bundle_metadata", "crop_index"))
     key = lambda a, b: F.concat(F.col(a), F.lit("|"), F.col(b))
@@ -133,9 +89,8 @@ QUERIES = {
     "p1_bundle_metadata": p1_bundle_metadata,
     "p2_found": p2_found,
     "p2_grid": p2_grid,
-    "p3_percentiles": p3_percentiles,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_readings": p5_readings,
 }
-ORACLES = {"p2_found": P2_SQL, "p3_percentiles": P3_SQL, "p4_found": P4_SQL}
+ORACLES = {"p2_found": P2_SQL, "p4_found": P4_SQL}
