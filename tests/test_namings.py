@@ -32,14 +32,14 @@ def mixed(data, tmp_path_factory):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_names_make_no_difference(spark, data, mixed, name):
-    """NAME_both on mixed names equals NAME on the same rows under one name, and its own SQL."""
-    found = entry.queries()[f"{name}_both"](spark, mixed)
+    """A query on mixed names equals the query on the same rows under one name, and its own SQL."""
+    found = entry.queries()[name](spark, mixed)
     got = rows(found.columns, found.collect())
     plain = entry.queries()[name](spark, data)
     assert got == rows(plain.columns, plain.collect())
     con = duckdb.connect()
     for p in Path(mixed).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
-    result = con.execute(entry.oracle_sql()[f"{name}_both"])
+    result = con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in result.description]
     assert got == rows(names, result.fetchall())

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from trackloom.plans import cohort_queries, kernels, quality, summaries
 
-NAMES = "p2_found p3_percentiles p4_found k_mscd k_vcc_matrix k_directed_bursts u_matched_delta a_hour_curves f_trajectory_fits q_missingness_census q_track_loss s_histogram g_gallery v_reconciliation".split()
+NAMES = "p2_found p4_found k_mscd k_vcc_matrix k_directed_bursts u_matched_delta a_hour_curves f_trajectory_fits q_missingness_census q_track_loss s_histogram g_gallery v_reconciliation".split()
 
 
 @pytest.fixture(scope="module")

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 TIE = 1.37e-11
 
 
+#: From here on a double's last digits depend on the order of a sum, so numbers are rounded to single precision.
+LARGE = 1e7
+
+
 def rounded(c: Column | str, digits: int = 6) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + F.lit(TIE), digits)
+    return F.when(F.abs(c).between(LARGE, 1e30), c.cast("float").cast("double")).otherwise(F.round(c + F.lit(TIE), digits))
 
 
 def clip(c: Column, low: float, high: float) -> Column:

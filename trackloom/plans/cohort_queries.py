@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.functions.numeric import rounded
 from trackloom.operators import cohorts, curves, points, resampling
 from trackloom.plans.kernels import _r, _round, frames as bundle_frames
 from trackloom.session import written
-from trackloom.sources.tables import table
+from trackloom.sources.tables import named_sql, named_table as table
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +98,9 @@ def s_separation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _round(cohorts.separation_histogram(cohorts.shared_separation(_frames(spark, d)).where("separation_nm < 20000 and hour_post_delivery is not null"), keys=["hour_post_delivery"]))
-
-
-def s_histogram_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every shared frame, however far apart; s_histogram has those under 20,000 nm with a known hour."""
-    return _round(cohorts.separation_runs(cohorts.shared_separation(_frames(spark, d)), keys=["hour_post_delivery"]))
+    """Every shared frame, however far apart: occurring bins and runs of empty ones."""
+    runs = cohorts.separation_runs(cohorts.shared_separation(_frames(spark, d)), keys=["hour_post_delivery"])
+    return runs.withColumn("probability", rounded("probability"))
 
 
 def s_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -119,17 +117,12 @@ def _hour_means(shared: DataFrame) -> DataFrame:
 
 
 def s_hour_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return _hour_means(cohorts.shared_separation(_frames(spark, d)).where("separation_nm < 20000"))
-
-
-def s_hour_statistics_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every shared frame, however far apart; s_hour_statistics has those under 20,000 nm."""
     return _hour_means(cohorts.shared_separation(_frames(spark, d)))
 
 
 def s_hour_p_values(spark: SparkSession, d: str) -> DataFrame:
     """Difference of each hour's mean from the earliest hour's, two-sided normal p with Benjamini-Hochberg."""
-    own = s_hour_statistics_all(spark, d)
+    own = s_hour_statistics(spark, d)
     first = own.agg(F.min_by(F.struct("mean", "se"), "hour_post_delivery").alias("f"))
     z = (F.col("mean") - F.col("f.mean")) / F.sqrt(F.col("se") * F.col("se") + F.col("f.se") * F.col("f.se"))
     scored = own.join(F.broadcast(first), F.lit(True)).where("mean <> f.mean").select("hour_post_delivery", z.alias("z"))
@@ -224,20 +217,19 @@ def _codes(source: str, codes: dict[str, str], key: str) -> str:
     return " union all ".join(f"select '{c}' as code, count(*) as violations, min({key}) as example from {source} where {w} having count(*) > 0" for c, w in codes.items())
 
 
-HOUR_STATS = f"""{QC}, per as (select bundle_id, acquisition_id, cell_id, hour_post_delivery, avg(separation_nm) / 1000 as v from shared where separation_nm < 20000 group by all),
+HOUR_STATS = f"""{QC}, per as (select bundle_id, acquisition_id, cell_id, hour_post_delivery, avg(separation_nm) / 1000 as v from shared group by all),
 cl as (select hour_post_delivery, concat_ws('|', acquisition_id, cell_id) as crop, sum(v) as s, count(*) as m from per where hour_post_delivery is not null group by all),
 hr as (select hour_post_delivery, cast(sum(m) as bigint) as n, count(*) as clusters, sum(s) / sum(m) as mean from cl group by hour_post_delivery),
 meat as (select hour_post_delivery, sum(pow(s - m * mean, 2)) as meat from cl join hr using (hour_post_delivery) group by hour_post_delivery),
 stats as (select hour_post_delivery, n, clusters, mean, sqrt(meat / (n * n) * (sum(clusters) over () / (sum(clusters) over () - 1.0)) * ((sum(n) over () - 1.0) / (sum(n) over () - count(*) over ()))) as se from hr join meat using (hour_post_delivery))
 """
-HOUR_STATS_ALL = HOUR_STATS.replace(" where separation_nm < 20000", "")
 
 QUERIES = {f.__name__: f for f in (
     q_bundle_summary, q_point_channel, q_missingness_census, q_missingness_asymmetry, q_technical_hierarchy, q_timing_hierarchy, q_one_to_one, q_sensitivity_grid, q_primary_cohort, q_cohort_flow, q_tiers,
-    q_channels, q_coverage_associations, q_motion_coverage, q_track_loss, q_dropout_stress, q_intervals, s_separation, s_histogram, s_histogram_all, s_threshold_sweep, s_shape_candidates, s_hour_statistics, s_hour_statistics_all, s_hour_p_values,
+    q_channels, q_coverage_associations, q_motion_coverage, q_track_loss, q_dropout_stress, q_intervals, s_separation, s_histogram, s_threshold_sweep, s_shape_candidates, s_hour_statistics, s_hour_p_values,
     sel_complete_pairs, sel_extremes, sel_hour_census, g_gallery, g_aligned, g_half_width, v_frame_issues, v_bundle_issues, v_reconciliation,
 )}
-ORACLES = {
+ORACLES = {n: named_sql(sql) for n, sql in {
     "q_bundle_summary": f"""{QC}, c as (select bundle_id, count(*) as frame_rows, count(*) filter (site1_valid) as site1_count, count(*) filter (site2_valid) as site2_count, count(*) filter (paired_valid) as paired_count, count(*) filter (bp1_valid) as bp1_count from qf group by bundle_id)
 select c.*, coalesce(r1.longest, 0) as longest_site1, coalesce(r2.longest, 0) as longest_site2, coalesce(rp.longest, 0) as longest_paired, nominal_frame_count as nominal,
   {_r("case when nominal_frame_count > 0 then site1_count / nominal_frame_count end", "site1_coverage")}, {_r("case when nominal_frame_count > 0 then site2_count / nominal_frame_count end", "site2_coverage")}, {_r("case when nominal_frame_count > 0 then paired_count / nominal_frame_count end", "paired_coverage")}
@@ -296,11 +288,7 @@ select acquisition_id, cells, {", ".join(_r(f"case when cells >= 5 then {a} end"
     "q_intervals": f"""{QC} select bundle_id, frame, {_r("coalesce(lead(micro_time_s) over w - micro_time_s, micro_time_s - lag(micro_time_s) over w, frame_interval_s)", "interval_s")} from qf window w as (partition by bundle_id order by frame)""",
     "s_separation": f"""{QC} select hour_post_delivery, count(*) as frames, count(distinct bundle_id) as bundles, count(*) filter (separation_nm > 550) as above, {_r("100.0 * count(*) filter (separation_nm > 550) / count(*)", "percent_above", 3)},
   {_r("median(separation_nm)", "median_nm", 3)}, {_r("quantile_cont(separation_nm, 0.25)", "q25_nm", 3)}, {_r("quantile_cont(separation_nm, 0.75)", "q75_nm", 3)}, {_r("max(separation_nm)", "max_nm", 3)} from shared where hour_post_delivery is not null group by hour_post_delivery""",
-    "s_histogram": f"""{QC}, s as (select hour_post_delivery, cast(floor(separation_nm / 50) as bigint) as bin from shared where separation_nm < 20000 and hour_post_delivery is not null), c as (select hour_post_delivery, bin, count(*) as n from s group by all),
-t as (select hour_post_delivery, count(*) as total from s group by hour_post_delivery), g as (select unnest(range(0, (select max(bin) + 1 from s))) as bin)
-select t.hour_post_delivery, g.bin * 50.0::double as bin_left_nm, coalesce(n, 0) as frames, {_r("coalesce(n, 0) / total", "probability")}, case when g.bin * 50 >= 550 then 'above' else 'at_or_below' end as side
-from t cross join g left join c on c.hour_post_delivery = t.hour_post_delivery and c.bin = g.bin""",
-    "s_histogram_all": f"""{QC}, c as (select hour_post_delivery, cast(floor(separation_nm / 50) as bigint) as bin, count(*) as n from shared group by all), t as (select hour_post_delivery, sum(n) as total from c group by all),
+    "s_histogram": f"""{QC}, c as (select hour_post_delivery, cast(floor(separation_nm / 50) as bigint) as bin, count(*) as n from shared group by all), t as (select hour_post_delivery, sum(n) as total from c group by all),
 marks as (select * from c union all select hour_post_delivery, (select max(bin) + 1 from c), null from t), gaps as (select hour_post_delivery, bin, 1 + lag(bin, 1, -1) over (partition by hour_post_delivery order by bin) as start from marks),
 r as (select hour_post_delivery, bin as a, bin + 1 as b, n from c union all select hour_post_delivery, start, least(bin, 11), 0 from gaps where start < least(bin, 11) union all select hour_post_delivery, greatest(start, 11), bin, 0 from gaps where greatest(start, 11) < bin)
 select r.hour_post_delivery, a * 50.0::double as bin_left_nm, b * 50.0::double as bin_right_nm, cast(n as bigint) as frames, {_r("n / total", "probability")}, case when a >= 11 then 'above' else 'at_or_below' end as side
@@ -312,7 +300,6 @@ u as (select *, case when h <= 3.5 then p > lag(p) over (partition by threshold_
 a as (select threshold_nm, bool_and(coalesce(up, true)) as rises, max(p) filter (h = 3.5) as peak, max(p) filter (h = 8) as l0, max(p) filter (h = 12) as l1, arg_min(p, h) as first from u group by threshold_nm)
 select threshold_nm, coalesce(rises and peak is not null and l0 < peak and l1 < peak, false) as shape_ok, {_r("peak - first", "rise")}, {_r("peak - l1", "drop")} from a""",
     "s_hour_statistics": f"{HOUR_STATS} select hour_post_delivery, n, clusters, {_r('mean', 'mean')}, {_r('se', 'se')} from stats",
-    "s_hour_statistics_all": f"{HOUR_STATS_ALL} select hour_post_delivery, n, clusters, {_r('mean', 'mean')}, {_r('se', 'se')} from stats",
     "sel_complete_pairs": f"""{QC} select acquisition_id, bundle_id, hour_post_delivery, shared_frames, movie_frames, {", ".join(_r(c, c, 4) for c in ("mean_nm", "sd_nm", "median_nm", "min_nm", "max_nm"))},
   cast(row_number() over (order by round(mean_nm, 9), bundle_id) as int) as shortest_rank, cast(row_number() over (order by round(mean_nm, 9) desc, bundle_id) as int) as longest_rank from complete""",
     "sel_extremes": f"""{QC}, m as (select bundle_id, {_r("mean_nm", "mean_nm", 4)} from complete where movie_frames not in (5, 10)), e as (select *, row_number() over (order by m.mean_nm, bundle_id) as lo, row_number() over (order by m.mean_nm desc, bundle_id) as hi from m)
@@ -359,4 +346,4 @@ b as (select *, true as b from bundles), j as (select coalesce(c.bundle_id, b.bu
         },
         "id",
     ),
-}
+}.items()}

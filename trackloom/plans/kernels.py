@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.functions.numeric import TIE, rounded
+from trackloom.functions.numeric import LARGE, TIE, rounded
 from trackloom.operators import lags, points, resampling, schedules
 from trackloom.session import written
-from trackloom.sources.tables import table
+from trackloom.sources.tables import named_sql, named_table as table
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +236,7 @@ LAST = "least(50, cast(floor(0.25 * a.movie_frames) as int))"
 
 
 def _r(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr} + {TIE!r}, {digits}) + 0.0 as {name}"
+    return f"case when abs({expr}) between {LARGE!r} and 1e30 then cast(cast({expr} as float) as double) else round({expr} + {TIE!r}, {digits}) + 0.0 end as {name}"
 
 
 def _msd(source: str) -> str:
@@ -428,7 +428,7 @@ QUERIES = {f.__name__: f for f in (
     k_turning, k_direction_histogram, k_turning_persistence, k_persistence_null, k_directed_bursts, k_positive_area, k_curve_area, k_pair_modes, k_motion_energy,
     u_schedule, u_matched_delta, u_unit_curves, u_support_census,
 )}
-ORACLES = {
+ORACLES = {n: named_sql(sql) for n, sql in {
     "k_msd": _msd("sites"),
     "k_mscd": _msd("paired"),
     "k_velocity": VELOCITY_SQL,
@@ -467,4 +467,4 @@ done as (select g.unit_id, metric, g.site, cast(movie_frames as int) as movie_fr
   case when floor(0.25 * movie_frames) < 1 then 'movie_too_short' when observed = 0 then 'no_observations' when k is null then 'insufficient_valid_pairs_all_lags' end as reason
   from grid g left join got on g.unit_id = got.unit_id and g.site = got.site)
 select *, reason is null as included from done""",
-}
+}.items()}

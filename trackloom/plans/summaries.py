@@ -10,7 +10,7 @@ from trackloom.functions.numeric import bin_edges
 from trackloom.operators import cube, curves, resampling
 from trackloom.plans.kernels import UNIT_CURVES, _r, _round, computed_curves
 from trackloom.session import written
-from trackloom.sources.tables import table
+from trackloom.sources.tables import named_sql, named_table as table
 
 SCALED = tuple(i * 0.25 for i in range(0, 21))
 
@@ -268,7 +268,7 @@ QUERIES = {f.__name__: f for f in (
     n_unit_bins, a_hour_curves, n_scaled_bins, a_delta_curves, a_collapsed_curves, n_fine_grid, f_power_fits, f_trajectory_fits, t_alpha_extremes, t_alpha_cases, t_site_ranks, t_near_lag,
     f_vac_consistency, t_best_worst_hour, f_hour_trend, f_zero_crossing, f_fbm_fits, f_fbm_bootstrap, f_bootstrap_means, f_bootstrap_exponents, f_vcc_endpoints, f_vcc_endpoint_intervals, f_window_means, f_tau_grid, f_tau_bootstrap,
 )}
-ORACLES = {
+ORACLES = {n: named_sql(sql) for n, sql in {
     "n_unit_bins": f"{BINS} select metric, unit_id, bundle_id, nd2_id, crop_id, {_six('hour_post_delivery')}, site, {_six('bin_s', 'lag_median_s', 'scaled_lag_tau_over_delta', 'delta_median_s', 'value', 'endpoint_pair_sd')}, pair_count, lag_frames from bins",
     "a_hour_curves": f"{HOURS} select metric, site, {_six('hour_post_delivery', 'bin_s', 'lag_s_mean', 'mean', 'sd', 'median', 'q25', 'q75')}, n_units, n_crops, n_acquisitions, total_pairs, available_units, {_six('retained_unit_fraction')} from hours",
     "n_scaled_bins": f"{SCALED_BINS} select {_six('hour_post_delivery')}, site, unit_id, {_six('delta_median_s', 'center')}, lag_frames, {_six('value')}, pair_count from scaled",
@@ -307,4 +307,4 @@ e as (select hour_post_delivery, crop_id, unit_id, 'zero_lag_trace' as endpoint,
 select hour_post_delivery, endpoint, {_r("avg(v)", "estimate")}, count(distinct unit_id) as n_units, count(distinct crop_id) as n_crops from e where v is not null group by hour_post_delivery, endpoint""",
     "f_zero_crossing": f"""{SCALED_BINS}, z as (select *, lag(center) over w as px, lag(mean) over w as py from collapsed where hour_post_delivery is not null window w as (partition by site, hour_post_delivery order by center))
 select site, hour_post_delivery, {_r("min(case when py = 0 then px when py * mean < 0 then px - py * (center - px) / (mean - py) end)", "zero_crossing", 5)} from z group by site, hour_post_delivery""",
-}
+}.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from operator import eq, ge, gt, le, lt, ne
 
@@ -18,14 +19,9 @@ NAMINGS = {
 }
 
 
-class BothNamings(str):
-    """A folder whose tables are read under the site1/site2 names alone."""
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Parquet file or directory `name` of the folder."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return one_naming(df, name) if isinstance(folder, BothNamings) else df
+    """Parquet file or directory `name` of the folder, as delivered."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def one_naming(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +29,21 @@ def one_naming(df: DataFrame, name: str) -> DataFrame:
     return df.withColumns({a: F.coalesce(a, b) for a, b in NAMINGS.get(name, {}).items()})
 
 
+def named_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Table `name` with all rows under the site1/site2 names, whichever scheme they came under."""
+    return one_naming(table(spark, folder, name), name)
+
+
+def named_sql(sql: str) -> str:
+    """The same for a DuckDB query: it reads its tables through views of one naming."""
+    used = [t for t in NAMINGS if re.search(rf"\b{t}\b", sql)]
+    if not used:
+        return sql
+    views = ", ".join(f"{t}_named as (select * replace ({', '.join(f'coalesce({a}, {b}) as {a}' for a, b in NAMINGS[t].items())}) from {t})" for t in used)
+    own = re.sub(rf"\b({'|'.join(used)})\b", r"\1_named", sql).lstrip()
+    return f"with {views}, {own[5:]}" if own.startswith("with ") else f"with {views} {own}"
+
+
 def load_table(
     spark: SparkSession,
     registry: dict[str, str],
