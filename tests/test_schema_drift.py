@@ -75,15 +75,15 @@ def test_script_cost_is_least():
 def test_consistent_table_follows_names_through_files(spark):
     files = [("a", [rec(i, x=i * 1.5, k="p") for i in range(4)]), ("b", [rec(i, z=i * 1.5, k="p") for i in range(2, 6)]), ("c", [rec(i, w=i * 1.5, k="p", x=i) for i in range(4, 8)])]
     t = {r["bundle_id"]: r for r in consistent_table(raw(spark, files), "frame_table").collect()}
-    assert [t[f"b{i}"]["x"] for i in range(8)] == [str(i * 1.5).removesuffix(".0") for i in range(8)]
-    assert t["b7"]["x__2"] == "7" and t["b0"]["x__2"] is None and len(t) == 8
+    assert [t[f"b{i}"]["x"] for i in range(8)] == [i * 1.5 for i in range(8)]
+    assert t["b7"]["x__2"] == 7 and t["b0"]["x__2"] is None and len(t) == 8
 
 
 def test_feeds_of_both_namings_share_columns(spark):
     one = raw(spark, [("a", [rec(1, site1_x_nm=1.5)])])
     two = raw(spark, [("b", [rec(1, site_left_x_nm=2.5)])]).withColumn("feed_id", F.lit("g"))
     t = consistent_table(one.unionByName(two), "frame_table")
-    assert t.columns == ["feed_id", "bundle_id", "frame", "site1_x_nm"] and {r.feed_id: r.site1_x_nm for r in t.collect()} == {"f": "1.5", "g": "2.5"}
+    assert t.columns == ["feed_id", "bundle_id", "frame", "site1_x_nm"] and {r.feed_id: r.site1_x_nm for r in t.collect()} == {"f": 1.5, "g": 2.5}
     counts = raw(spark, [("a", [{"bundle_id": "b", "longest_left_run": 3, "right_coverage": 0.5, "left_valid_count": 4}])], "bundle_metadata")
     assert consistent_table(counts, "bundle_metadata").columns[3:] == ["longest_site1_run", "site1_valid_count", "site2_coverage"]
 
@@ -91,9 +91,18 @@ def test_feeds_of_both_namings_share_columns(spark):
 def test_values_of_dropped_fields_and_records_without_key_stay(spark):
     files = [("a", [rec(1, x=1.5, k="p"), rec(2, x=2.5, k="q"), {"frame": 1, "k": "u"}, {"frame": 1, "k": "v"}, {"bundle_id": "b9", "k": "w"}]), ("b", [rec(1, k="r"), rec(2, k=None), {"bundle_id": "b9", "k": "y"}])]
     t = consistent_table(raw(spark, files), "frame_table").collect()
-    assert {r.bundle_id: (r.x, r.k) for r in t if r.bundle_id in ("b1", "b2")} == {"b1": ("1.5", "r"), "b2": ("2.5", "q")}
+    assert {r.bundle_id: (r.x, r.k) for r in t if r.bundle_id in ("b1", "b2")} == {"b1": (1.5, "r"), "b2": (2.5, "q")}
     assert sorted(r.k for r in t if r.bundle_id is None or r.frame is None) == ["u", "v", "w", "y"]
 
 
 def test_paths_keep_dots_apart():
     assert edit_script(["a.b"], [f"a{STEP}b"], [("a.b", f"a{STEP}b")]) == [("renamed", "a.b", f"a{STEP}b")]
+
+
+def test_columns_take_the_widest_type_of_their_values(spark):
+    files = [("a", [rec(i, b=i % 2 == 0, n=i, d=i, t="x", m=i, w="7") for i in range(4)]), ("b", [rec(i + 4, b=1, n=str(i), d=i + 0.5, t=3, m="none", w="8") for i in range(2)])]
+    t = consistent_table(raw(spark, files), "frame_table")
+    kinds = dict(t.dtypes)
+    assert {k: kinds[k] for k in "bndtmw"} == {"b": "boolean", "n": "bigint", "d": "double", "t": "string", "m": "string", "w": "string"} and kinds["frame"] == "bigint"
+    row = {r.bundle_id: r for r in t.collect()}
+    assert row["b4"].b is True and row["b1"].b is False and row["b5"].n == 1 and row["b4"].d == 0.5 and row["b4"].t == "3"

@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -276,8 +276,8 @@ def _scripts(old: pd.Series, new: pd.Series, proven: pd.Series) -> pd.Series:
     )
 
 
-def drift(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The changes (feed_id, file_id, change, field_old, field_new) of parsed records, and the files.
+def drift(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The changes (feed_id, file_id, change, field_old, field_new) of parsed records, the files and their schemas.
 
     A rename is proven when, over all pairs of a record of the file before and one of this file with the
     same bundle_id and frame, old and new field agree; fields without any such pair of records are not
@@ -338,7 +338,7 @@ def drift(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<struct<o string, n string>>")
     script = (
         open_trees.join(proven, ["feed_id", "file_id"], "left")
-        .select("feed_id", "file_id", F.explode(_scripts("gone", "born", F.coalesce("proven", none))).alias("s"))
+        .select("feed_id", "file_id", F.explode(_scripts("old_fields", "new_fields", F.coalesce("proven", none))).alias("s"))
         .select("feed_id", "file_id", "s.*")
     )
     script = written(script)
@@ -352,7 +352,7 @@ def drift(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     retyped = kept.unionByName(moved).where("type <> type_old").withColumn("change", F.lit("retyped"))
     columns = ["feed_id", "file_id", "change", "field_old", "field_new"]
-    return script.select(*columns).unionByName(retyped.select(*columns)), files
+    return script.select(*columns).unionByName(retyped.select(*columns)), files, schemas
 
 
 def changes(raw: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def changes(raw: DataFrame) -> DataFrame:
     Repeated lines count once. A field with only nulls in a file has no type there and is not retyped. An
     empty table gives an empty result. Nested fields are named by their path with dots.
     """
-    found, _ = drift(written(parse_records(_rows(raw))))
+    found, _, _ = drift(written(parse_records(_rows(raw))))
     dots = lambda c: F.translate(c, STEP, ".").alias(c)
     return found.select("feed_id", "file_id", "change", dots("field_old"), dots("field_new"))
 
@@ -416,15 +416,42 @@ def projections(files: DataFrame, schemas: DataFrame, found: DataFrame) -> DataF
     )
 
 
+def _typed(wide: DataFrame, names: list[str], met: dict[str, set[str]]) -> dict[str, Column]:
+    """The columns in the widest type that holds every value: boolean or long where each value is one, double where
+    each is a number, else text. met: the types in which a field was delivered; one that only ever was text stays it."""
+    value = lambda n: F.col(f"`{n}`")
+    every = lambda n, c: F.coalesce(F.bool_and(F.coalesce(c, F.lit(True))), F.lit(True)).alias(n)
+    checks = []
+    for n in names:
+        long_ = value(n).rlike(r"^[+-]?\d{1,18}$")
+        number = value(n).try_cast("double").isNotNull() & ~value(n).rlike(r"^[+-]?\d{19,}$")
+        checks += [every(f"{n}/boolean", value(n).isin("0", "1")), every(f"{n}/long", long_), every(f"{n}/double", F.when(value(n).isNotNull(), number))]
+    if not checks:
+        return {}
+    holds = wide.agg(*checks).first().asDict()
+    out = {}
+    for n in names:
+        kinds = met.get(n, set())
+        fit = [k for k in ("boolean", "long", "double") if holds[f"{n}/{k}"]]
+        if kinds & {"double", "long"} and "double" in fit:
+            kind = "boolean" if "boolean" in kinds and "double" not in kinds and "boolean" in fit else "double" if "double" in kinds or "long" not in fit else "long"
+        else:
+            kind = "boolean" if "boolean" in kinds and "boolean" in fit else "string"
+        # the text form of true and false is 1 and 0
+        out[n] = value(n) if kind == "string" else (value(n) == "1") if kind == "boolean" else value(n).cast(kind)
+    return out
+
+
 def consistent_table(raw: DataFrame, table_name: str) -> DataFrame:
-    """All files of one table as one table: feed_id, bundle_id, frame and one text column per canonical
-    field (see projections), values in comparable form (booleans as 1/0). Of a record delivered again
+    """All files of one table as one table: feed_id, bundle_id, frame and one column per canonical field (see
+    projections), in the widest type its values need (see _typed). Of a record delivered again
     each field has its value of the last export in which it is not null; records without a key (bundle_id, and
-    frame in frame_table) are not combined but stay by file and line. Only the names of the fields, not rows, pass the driver."""
+    frame in frame_table) are not combined but stay by file and line. Only names and types of fields, not rows, pass the driver."""
     records = written(parse_records(_rows(raw.where(F.col("table_name") == table_name))))
-    found, files = drift(records)
-    plan = written(projections(files, written(file_schemas(records)), written(found)))
-    names = [r[0] for r in plan.select("canonical").distinct().orderBy("canonical").collect()]
+    found, files, schemas = drift(records)
+    plan = written(projections(files, schemas, written(found)))
+    types = plan.join(schemas.select("feed_id", "file_id", "field", "type"), ["feed_id", "file_id", "field"])
+    met = {r[0]: set(r[1]) for r in types.groupBy("canonical").agg(F.collect_set("type")).orderBy("canonical").collect()}
     of_file = plan.groupBy("feed_id", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "field"))).alias("plan"))
     unkeyed = F.col("bundle_id").isNull() | (F.col("frame").isNull() if table_name == "frame_table" else F.lit(False))
     renamed = records.join(of_file, ["feed_id", "file_id"]).select(
@@ -436,5 +463,8 @@ def consistent_table(raw: DataFrame, table_name: str) -> DataFrame:
         F.transform_values("plan", lambda _, f: F.element_at("values", f)).alias("row"),
     )
     value = lambda n: F.element_at("row", F.lit(n))
-    last = [F.max_by(value(n), F.when(value(n).isNotNull(), F.col("at"))).alias(n.replace(STEP, ".")) for n in names]
-    return renamed.groupBy("feed_id", "bundle_id", "frame", "line").agg(*last).drop("line")
+    dots = {n: n.replace(STEP, ".") for n in met}
+    last = [F.max_by(value(n), F.when(value(n).isNotNull(), F.col("at"))).alias(dots[n]) for n in met]
+    wide = written(renamed.groupBy("feed_id", "bundle_id", "frame", "line").agg(*last).drop("line"))
+    typed = _typed(wide, ["frame", *dots.values()], {"frame": {"long"}, **{dots[n]: kinds for n, kinds in met.items()}})
+    return wide.select("feed_id", "bundle_id", *[c.alias(n) for n, c in typed.items()])
