@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from trackloom.functions import numeric
+from pyspark.sql import functions as fn
+
 from trackloom.operators import cube, curves, resampling
 from pyspark.sql import functions as F
 
@@ -51,10 +53,10 @@ def test_spearman_kruskal_and_adjusted_p(spark):
 
 
 def test_fbm_fit_and_bootstrap(spark):
-    rows = [("s", 1.0, f"c{c}", float(x), float(resampling.fbm(np.array(x), 0.7)), 1.0) for c in range(6) for x in (0.5, 1.0, 1.5, 2.0, 2.5)]
-    df = spark.createDataFrame(rows, "site string, hour double, crop string, x double, value double, weight double")
+    rows = [("s", 1.0, f"c{c}", f"u{c}", float(x), float(resampling.fbm(np.array(x), 0.7)), 1.0) for c in range(6) for x in (0.5, 1.0, 1.5, 2.0, 2.5)]
+    df = spark.createDataFrame(rows, "site string, hour double, crop string, unit string, x double, value double, weight double")
     assert resampling.fit_fbm(df, ["site", "hour"]).first().alpha == pytest.approx(0.7, abs=1e-4)
-    b = resampling.bootstrap_fbm(df, ["site", "hour"], "crop", 30).first()
+    b = resampling.bootstrap_fbm(df, ["site", "hour"], "crop", "unit", 30).first()
     assert b.clusters == 6 and b.low == pytest.approx(b.high, abs=1e-3) and b.alpha == pytest.approx(0.7, abs=1e-3)
     first, second = (sorted(map(tuple, resampling.bootstrap_means(df, ["site", "hour", "x"], "crop", "value", 100).collect())) for _ in range(2))
     assert first == second and all(abs(r[4] - r[5]) < 1e-12 and abs(r[4] - r[6]) < 1e-12 for r in first)
@@ -70,10 +72,32 @@ def test_cube_is_exact_on_linear_functions_and_finds_tau(spark):
     assert c.evaluate(0.5, 1.0, 2.0) == pytest.approx(0.85)
     with pytest.raises(ValueError):
         c.evaluate(0.5, 4.0, 2.0)
-    rows = [(1.5, t, x, 0.05 + 0.2 * math.log10(100 / t) + 0.3 * x, t, 9) for t in (10.0, 20.0, 40.0) for x in (0.0, 0.5, 1.0)]
+    rows = [(1.5, t, x, 0.05 + 0.2 * math.log10(t / 100) + 0.3 * x, t, 9) for t in (10.0, 20.0, 40.0) for x in (0.0, 0.5, 1.0)]
     df = spark.createDataFrame(rows, "hour_post_delivery double, target_s double, center double, value double, delta_s double, units long")
-    assert cube.tau_search(df, c, 0.5).first().tau_s == 100.0
+    fit = cube.tau_search(df, c, 0.5).first()
+    assert fit.tau_s == 100.0 and fit.r_squared == pytest.approx(1) and fit.rmse == pytest.approx(0, abs=1e-9) and fit.boundary is False
+    assert cube.tau_search(df, c, 0.5, (1, 60)).first().boundary is True
     assert cube.tau_search(df.where("target_s = 10"), c, 0.5).first().tau_s is None
+    units = df.withColumn("u", fn.explode(fn.sequence(fn.lit(1), fn.lit(10)))).withColumn("crop", (fn.col("u") % 3).cast("string"))
+    b = cube.tau_bootstrap(units, c, 0.5, "crop", 20).first()
+    assert (b.clusters, b.tau_s, b.low, b.high) == (3, 100.0, 100.0, 100.0)
+    with pytest.raises(Exception, match="outside the cube"):
+        cube.tau_search(df.withColumn("delta_s", fn.lit(1e6)), c, 0.5).collect()
+
+
+def test_fbm_bootstrap_weighs_units_once(spark):
+    """A unit of many offsets counts once, and bins weigh their units."""
+    curve = lambda a, x: float(resampling.fbm(np.array(x), a))
+    rows = [("s", f"c{u}", f"u{u}", x, curve(0.4, x)) for u in range(4) for x in (0.5, 1.0, 1.5, 2.0)]
+    repeated = rows + [r for r in rows if r[2] == "u0"] * 5
+    one, two = (resampling.bootstrap_fbm(spark.createDataFrame(x, "site string, crop string, unit string, x double, value double"), ["site"], "crop", "unit", 20).first() for x in (rows, repeated))
+    assert tuple(one) == pytest.approx(tuple(two)) and one.alpha == pytest.approx(0.4, abs=1e-3)
+    uneven = [("s", "c0", "u0", x, curve(0.4, x)) for x in (0.5, 1.0, 1.5, 2.0)] + [("s", f"c{u}", f"u{u}", 0.5, curve(0.9, 0.5)) for u in range(1, 40)]
+    got = resampling.bootstrap_fbm(spark.createDataFrame(uneven, "site string, crop string, unit string, x double, value double"), ["site"], "crop", "unit", 20).first()
+    x, y, w = np.array([0.5, 1.0, 1.5, 2.0]), np.array([(curve(0.4, 0.5) + 39 * curve(0.9, 0.5)) / 40, *[curve(0.4, v) for v in (1.0, 1.5, 2.0)]]), np.array([40, 1, 1, 1]) / 43
+    grid = np.linspace(0.25, 1, 3001)
+    best = grid[np.argmin([(w * (y - resampling.fbm(x, a)) ** 2).sum() for a in grid])]
+    assert got.alpha == pytest.approx(best, abs=1e-3)
 
 
 def test_dropout_is_reproducible(spark):

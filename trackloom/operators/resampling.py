@@ -143,9 +143,10 @@ def fit_fbm(curves: DataFrame, keys: Sequence[str], low: float = 0.05, high: flo
     return curves.groupBy(*keys).applyInPandas(one, schema)
 
 
-def bootstrap_fbm(curves: DataFrame, keys: Sequence[str], cluster: str, iterations: int = 300, seed: int = 0, low: float = 0.25, high: float = 1.0, last_x: float = 2.5) -> DataFrame:
-    """fBM exponent of each group's mean curve over (cluster, x) with a cluster-bootstrap interval. curves: keys,
-    cluster, x, value - x being a bin center, so that a group holds clusters x bins sums."""
+def bootstrap_fbm(curves: DataFrame, keys: Sequence[str], cluster: str, unit: str, iterations: int = 300, seed: int = 0, low: float = 0.25, high: float = 1.0, last_x: float = 2.5) -> DataFrame:
+    """fBM exponent of each group's mean curve with a cluster-bootstrap interval. curves: keys, cluster, unit, x, value -
+    x being a bin center, so that a group holds clusters x bins sums. A unit's values at one x are averaged first; the
+    bins of the mean curve weigh as many units as they have, those of a cluster drawn twice counting twice."""
     kinds = dict(curves.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", clusters long, alpha double, low double, high double"
 
@@ -161,7 +162,8 @@ def bootstrap_fbm(curves: DataFrame, keys: Sequence[str], cluster: str, iteratio
             if (k > 0).sum() < 3:
                 return float("nan")
             y = t[rows].sum(0)[k > 0] / k[k > 0]
-            return bounded_minimum(lambda a: float(((y - fbm(x[k > 0], a)) ** 2).mean()), low, high, 1e-5)
+            w = k[k > 0] / k.sum()
+            return bounded_minimum(lambda a: float((w * (y - fbm(x[k > 0], a)) ** 2).sum()), low, high, 1e-5)
 
         rng = np.random.default_rng(group_seed(seed, *key))
         every = np.arange(len(t))
@@ -169,7 +171,8 @@ def bootstrap_fbm(curves: DataFrame, keys: Sequence[str], cluster: str, iteratio
         lo, hi = percentile_interval(got)
         return pd.DataFrame([[*key, len(t), alpha(every), lo, hi]], columns=[*keys, "clusters", "alpha", "low", "high"])
 
-    return cluster_sums(curves, keys, cluster, "value", "x").groupBy(*keys).applyInPandas(one, schema)
+    each = curves.where(F.col("value").isNotNull()).groupBy(*keys, cluster, unit, "x").agg(F.avg("value").alias("value"))
+    return cluster_sums(each, keys, cluster, "value", "x").groupBy(*keys).applyInPandas(one, schema)
 
 
 def bootstrap_window_means(bins: DataFrame, keys: Sequence[str], cluster: str, lower: float, upper: float, iterations: int = 500, seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.numeric import bin_edges
-from trackloom.operators import cube, curves, resampling
+from trackloom.operators import cube, curves, lags, resampling
 from trackloom.plans.kernels import UNIT_CURVES, _r, _round, computed_curves
 from trackloom.session import written
 from trackloom.sources.tables import named_sql, named_table as table
@@ -150,7 +150,7 @@ def f_fbm_fits(spark: SparkSession, d: str) -> DataFrame:
 
 def f_fbm_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     own = curves.scaled_bins(_vac(spark, d), SCALED).where("hour_post_delivery is not null").withColumn("x", F.col("center"))
-    return resampling.bootstrap_fbm(own, ["site", "hour_post_delivery"], "crop_id", iterations=300)
+    return resampling.bootstrap_fbm(own, ["site", "hour_post_delivery"], "crop_id", "unit_id", iterations=300)
 
 
 def f_bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
@@ -172,28 +172,33 @@ def f_bootstrap_exponents(spark: SparkSession, d: str) -> DataFrame:
     return resampling.cluster_bootstrap(sums, ["site", "hour_post_delivery"], "crop_id", slope, 500, columns=["bin_s", "total", "n"])
 
 
-def _vcc_points(spark: SparkSession, d: str) -> DataFrame:
+def _vcc_units(spark: SparkSession, d: str) -> DataFrame:
+    """One symmetric cross-correlation per unit, target duration and center: directions averaged where both exist, then
+    offsets of one target averaged within the unit."""
     own = _clean(spark, d).where("metric = 'vcc' and hour_post_delivery is not null and scaled_lag_tau_over_delta <= 2.5")
     target = F.when(F.col("delta_median_s") < 15, 10.0).when(F.col("delta_median_s") < 30, 20.0).otherwise(40.0)
-    return curves.scaled_bins(own.withColumn("target_s", target), SCALED[:11], ("hour_post_delivery", "unit_id", "direction", "delta_median_s", "target_s"))
+    keys = ["hour_post_delivery", "unit_id", "crop_id", "delta_median_s", "target_s"]
+    both = lags.symmetrise(own.withColumn("target_s", target), [*keys, "lag_frames"], ["value", "scaled_lag_tau_over_delta"])
+    binned = curves.scaled_bins(both, SCALED[:11], keys)
+    return binned.groupBy("hour_post_delivery", "target_s", "center", "unit_id", "crop_id").agg(F.avg("value").alias("value"), F.avg("delta_median_s").alias("delta_s"))
 
 
 def _cube() -> cube.Cube:
     alphas, ratios, lag = np.linspace(0.25, 1.0, 4), np.linspace(-3, 3, 13), np.linspace(0, 5, 21)
     a, r, x = np.meshgrid(alphas, ratios, lag, indexing="ij")
-    return cube.Cube(alphas, ratios, lag, resampling.fbm(x, a) / (1 + 10.0**r))
+    return cube.Cube(alphas, ratios, lag, resampling.fbm(x, a) / (1 + 10.0**-r))
 
 
 def f_tau_grid(spark: SparkSession, d: str) -> DataFrame:
     """Communication time of each hour's symmetric cross-correlation against a reference cube. The measured cube
     is not published with the data, so the cube here is the fBM curve damped by the ratio of tau and delta."""
-    binned = _vcc_points(spark, d)
-    points = binned.groupBy("hour_post_delivery", "target_s", "center").agg(F.avg("value").alias("value"), F.avg("delta_median_s").alias("delta_s"), F.count_distinct("unit_id").alias("units"))
+    units = _vcc_units(spark, d)
+    points = units.groupBy("hour_post_delivery", "target_s", "center").agg(F.avg("value").alias("value"), F.avg("delta_s").alias("delta_s"), F.count_distinct("unit_id").alias("units"))
     return cube.tau_search(points, _cube(), alpha=0.5)
 
 
 def f_tau_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return cube.tau_bootstrap(_vcc_points(spark, d), _cube(), 0.5, "crop_id", 200)
+    return cube.tau_bootstrap(_vcc_units(spark, d), _cube(), 0.5, "crop_id", 200)
 
 
 CLEAN = """
