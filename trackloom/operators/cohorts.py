@@ -321,46 +321,82 @@ def aligned_frames(frames: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def step_speeds(frames: DataFrame) -> DataFrame:
-    """Speed between consecutive frames per site, and whether the site is valid on the next frame."""
+    """Speed between consecutive frames of either site and of their midpoint (speed_site1, speed_site2, speed_paired), the
+    separation, and whether each is valid on the next frame. One window pass."""
     along = Window.partitionBy("bundle_id").orderBy("frame")
     dt = F.col("micro_time_s") - F.lag("micro_time_s").over(along)
     follows = (F.col("frame") - F.lag("frame").over(along) == 1) & (dt > 0) & (dt < float("inf"))
-    out = {"has_next": F.coalesce(F.lead("frame").over(along) - F.col("frame") == 1, F.lit(False))}
-    for s in (1, 2):
-        x, y, v = f"site{s}_x_nm", f"site{s}_y_nm", f"site{s}_valid"
-        here = F.col(v) & finite(x) & finite(y)
-        before = F.lag(here).over(along)
-        dx, dy = F.col(x) - F.lag(x).over(along), F.col(y) - F.lag(y).over(along)
-        out[f"speed{s}"] = F.when(follows & here & before, F.sqrt(dx * dx + dy * dy) / dt)
-        out[f"next_valid{s}"] = F.coalesce(F.lead(v).over(along), F.lit(False))
+    valid = {f"site{s}": F.coalesce(f"site{s}_valid", F.lit(False)) for s in (1, 2)}
+    here = {f"site{s}": valid[f"site{s}"] & finite(f"site{s}_x_nm") & finite(f"site{s}_y_nm") for s in (1, 2)}
+    at = {f"site{s}": (F.col(f"site{s}_x_nm"), F.col(f"site{s}_y_nm")) for s in (1, 2)}
+    valid["paired"], here["paired"] = valid["site1"] & valid["site2"], here["site1"] & here["site2"]
+    at["paired"] = tuple((at["site1"][i] + at["site2"][i]) / 2 for i in (0, 1))
+    across = [at["site2"][i] - at["site1"][i] for i in (0, 1)]
+    out = {
+        "has_next": F.coalesce(F.lead("frame").over(along) - F.col("frame") == 1, F.lit(False)),
+        "separation": F.when(here["paired"], F.sqrt(across[0] * across[0] + across[1] * across[1])),
+    }
+    for s, (x, y) in at.items():
+        dx, dy = x - F.lag(x).over(along), y - F.lag(y).over(along)
+        out[f"speed_{s}"] = F.when(follows & here[s] & F.lag(here[s]).over(along), F.sqrt(dx * dx + dy * dy) / dt)
+        out[f"next_{s}"] = F.coalesce(F.lead(valid[s]).over(along), F.lit(False))
     return frames.withColumns(out)
 
 
-def motion_coverage(speeds: DataFrame, bundles: DataFrame, least_steps: int = 5, least_cells: int = 5) -> DataFrame:
-    """Spearman correlation, over the cells of an acquisition, of coverage and median speed of site 1."""
-    per = speeds.groupBy("bundle_id").agg(F.count("speed1").alias("steps"), F.median("speed1").alias("speed"))
-    own = per.where((F.col("steps") >= least_steps) & F.col("speed").isNotNull()).join(bundles.select("bundle_id", "acquisition_id", "cell_id", "site1_coverage"), "bundle_id").where("site1_coverage is not null")
-    cell = own.groupBy("acquisition_id", "cell_id").agg(F.avg("site1_coverage").alias("coverage"), F.median("speed").alias("speed"))
-    # values equal up to rounding are ties
-    cell = cell.select("acquisition_id", F.round("coverage", 9).alias("coverage"), F.round("speed", 9).alias("speed"))
-    return spearman(cell, ["acquisition_id"], "coverage", "speed").where(F.col("n") >= least_cells)
+MOTION = ("site1", "site2", "paired")
 
 
-def track_loss(speeds: DataFrame, quantile: float = 0.75, least_cells: int = 5, site: int = 1) -> DataFrame:
-    """Risk of losing the site on the next frame after a fast step: within-cell difference of the share lost between
-    steps at or over the acquisition's quantile and the others, averaged over cells that have both."""
-    events = speeds.where(F.col("has_next") & F.col(f"speed{site}").isNotNull()).select("acquisition_id", "cell_id", F.col(f"speed{site}").alias("speed"), (~F.col(f"next_valid{site}")).cast("double").alias("lost"))
-    limit = events.groupBy("acquisition_id").agg(F.percentile("speed", F.lit(quantile)).alias("limit"))
+def motion_coverage(speeds: DataFrame, bundles: DataFrame, least_steps: int = 5, least_cells: int = 5) -> DataFrame:
+    """Spearman correlation, over the cells of an acquisition, of coverage and median speed, for either site and for
+    the midpoint of the pair."""
+    parts = [F.struct(F.lit(s).alias("channel"), F.count(f"speed_{s}").alias("steps"), F.median(f"speed_{s}").alias("speed")) for s in MOTION]
+    per = speeds.groupBy("bundle_id").agg(F.array(*parts).alias("m")).select("bundle_id", F.inline("m"))
+    covered = bundles.select("bundle_id", "acquisition_id", "cell_id", F.expr(f"stack(3, {', '.join(f"'{s}', {s}_coverage" for s in MOTION)}) as (channel, covered)"))
+    own = per.where((F.col("steps") >= least_steps) & F.col("speed").isNotNull()).join(covered, ["bundle_id", "channel"]).where("covered is not null")
+    cell = own.groupBy("channel", "acquisition_id", "cell_id").agg(F.avg("covered").alias("coverage"), F.median("speed").alias("speed"))
+    # values equal up to rounding are ties
+    cell = cell.select("channel", "acquisition_id", F.round("coverage", 9).alias("coverage"), F.round("speed", 9).alias("speed"))
+    return spearman(cell, ["channel", "acquisition_id"], "coverage", "speed").where(F.col("n") >= least_cells)
+
+
+def track_loss(speeds: DataFrame, quantile: float = 0.75, least_cells: int = 5) -> DataFrame:
+    """Risk of losing a channel on the next frame after a fast step (the sites) or a large separation (the pair):
+    within-cell difference of the share lost between predictors at or over the acquisition's quantile and the others,
+    averaged over cells that have both."""
+    predictor = {"site1": "speed_site1", "site2": "speed_site2", "paired": "separation"}
+    rows = ", ".join(f"'{s}', {c}, next_{s}" for s, c in predictor.items())
+    events = speeds.where("has_next").select("acquisition_id", "cell_id", F.expr(f"stack(3, {rows}) as (channel, value, kept)"))
+    events = events.where("value is not null").withColumn("lost", (~F.col("kept")).cast("double"))
+    keys = ["channel", "acquisition_id"]
+    limit = events.groupBy(*keys).agg(F.percentile("value", F.lit(quantile)).alias("limit"))
     cells = (
-        events.join(limit, "acquisition_id")
-        .groupBy("acquisition_id", "cell_id")
-        .agg(F.avg(F.when(F.col("speed") >= F.col("limit"), F.col("lost"))).alias("high"), F.avg(F.when(F.col("speed") < F.col("limit"), F.col("lost"))).alias("low"))
+        events.join(limit, keys)
+        .groupBy(*keys, "cell_id")
+        .agg(F.avg(F.when(F.col("value") >= F.col("limit"), F.col("lost"))).alias("high"), F.avg(F.when(F.col("value") < F.col("limit"), F.col("lost"))).alias("low"))
     )
-    both = cells.where("high is not null and low is not null").groupBy("acquisition_id").agg(
+    both = cells.where("high is not null and low is not null").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cells"), F.avg("high").alias("h"), F.avg("low").alias("l"), F.avg(F.col("high") - F.col("low")).alias("d"), F.median(F.col("high") - F.col("low")).alias("m")
     )
     ok = F.col("cells") >= least_cells
-    return both.select("acquisition_id", "cells", *[F.when(ok, F.col(a)).alias(b) for a, b in (("h", "risk_high"), ("l", "risk_reference"), ("d", "mean_difference"), ("m", "median_difference"))], ok.alias("supported"))
+    analysis = F.when(F.col("channel") == "paired", "loss_after_large_separation").otherwise("loss_after_high_speed")
+    return both.select(analysis.alias("analysis"), *keys, "cells", *[F.when(ok, F.col(a)).alias(b) for a, b in (("h", "risk_high"), ("l", "risk_reference"), ("d", "mean_difference"), ("m", "median_difference"))], ok.alias("supported"))
+
+
+def motion_summary(coverage: DataFrame, loss: DataFrame) -> DataFrame:
+    """Both diagnostics over the acquisitions: how many were assessed and supported, and the median, least and largest
+    effect of the supported ones."""
+    one = coverage.select(F.lit("coverage_against_motion").alias("analysis"), "channel", F.col("rho").alias("effect"), F.col("rho").isNotNull().alias("ok"))
+    two = loss.select("analysis", "channel", F.col("mean_difference").alias("effect"), (F.col("supported") & F.col("mean_difference").isNotNull()).alias("ok"))
+    effect = F.when(F.col("ok"), F.col("effect"))
+    return one.unionByName(two).groupBy("analysis", "channel").agg(
+        F.count(F.lit(1)).alias("assessed"), F.count_if("ok").alias("supported"), F.median(effect).alias("median_effect"), F.min(effect).alias("least_effect"), F.max(effect).alias("largest_effect")
+    )
+
+
+def bundle_asymmetry(bundles: DataFrame) -> DataFrame:
+    """Difference of the two sites' coverages per bundle, signed and absolute."""
+    off = F.col("site1_coverage") - F.col("site2_coverage")
+    return bundles.select("bundle_id", "acquisition_id", "hour_post_delivery", off.alias("coverage_difference"), F.abs(off).alias("absolute_difference"))
 
 
 def coverage_associations(bundles: DataFrame) -> DataFrame:
@@ -383,7 +419,16 @@ def frame_issues(frame_table: DataFrame) -> DataFrame:
     series = F.coalesce("bundle_id", F.concat(F.lit("\0"), (F.xxhash64("frame", "micro_time_s") % 997).cast("string")))
     along = Window.partitionBy(series).orderBy("frame", "loaded_at")
     t = present("micro_time_s")
-    df = frame_table.withColumns({"_t": t, "_before": F.lag(t).over(along), "_same": F.lag("frame").over(along)})
+    gap = present("frame_interval_s")
+    whole = Window.partitionBy(series)
+    df = frame_table.withColumns(
+        {
+            "_t": t, "_before": F.lag(t).over(along), "_same": F.lag("frame").over(along), "_gap": F.lag(gap).over(along),
+            "_first": F.row_number().over(along) == 1,
+            **{f"_{c}": F.min(F.coalesce(c, F.lit(""))).over(whole) != F.max(F.coalesce(c, F.lit(""))).over(whole) for c in ("acquisition_id", "fov_id", "cell_id")},
+        }
+    )
+    due = F.col("_gap") * (F.col("frame") - F.col("_same"))
     v1, v2 = F.coalesce("site1_valid", F.lit(False)), F.coalesce("site2_valid", F.lit(False))
     x = lambda s: present(f"site{s}_x_nm").isNotNull() & present(f"site{s}_y_nm").isNotNull()
     known = F.col("bundle_id").isNotNull()
@@ -398,6 +443,12 @@ def frame_issues(frame_table: DataFrame) -> DataFrame:
         "pair_flag_disagrees": F.col("site1_valid").isNotNull() & (F.coalesce("paired_valid", F.lit(False)) != (v1 & v2)),
         "invalid_flag": bad_flag(F.col("site1_valid")) | bad_flag(F.col("site2_valid")),
         "missing_hour": present("hour_post_delivery").isNull(),
+        "invalid_hour": present("hour_post_delivery").isNotNull() & ~(present("hour_post_delivery").between(0, 1e6)),
+        "invalid_frame": F.col("frame") < 0,
+        "invalid_frame_interval": gap.isNull() | ~((gap > 0) & (gap < float("inf"))),
+        "frame_interval_mismatch": known & (F.col("_same") < F.col("frame")) & (F.abs(t - F.col("_before") - due) > 1e-6 + 0.05 * F.abs(due)),
+        **{f"blank_{c}": F.col(c).isNull() | (F.trim(c) == "") for c in ("biological_experiment_id", "acquisition_id", "fov_id", "cell_id")},
+        **{f"bundle_crosses_{c}": known & F.col("_first") & F.col(f"_{c}") for c in ("acquisition_id", "fov_id", "cell_id")},
     }
     key = F.concat_ws("#", F.coalesce("bundle_id", F.lit("")), F.coalesce(F.col("frame").cast("string"), F.lit("")))
     return _issues(df, codes, key)

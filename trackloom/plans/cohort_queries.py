@@ -85,6 +85,15 @@ def q_track_loss(spark: SparkSession, d: str) -> DataFrame:
     return _round(cohorts.track_loss(cohorts.step_speeds(_frames(spark, d))))
 
 
+def q_motion_summary(spark: SparkSession, d: str) -> DataFrame:
+    speeds = written(cohorts.step_speeds(_frames(spark, d)))
+    return _round(cohorts.motion_summary(cohorts.motion_coverage(speeds, _bundles(spark, d)), cohorts.track_loss(speeds)))
+
+
+def q_bundle_asymmetry(spark: SparkSession, d: str) -> DataFrame:
+    return _round(cohorts.bundle_asymmetry(_bundles(spark, d)))
+
+
 def q_dropout_stress(spark: SparkSession, d: str) -> DataFrame:
     return resampling.empirical_dropout(points.site_points(bundle_frames(spark, d)), 0.25, 7)
 
@@ -207,9 +216,26 @@ _SETS = "grouping sets ((), (hour_post_delivery), (acquisition_id), (acquisition
 _LEVEL = """case when grouping(hour_post_delivery) = 0 then 'hour' when grouping(cell_id) = 0 then 'cell' when grouping(fov_id) = 0 then 'fov' when grouping(acquisition_id) = 0 then 'acquisition' else 'overall' end as level"""
 _KEYS = ("level", "hour_post_delivery", "acquisition_id", "fov_id", "cell_id")
 COHORT = f"{QC}, cohort as (select *, {_rules(cohorts.PRIMARY)} as reasons from bundles)"
-SPEEDS = f"""{QC}, steps as (select *, micro_time_s - lag(micro_time_s) over w as dt, frame - lag(frame) over w as df, lead(frame) over w - frame as nf, lag(site1_valid and isfinite(site1_x_nm) and isfinite(site1_y_nm)) over w as before,
-  site1_x_nm - lag(site1_x_nm) over w as dx, site1_y_nm - lag(site1_y_nm) over w as dy, coalesce(lead(site1_valid) over w, false) as nv from qf window w as (partition by bundle_id order by frame)),
-speeds as (select *, case when df = 1 and dt > 0 and isfinite(dt) and before and site1_valid and isfinite(site1_x_nm) and isfinite(site1_y_nm) then sqrt(dx * dx + dy * dy) / dt end as speed, coalesce(nf = 1, false) as has_next from steps)
+_OK1, _OK2 = ("coalesce(site{0}_valid and isfinite(site{0}_x_nm) and isfinite(site{0}_y_nm), false)".format(i) for i in (1, 2))
+SPEEDS = f"""{QC}, channels as (
+  select *, 'site1' as channel, {_OK1} as here, coalesce(site1_valid, false) as v, site1_x_nm as x, site1_y_nm as y from qf
+  union all select *, 'site2', {_OK2}, coalesce(site2_valid, false), site2_x_nm, site2_y_nm from qf
+  union all select *, 'paired', {_OK1} and {_OK2}, coalesce(site1_valid and site2_valid, false), (site1_x_nm + site2_x_nm) / 2, (site1_y_nm + site2_y_nm) / 2 from qf),
+steps as (select *, micro_time_s - lag(micro_time_s) over w as dt, frame - lag(frame) over w as df, coalesce(lead(frame) over w - frame = 1, false) as has_next, lag(here) over w as before,
+  x - lag(x) over w as dx, y - lag(y) over w as dy, coalesce(lead(v) over w, false) as nv from channels window w as (partition by channel, bundle_id order by frame)),
+speeds as (select *, case when df = 1 and dt > 0 and isfinite(dt) and before and here then sqrt(dx * dx + dy * dy) / dt end as speed,
+  case when channel = 'paired' and here then sqrt(pow(site2_x_nm - site1_x_nm, 2) + pow(site2_y_nm - site1_y_nm, 2)) end as separation from steps),
+mper as (select channel, bundle_id, count(speed) as steps, median(speed) as speed from speeds group by all),
+mcell as (select channel, b.acquisition_id, b.cell_id, round(avg(case channel when 'site1' then site1_coverage when 'site2' then site2_coverage else paired_coverage end), 9) as coverage, round(median(speed), 9) as speed
+  from mper join bundles b using (bundle_id) where steps >= 5 and speed is not null and case channel when 'site1' then site1_coverage when 'site2' then site2_coverage else paired_coverage end is not null group by all),
+mrank as (select channel, acquisition_id, rank() over (partition by channel, acquisition_id order by coverage) + (count(*) over (partition by channel, acquisition_id, coverage) - 1) / 2.0 as a,
+  rank() over (partition by channel, acquisition_id order by speed) + (count(*) over (partition by channel, acquisition_id, speed) - 1) / 2.0 as b from mcell),
+motion as (select channel, acquisition_id, count(*) as n, case when stddev_samp(a) * stddev_samp(b) > 0 then covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b)) end as rho from mrank group by all having count(*) >= 5),
+le as (select channel, acquisition_id, cell_id, case when channel = 'paired' then separation else speed end as value, case when nv then 0.0 else 1.0 end as lost from speeds where has_next),
+lq as (select channel, acquisition_id, quantile_cont(value, 0.75) as lim from le where value is not null group by all),
+lc as (select channel, acquisition_id, cell_id, avg(lost) filter (value >= lim) as high, avg(lost) filter (value < lim) as low from le join lq using (channel, acquisition_id) where value is not null group by all),
+loss as (select case when channel = 'paired' then 'loss_after_large_separation' else 'loss_after_high_speed' end as analysis, channel, acquisition_id, count(*) as cells, avg(high) as h, avg(low) as l, avg(high - low) as d, median(high - low) as m
+  from lc where high is not null and low is not null group by all)
 """
 
 
@@ -226,7 +252,7 @@ stats as (select hour_post_delivery, n, clusters, mean, sqrt(meat / (n * n) * (s
 
 QUERIES = {f.__name__: f for f in (
     q_bundle_summary, q_point_channel, q_missingness_census, q_missingness_asymmetry, q_technical_hierarchy, q_timing_hierarchy, q_one_to_one, q_sensitivity_grid, q_primary_cohort, q_cohort_flow, q_tiers,
-    q_channels, q_coverage_associations, q_motion_coverage, q_track_loss, q_dropout_stress, q_intervals, s_separation, s_histogram, s_threshold_sweep, s_shape_candidates, s_hour_statistics, s_hour_p_values,
+    q_channels, q_coverage_associations, q_motion_coverage, q_track_loss, q_motion_summary, q_bundle_asymmetry, q_dropout_stress, q_intervals, s_separation, s_histogram, s_threshold_sweep, s_shape_candidates, s_hour_statistics, s_hour_p_values,
     sel_complete_pairs, sel_extremes, sel_hour_census, g_gallery, g_aligned, g_half_width, v_frame_issues, v_bundle_issues, v_reconciliation,
 )}
 ORACLES = {n: named_sql(sql) for n, sql in {
@@ -276,15 +302,11 @@ per as (select outcome, acquisition_id, sum(r) as s, cast(count(*) as double) as
 tot as (select outcome, sum(m) as n, count(*) as g, sum(s * s / m) as q from per group by outcome),
 h as (select outcome, n, g, case when g >= 2 and n > g and t < n * n * n - n then (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) end as h from tot join ties using (outcome))
 select outcome, cast(n as bigint) as n, g as groups, {_r("h", "kruskal_h", 4)}, {_r("case when h is not null then greatest(0.0, (h - g + 1) / (n - g)) end", "epsilon_squared", 4)} from h""",
-    "q_motion_coverage": f"""{SPEEDS}, per as (select bundle_id, count(speed) as steps, median(speed) as speed from speeds group by bundle_id),
-cell as (select b.acquisition_id, b.cell_id, round(avg(site1_coverage), 9) as coverage, round(median(speed), 9) as speed from per join bundles b using (bundle_id) where steps >= 5 and speed is not null and site1_coverage is not null group by all),
-r as (select acquisition_id, rank() over (partition by acquisition_id order by coverage) + (count(*) over (partition by acquisition_id, coverage) - 1) / 2.0 as a, rank() over (partition by acquisition_id order by speed) + (count(*) over (partition by acquisition_id, speed) - 1) / 2.0 as b from cell)
-select acquisition_id, count(*) as n, {_r("case when stddev_samp(a) * stddev_samp(b) > 0 then covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b)) end", "rho")} from r group by acquisition_id having count(*) >= 5""",
-    "q_track_loss": f"""{SPEEDS}, e as (select acquisition_id, cell_id, speed, case when nv then 0.0 else 1.0 end as lost from speeds where has_next and speed is not null),
-l as (select acquisition_id, quantile_cont(speed, 0.75) as lim from e group by acquisition_id),
-c as (select acquisition_id, cell_id, avg(lost) filter (speed >= lim) as high, avg(lost) filter (speed < lim) as low from e join l using (acquisition_id) group by acquisition_id, cell_id),
-b as (select acquisition_id, count(*) as cells, avg(high) as h, avg(low) as l, avg(high - low) as d, median(high - low) as m from c where high is not null and low is not null group by acquisition_id)
-select acquisition_id, cells, {", ".join(_r(f"case when cells >= 5 then {a} end", n) for a, n in (("h", "risk_high"), ("l", "risk_reference"), ("d", "mean_difference"), ("m", "median_difference")))}, cells >= 5 as supported from b""",
+    "q_motion_coverage": f"""{SPEEDS} select channel, acquisition_id, n, {_r("rho", "rho")} from motion""",
+    "q_track_loss": f"""{SPEEDS} select analysis, channel, acquisition_id, cells, {", ".join(_r(f"case when cells >= 5 then {a} end", n) for a, n in (("h", "risk_high"), ("l", "risk_reference"), ("d", "mean_difference"), ("m", "median_difference")))}, cells >= 5 as supported from loss""",
+    "q_motion_summary": f"""{SPEEDS}, u as (select 'coverage_against_motion' as analysis, channel, rho as e, rho is not null as ok from motion union all select analysis, channel, d, cells >= 5 and d is not null from loss)
+select analysis, channel, count(*) as assessed, count(*) filter (ok) as supported, {_r("median(e) filter (ok)", "median_effect")}, {_r("min(e) filter (ok)", "least_effect")}, {_r("max(e) filter (ok)", "largest_effect")} from u group by analysis, channel""",
+    "q_bundle_asymmetry": f"""{QC} select bundle_id, acquisition_id, {_r("hour_post_delivery", "hour_post_delivery")}, {_r("site1_coverage - site2_coverage", "coverage_difference")}, {_r("abs(site1_coverage - site2_coverage)", "absolute_difference")} from bundles""",
     "q_intervals": f"""{QC} select bundle_id, frame, {_r("coalesce(lead(micro_time_s) over w - micro_time_s, micro_time_s - lag(micro_time_s) over w, frame_interval_s)", "interval_s")} from qf window w as (partition by bundle_id order by frame)""",
     "s_separation": f"""{QC} select hour_post_delivery, count(*) as frames, count(distinct bundle_id) as bundles, count(*) filter (separation_nm > 550) as above, {_r("100.0 * count(*) filter (separation_nm > 550) / count(*)", "percent_above", 3)},
   {_r("median(separation_nm)", "median_nm", 3)}, {_r("quantile_cont(separation_nm, 0.25)", "q25_nm", 3)}, {_r("quantile_cont(separation_nm, 0.75)", "q75_nm", 3)}, {_r("max(separation_nm)", "max_nm", 3)} from shared where hour_post_delivery is not null group by hour_post_delivery""",
@@ -316,13 +338,19 @@ select bundle_id, frame, {", ".join(_r(f"(site{s}_{a}_nm - m{a}) / 1000", f"site
     "g_half_width": f"""{QC}, m as (select bundle_id from bundles where {_rules(cohorts.RELAXED)} = '' and hour_post_delivery is not null),
 s as (select *, avg((site1_x_nm + site2_x_nm) / 2) over (partition by bundle_id) as mx, avg((site1_y_nm + site2_y_nm) / 2) over (partition by bundle_id) as my from shared where hour_post_delivery is not null and bundle_id in (select bundle_id from m))
 select ceil(greatest(max(abs(site1_x_nm - mx)), max(abs(site1_y_nm - my)), max(abs(site2_x_nm - mx)), max(abs(site2_y_nm - my))) / 1000 * 4) / 4 as half_width_um from s""",
-    "v_frame_issues": "with q as (select *, lag(frame) over w as sf, lag(case when not isnan(micro_time_s) then micro_time_s end) over w as bt, case when not isnan(micro_time_s) then micro_time_s end as t from frame_table window w as (partition by bundle_id order by frame, loaded_at)) " + _codes(
+    "v_frame_issues": """with q as (select *, lag(frame) over w as sf, lag(case when not isnan(micro_time_s) then micro_time_s end) over w as bt, case when not isnan(micro_time_s) then micro_time_s end as t, case when not isnan(frame_interval_s) then frame_interval_s end as gap, lag(case when not isnan(frame_interval_s) then frame_interval_s end) over w as bg, row_number() over w as place, case when not isnan(hour_post_delivery) then hour_post_delivery end as hour,
+  min(coalesce(acquisition_id, '')) over v <> max(coalesce(acquisition_id, '')) over v as x_acquisition_id, min(coalesce(fov_id, '')) over v <> max(coalesce(fov_id, '')) over v as x_fov_id, min(coalesce(cell_id, '')) over v <> max(coalesce(cell_id, '')) over v as x_cell_id
+  from frame_table window w as (partition by bundle_id order by frame, loaded_at), v as (partition by bundle_id)) """ + _codes(
         "q",
         {
             "missing_bundle_id": "bundle_id is null", "missing_frame": "frame is null", "missing_time": "t is null", "negative_time": "t < 0", "duplicate_key": "bundle_id is not null and sf = frame",
             "time_not_increasing": "bundle_id is not null and sf < frame and t <= bt",
             "valid_without_coordinates": "(site1_valid and (site1_x_nm is null or isnan(site1_x_nm) or site1_y_nm is null or isnan(site1_y_nm))) or (site2_valid and (site2_x_nm is null or isnan(site2_x_nm) or site2_y_nm is null or isnan(site2_y_nm)))",
-            "pair_flag_disagrees": "site1_valid is not null and coalesce(paired_valid, false) <> (site1_valid and coalesce(site2_valid, false))", "missing_hour": "hour_post_delivery is null or isnan(hour_post_delivery)",
+            "pair_flag_disagrees": "site1_valid is not null and coalesce(paired_valid, false) <> (site1_valid and coalesce(site2_valid, false))", "missing_hour": "hour is null",
+            "invalid_hour": "hour is not null and not (hour between 0 and 1e6)", "invalid_frame": "frame < 0", "invalid_frame_interval": "gap is null or not (gap > 0 and isfinite(gap))",
+            "frame_interval_mismatch": "bundle_id is not null and sf < frame and abs(t - bt - bg * (frame - sf)) > 1e-6 + 0.05 * abs(bg * (frame - sf))",
+            **{f"blank_{c}": f"{c} is null or trim({c}) = ''" for c in ("biological_experiment_id", "acquisition_id", "fov_id", "cell_id")},
+            **{f"bundle_crosses_{c}": f"bundle_id is not null and place = 1 and x_{c}" for c in ("acquisition_id", "fov_id", "cell_id")},
         },
         "concat_ws('#', coalesce(bundle_id, ''), coalesce(cast(frame as varchar), ''))",
     ),
