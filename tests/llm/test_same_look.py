@@ -51,3 +51,13 @@ def test_pairs_nulls_copies_and_empty(spark):
 def test_visible_ascii_is_never_changed():
     plain = {chr(c) for c in range(0x20, 0x7F)}
     assert not plain & (PARTS.keys() | TO.keys()) and set(LOOK_ALIKES) <= plain
+
+
+def test_classes_hold_every_document_once(spark):
+    from trackloom.llm.same_look import same_look_classes
+
+    rows = [(1, "abc"), (2, "\uff41bc"), (3, "abc"), (4, "abd"), (5, None), (6, ""), (7, "\uff41bc"), (None, "abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.texts) for r in same_look_classes(docs).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 7: (1, 2), 4: (4, 1), 5: (None, None), 6: (None, None)}
+    assert same_look_classes(docs.where("false")).collect() == []

@@ -78,5 +78,9 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return same_look.consistent_form(_docs(spark, d)).select("doc_id", "form")
 
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_forms": p8_forms}
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return same_look.same_look_classes(_docs(spark, d))
+
+
+QUERIES = {"p3_percentiles": p3_percentiles, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
 ORACLES: dict[str, str] = {"p3_percentiles": P3_SQL}

@@ -168,7 +168,7 @@ def consistent_form(docs: DataFrame) -> DataFrame:
     their runs, in two shuffles; a run or text that makes up much of the corpus is combined map-side.
     """
     lines = F.regexp_replace("text", "\r\n?", "\n")
-    mixed = F.col("text").rlike(r"[^\t\n\r -~]")
+    mixed = F.coalesce(F.col("text").rlike(r"[^\t\n\r -~]"), F.lit(False))
     keyed = docs.withColumn("text_key", F.md5("text"))
     occurring = (
         keyed.where(mixed)
@@ -180,13 +180,23 @@ def consistent_form(docs: DataFrame) -> DataFrame:
         .groupBy("text_key")
         .agg(F.array_sort(F.collect_set(F.struct("place", F.coalesce("form", F.lit("")).alias("form")))).alias("forms"))
     )
-    plain = keyed.withColumn("pieces", F.when(mixed, F.split(lines, RUN, -1)))
-    whole = F.array_join(F.zip_with("pieces", "forms.form", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return (
-        plain.join(by_text, "text_key", "left")
-        .withColumn("form", F.when(F.col("pieces").isNotNull(), whole).otherwise(lines))
-        .drop("pieces", "forms")
-    )
+    whole = F.array_join(F.zip_with(F.split(lines, RUN, -1), "forms.form", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    # plain texts stay where they are
+    plain = keyed.where(~mixed).withColumn("form", lines)
+    return keyed.where(mixed).join(by_text.hint("merge"), "text_key", "left").withColumn("form", whole).select(*plain.columns).unionByName(plain)
+
+
+def same_look_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, texts): for every document the smallest doc_id of those that look the same, and how many
+    different texts look so. Null and empty texts are classes of their own (class_id null); null doc_ids are left
+    out. One row per document, however large a class is: its members only meet the one row of their class."""
+    own = docs.select("doc_id", "text").where("doc_id is not null")
+    keys = written(consistent_form(own.where("text <> ''")).select("doc_id", "text_key", F.md5("form").alias("form_key")))
+    texts = keys.groupBy("form_key", "text_key").agg(F.min("doc_id").alias("doc_id"))
+    classes = texts.groupBy("form_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("texts"))
+    found = keys.join(classes.hint("merge"), "form_key").select("doc_id", "class_id", "texts")
+    none = own.where("text is null or text = ''").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("texts"))
+    return found.unionByName(none)
 
 
 def same_look_pairs(docs: DataFrame) -> DataFrame:
@@ -200,6 +210,6 @@ def same_look_pairs(docs: DataFrame) -> DataFrame:
         consistent_form(docs.select("doc_id", "text").where("doc_id is not null and text <> ''")).select("doc_id", "text_key", F.md5("form").alias("form_key"))
     )
     shared = keys.groupBy("form_key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("form_key")
-    own = written(keys.join(shared, "form_key"))
+    own = written(keys.join(shared.hint("merge"), "form_key"))
     a, b = (own.select("form_key", F.col("doc_id").alias(f"doc_id_{x}"), F.col("text_key").alias(f"key_{x}")) for x in "ab")
     return a.join(b, "form_key").where("doc_id_a < doc_id_b and key_a <> key_b").select("doc_id_a", "doc_id_b").distinct()
