@@ -9,7 +9,7 @@ one row per frame of its movie, and a task holds one batch and one unit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,6 +58,9 @@ class _Rows:
         for c, parts in self.numbers.items():
             parts.append(columns[c][at] if c in columns else np.full(len(at), np.nan))
 
+    def seen(self, metric: str, n: np.ndarray, ok: np.ndarray, min_pairs: int, site: str | None = None, direction: str | None = None, delta: int | None = None) -> None:
+        """Curves keep no account of the lags without a point."""
+
     def frame(self) -> pd.DataFrame:
         sizes = [len(a) for a in self.at]
         tags = pd.DataFrame(self.tags, columns=["metric", "site", "direction", "delta", "lag"]).astype({"metric": object, "site": object, "direction": object, "delta": "Int32", "lag": "int32"})
@@ -66,11 +69,39 @@ class _Rows:
         return out[NAMES]
 
 
+class _Census:
+    """What became of the lags of every unit and curve, in place of the curves."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids = ids
+        self.sums: dict[tuple, np.ndarray] = {}
+
+    def seen(self, metric: str, n: np.ndarray, ok: np.ndarray, min_pairs: int, site: str | None = None, direction: str | None = None, delta: int | None = None) -> None:
+        own = self.sums.setdefault((metric, site, direction, delta), np.zeros((5, len(self.ids)), np.int64))
+        enough = n >= min_pairs
+        own[:4] += np.array([np.ones(len(n), bool), ok, ~enough, enough & ~ok])
+        own[4] = np.maximum(own[4], n)
+
+    def put(self, *args, **columns) -> None:
+        """The points themselves are not kept."""
+
+    def frame(self) -> pd.DataFrame:
+        parts = []
+        for (metric, site, direction, delta), counts in self.sums.items():
+            part = pd.DataFrame(dict(zip(("attempted", "emitted", "below_min_pairs", "invalid", "most_pairs"), counts)))
+            parts.append(part.assign(metric=metric, unit_id=self.ids, site=site, direction=direction, delta=pd.array([delta] * len(part), "Int32")))
+        return pd.concat(parts, ignore_index=True)[[c.split()[0] for c in CENSUS.split(", ")]]
+
+
+CENSUS = "metric string, unit_id string, site string, direction string, delta int, attempted long, emitted long, below_min_pairs long, invalid long, most_pairs long"
+
+
 def _displacement(out: _Rows, metric: str, site: str, x: np.ndarray, y: np.ndarray, t: np.ndarray, last: int, min_pairs: int) -> None:
     for k in range(1, last + 1):
         sq = (x[:, k:] - x[:, :-k]) ** 2 + (y[:, k:] - y[:, :-k]) ** 2
         n, mean = _mean(sq)
         ok = n >= min_pairs
+        out.seen(metric, n, ok, min_pairs, site=site)
         if not ok.any():
             continue
         spread = np.nansum((sq - mean[:, None]) ** 2, 1)
@@ -107,6 +138,7 @@ def _correlations(out: _Rows, xs: list, ys: list, t: np.ndarray, d: int, last: i
             n, raw = _mean(product)
             norm = power[a][1] if metric == "vac" else scale
             ok = (n >= min_pairs) & np.isfinite(norm) & (norm > 0)
+            out.seen(metric, n, ok, min_pairs, site=site, direction=direction, delta=d)
             if not ok.any():
                 continue
             lag_s = np.full(len(n), np.nan)
@@ -115,8 +147,8 @@ def _correlations(out: _Rows, xs: list, ys: list, t: np.ndarray, d: int, last: i
             out.put(metric, k, n, ok, site=site, direction=direction, delta=d, lag_s_median=lag_s, delta_s_median=own_delta[a] if metric == "vac" else both_delta, value=value, raw_value=raw, normalization=norm)
 
 
-def _curves(pdf: pd.DataFrame, cap: int, fraction: float, min_pairs: int) -> Iterator[pd.DataFrame]:
-    """Curves of whole units. Units of one movie length and offset family are laid side by side."""
+def _curves(pdf: pd.DataFrame, cap: int, fraction: float, min_pairs: int, kind: type = _Rows) -> Iterator[pd.DataFrame]:
+    """Curves of whole units, or their census. Units of one movie length and offset family are laid side by side."""
     first = pdf.drop_duplicates("unit_id")
     for (movie, deltas), group in first.groupby(["movie_frames", "deltas"], sort=False):
         for cut in range(0, len(group), 256):
@@ -127,19 +159,30 @@ def _curves(pdf: pd.DataFrame, cap: int, fraction: float, min_pairs: int) -> Ite
             t, x1, y1, x2, y2 = (np.full((len(ids), movie), np.nan) for _ in range(5))
             for array, name in ((t, "time_s"), (x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2")):
                 array[row, col] = own[name].to_numpy(float)
-            out, last = _Rows(ids), min(cap, int(np.floor(fraction * movie)))
+            out, last = kind(ids), min(cap, int(np.floor(fraction * movie)))
             _displacement(out, "msd", "site1", x1, y1, t, last, min_pairs)
             _displacement(out, "msd", "site2", x2, y2, t, last, min_pairs)
             _displacement(out, "mscd", "pair", x2 - x1, y2 - y1, t, last, min_pairs)
             for d in map(int, deltas.split()):
                 _correlations(out, [x1, x2], [y1, y2], t, d, last, min_pairs)
-            if out.at:
+            if out.at if kind is _Rows else out.sums:
                 yield out.frame()
 
 
 def unit_curves(frames: DataFrame, deltas: DataFrame, min_pairs: int = 8, cap: int = 50, fraction: float = 0.25) -> DataFrame:
     """The finite points of msd, mscd, vac and vcc curves, as `schedules.unit_curves` gives them. frames: one row per
     unit and frame with 1 <= frame <= movie_frames (see points.bundle_frames); deltas: nd2_id, delta."""
+    return _by_unit(frames, deltas, CURVES, lambda pdf: _curves(pdf, cap, fraction, min_pairs))
+
+
+def support_census(frames: DataFrame, deltas: DataFrame, min_pairs: int = 8, cap: int = 50, fraction: float = 0.25) -> DataFrame:
+    """Every attempted curve with the numbers of its lags: attempted, emitted (a point), below_min_pairs and invalid
+    (enough pairs but no positive normalisation), and the most pairs of a lag. Curves without any lag have no row."""
+    return _by_unit(frames, deltas, CENSUS, lambda pdf: _curves(pdf, cap, fraction, min_pairs, _Census))
+
+
+def _by_unit(frames: DataFrame, deltas: DataFrame, schema: str, make: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> DataFrame:
+    """make applied to batches of whole units."""
     family = deltas.groupBy("nd2_id").agg(F.array_join(F.array_sort(F.collect_set("delta")), " ").alias("deltas"))
     rows = (
         frames.join(family, "nd2_id")
@@ -158,8 +201,8 @@ def unit_curves(frames: DataFrame, deltas: DataFrame, min_pairs: int = 8, cap: i
             open_ = (pdf["unit_id"] == last).to_numpy()
             held = pdf[open_]
             if not open_.all():
-                yield from _curves(pdf[~open_], cap, fraction, min_pairs)
+                yield from make(pdf[~open_])
         if held is not None and len(held):
-            yield from _curves(held, cap, fraction, min_pairs)
+            yield from make(held)
 
-    return rows.mapInPandas(task, CURVES)
+    return rows.mapInPandas(task, schema)

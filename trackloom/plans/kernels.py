@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.numeric import LARGE, TIE, rounded
-from trackloom.operators import lags, points, resampling, schedules
+from trackloom.operators import dense, lags, points, resampling, schedules
 from trackloom.session import written
 from trackloom.sources.tables import named_sql, named_table as table
 
@@ -107,6 +107,10 @@ def k_msd_exact_time(spark: SparkSession, d: str) -> DataFrame:
     return _round(lags.exact_time_msd(_sites(spark, d), *EXACT))
 
 
+def k_mscd_exact_time(spark: SparkSession, d: str) -> DataFrame:
+    return _round(lags.exact_time_msd(points.paired_points(written(frames(spark, d))), *EXACT))
+
+
 def k_velocity_exact_time(spark: SparkSession, d: str) -> DataFrame:
     return _round(lags.exact_time_velocities(_sites(spark, d), 10.0, 0.25))
 
@@ -203,6 +207,20 @@ def u_support_census(spark: SparkSession, d: str) -> DataFrame:
     return schedules.support_census(own, every.where("value is not null"))
 
 
+def u_curve_census(spark: SparkSession, d: str) -> DataFrame:
+    """What became of every attempted curve of all four metrics, with the reason where it has no point."""
+    deltas = schedules.delta_family(schedules.matched_delta(points.acquisition_clock(table(spark, d, "frame_table"))))
+    found = dense.support_census(frames(spark, d), deltas)
+    reason = F.when(F.col("emitted") > 0, "included").when(F.col("below_min_pairs") == F.col("attempted"), "insufficient_valid_pairs_all_lags").otherwise("nonpositive_or_unavailable_normalization")
+    return found.withColumns({"included": F.col("emitted") > 0, "reason": reason})
+
+
+def a_census_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Curves per metric, site, hour, inclusion and reason; null groups are kept."""
+    hours = frames(spark, d).groupBy("unit_id").agg(F.min("hour").alias("hour"))
+    return u_curve_census(spark, d).join(hours, "unit_id").groupBy("metric", "site", "hour", "included", "reason").agg(F.count(F.lit(1)).alias("curves"))
+
+
 FRAMES = """
 with one as (
   select bundle_id as unit_id, frame, min(acquisition_id) as nd2_id, min(cell_id) as crop_id,
@@ -423,10 +441,30 @@ select metric, c.unit_id, site, direction, c.delta, lag, {", ".join(_r(x, x) for
   ids.nd2_id, crop_id, {_r("hour", "hour")}, m.delta is not null as is_primary
 from curves c join ids using (unit_id) left join matched m on ids.nd2_id = m.nd2_id and c.delta = m.delta"""
 
+CENSUS = f"""{UNIT_CURVES}, pairs as (
+  select a.unit_id, a.delta, a.site as early, b.site as late, b.start_frame - a.start_frame as lag, count(*) as n from v a join v b on a.unit_id = b.unit_id and a.delta = b.delta and b.start_frame - a.start_frame between 0 and {LAST} group by all),
+steps as (select unit_id, site, lag, count(*) as n from moved group by all),
+units as (select unit_id, min(nd2_id) as nd2_id, max(movie_frames) as movie_frames from frames group by unit_id),
+tried as (
+  select case when site = 'pair' then 'mscd' else 'msd' end as metric, unit_id, site, site as early, site as late, cast(null as varchar) as direction, cast(null as int) as delta, unnest(range(1, cast(least(50, floor(0.25 * movie_frames)) as int) + 1)) as lag
+  from units cross join (select unnest(['site1', 'site2', 'pair']) as site)
+  union all
+  select case when early = late then 'vac' else 'vcc' end, unit_id, case when early = late then early end, early, late, case when early <> late then late || '_later_vs_' || early end, delta,
+    unnest(range(0, cast(least(50, floor(0.25 * movie_frames), movie_frames - delta - 1) as int) + 1))
+  from units join family using (nd2_id) cross join (select unnest(['site1', 'site2']) as early) cross join (select unnest(['site1', 'site2']) as late) where delta < movie_frames),
+lagged as (
+  select t.*, coalesce(s.n, p.n, 0) as n, coalesce(s.n, p.n, 0) >= 8 and case t.metric when 'vac' then coalesce(o.e > 0, false) when 'vcc' then coalesce(w.e > 0, false) else true end as ok
+  from tried t left join steps s on t.delta is null and t.unit_id = s.unit_id and t.site = s.site and t.lag = s.lag left join pairs p on t.delta = p.delta and t.unit_id = p.unit_id and t.early = p.early and t.late = p.late and t.lag = p.lag
+  left join own o on t.unit_id = o.unit_id and t.delta = o.delta and t.site = o.site left join twin w on t.unit_id = w.unit_id and t.delta = w.delta),
+counted as (select metric, unit_id, site, direction, delta, count(*) as attempted, count(*) filter (ok) as emitted, count(*) filter (n < 8) as below_min_pairs, count(*) filter (n >= 8 and not ok) as invalid, cast(max(n) as bigint) as most_pairs
+  from lagged group by metric, unit_id, site, direction, delta),
+census as (select *, emitted > 0 as included, case when emitted > 0 then 'included' when below_min_pairs = attempted then 'insufficient_valid_pairs_all_lags' else 'nonpositive_or_unavailable_normalization' end as reason from counted)
+"""
+
 QUERIES = {f.__name__: f for f in (
     k_msd, k_mscd, k_velocity, k_vac, k_vcc, k_vcc_matrix, k_vcc_symmetric, k_matrix_symmetric, a_matrix_hours, k_vac_targets, k_vcc_targets, k_msd_exact_time, k_velocity_exact_time, k_vcc_exact_time, k_vac_exact_time, k_turning_exact_time,
     k_turning, k_direction_histogram, k_turning_persistence, k_persistence_null, k_directed_bursts, k_positive_area, k_curve_area, k_pair_modes, k_motion_energy,
-    u_schedule, u_matched_delta, u_unit_curves, u_support_census,
+    u_schedule, u_matched_delta, u_unit_curves, u_support_census, u_curve_census, a_census_hours, k_mscd_exact_time,
 )}
 ORACLES = {n: named_sql(sql) for n, sql in {
     "k_msd": _msd("sites"),
@@ -455,6 +493,9 @@ select a.unit_id, a.site, a.start_frame, a.end_frame as vertex, b.end_frame, {_r
     "u_schedule": SCHEDULE_SQL,
     "u_matched_delta": DELTA_SQL,
     "u_unit_curves": UNIT_CURVES_SQL,
+    "k_mscd_exact_time": FRAMES + EXACT_MSD_SQL[len(FRAMES) :].replace("from sites s cross", "from paired s cross").replace("join sites b", "join paired b"),
+    "u_curve_census": f"{CENSUS} select * from census",
+    "a_census_hours": f"{CENSUS} select metric, site, hour, included, reason, count(*) as curves from census join ids using (unit_id) group by metric, site, hour, included, reason",
     "a_matrix_hours": MATRIX_HOURS_SQL,
     "k_vac_targets": VAC_TARGETS_SQL,
     "k_vcc_targets": VCC_TARGETS_SQL,
