@@ -45,20 +45,21 @@ def slot_readings(frames: DataFrame, clocks: DataFrame, series: Mapping[str, Seq
     )
 
 
-def _dense(pdf: pd.DataFrame, series: Mapping[str, Sequence[str]]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Seen flags per series and values per component (NaN where none) of the sources in pdf, sources by slots."""
-    shape = (len(pdf), int(pdf["last_slot"].max()) + 1)
-    sizes = pdf["slots"].map(len).to_numpy()
-    row, col = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf["slots"].to_numpy())
-    on = col >= 0
-    seen, value = {}, {}
-    for s, parts in series.items():
-        seen[s] = np.zeros(shape, bool)
-        seen[s][row[on], col[on]] = np.concatenate(pdf[f"{s}_seen"].to_numpy()).astype(bool)[on]
-        for c in parts:
-            value[c] = np.full(shape, np.nan)
-            value[c][row[on], col[on]] = np.concatenate(pdf[c].to_numpy()).astype(float)[on]
-    return seen, value
+def _places(pdf: pd.DataFrame) -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Shape of the dense arrays of the sources in pdf, and row and column of each listed slot with whether it has one."""
+    col = np.concatenate(pdf["slots"].to_numpy())
+    row = np.repeat(np.arange(len(pdf)), pdf["slots"].map(len).to_numpy())
+    return (len(pdf), int(pdf["last_slot"].max()) + 1), row, col, col >= 0
+
+
+def _dense(pdf: pd.DataFrame, places: tuple, names: Sequence[str], kind: type) -> dict[str, np.ndarray]:
+    """Sources by slots of the listed columns: False or NaN where none."""
+    shape, row, col, on = places
+    out = {}
+    for c in names:
+        out[c] = np.full(shape, np.nan if kind is float else False, kind)
+        out[c][row[on], col[on]] = np.concatenate(pdf[c].to_numpy()).astype(kind)[on]
+    return out
 
 
 def _fit_cells(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +78,9 @@ def _fit_cells(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np
         there = (at >= 0) & (at < len(x))
         there[there] = seg[at[there]] == seg[there]
         around[k, there] = x[at[there]]
-    some = ~np.isnan(around).all(0)
-    middle = np.full(len(x), np.nan)
-    middle[some] = np.nanmedian(around[:, some], axis=0)
+    around = np.sort(around, axis=0)  # NaN last
+    n = np.maximum((~np.isnan(around)).sum(0), 1)
+    middle = (np.take_along_axis(around, ((n - 1) // 2)[None], 0)[0] + np.take_along_axis(around, (n // 2)[None], 0)[0]) / 2
     far = np.abs(x - middle) > FAR * scale[seg]
     use[seg[far], col[far]] = False
     return use, scale
@@ -92,17 +93,19 @@ def _windows(slots: int) -> list[int]:
 
 
 def _rows(value: np.ndarray, use: np.ndarray, scale: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Windows with at least `least` cells: source, first period, cells in use, standardised values, mean."""
-    wide = [(0, 0), (0, WINDOW)]
-    v, u = np.pad(np.where(use, value, 0.0), wide), np.pad(use, wide)
+    """Windows with at least `least` cells: source, first period, cells in use, standardised values, means. value and
+    scale have the components of a series as last axis; they share their cells."""
+    slots = value.shape[1]
+    v, u = np.pad(np.where(use[..., None], value, 0.0), [(0, 0), (0, WINDOW), (0, 0)]), np.pad(use, [(0, 0), (0, WINDOW)])
     out = []
-    for first in _windows(value.shape[1]):
+    for first in _windows(slots):
         o = u[:, first : first + WINDOW]
         n = o.sum(1)
         at = np.flatnonzero(n >= least)
         o = o[at]
-        mean = (v[at, first : first + WINDOW]).sum(1) / n[at]
-        y = np.where(o, v[at, first : first + WINDOW] - mean[:, None], 0.0) / scale[at][:, None]
+        here = v[at, first : first + WINDOW]
+        mean = here.sum(1) / n[at, None]
+        y = np.where(o[..., None], here - mean[:, None], 0.0) / scale[at][:, None]
         out.append((at, np.full(len(at), first), o, y, mean))
     return tuple(np.concatenate(c) for c in zip(*out))
 
@@ -118,26 +121,33 @@ def start_factors(rank: int) -> tuple[np.ndarray, float]:
     return np.hstack([np.full((WINDOW, 1), float(WINDOW)), waves[:, :rank]]), max(rest, 0.02)
 
 
-def source_factors(o: np.ndarray, y: np.ndarray, v: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares source factors of rows with cells o, and their covariances. The unit ridge is the factors'
-    own spread (the time factors carry the size), so every system is positive definite."""
+def source_factors(o: np.ndarray, y: np.ndarray, v: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least-squares source factors of rows with cells o, one per component, the covariance of each pattern of cells,
+    and the pattern of each row. The unit ridge is the factors' own spread (the time factors carry the size), so every
+    system is positive definite."""
     q = v.shape[1]
+    bits = np.packbits(o, axis=1).astype(np.int64) @ (256 ** np.arange(-(-WINDOW // 8)))
+    _, some, pattern = np.unique(bits, return_index=True, return_inverse=True)
     squares = (v[:, :, None] * v[:, None, :]).reshape(len(v), q * q)
-    gram = (o.astype(float) @ squares).reshape(-1, q, q) / noise + np.eye(q)
+    gram = (o[some].astype(float) @ squares).reshape(-1, q, q) / noise + np.eye(q)
     cov = np.linalg.inv(gram)
-    return np.einsum("npq,nq->np", cov, (y @ v) / noise), cov
+    right = np.einsum("nwk,wq->nqk", y, v, optimize=True) / noise
+    return np.matmul(cov[pattern], right), cov, pattern
 
 
 def time_equations(o: np.ndarray, y: np.ndarray, v: np.ndarray, noise: float) -> np.ndarray:
     """Sums over rows for the other half step, one line per period of the window: Gram matrix, right-hand side,
     cells, squared residuals. They add up over tasks."""
-    u, cov = source_factors(o, y, v, noise)
-    q = v.shape[1]
+    u, cov, pattern = source_factors(o, y, v, noise)
+    q, parts = v.shape[1], y.shape[2]
     on = o.astype(float)
-    moments = (cov + u[:, :, None] * u[:, None, :]).reshape(-1, q * q)
-    spread = np.einsum("wp,wpq,wq->w", v, (on.T @ cov.reshape(-1, q * q)).reshape(-1, q, q), v)
-    misfit = (on * (y - u @ v.T) ** 2).sum(0) + spread
-    return np.hstack([on.T @ moments, y.T @ u, on.sum(0)[:, None], misfit[:, None]])
+    seen = np.zeros((len(cov), WINDOW))
+    np.add.at(seen, pattern, on)
+    spread = (seen.T @ cov.reshape(-1, q * q)) * parts
+    moments = sum(on.T @ (u[:, :, None, k] * u[:, None, :, k]).reshape(-1, q * q) for k in range(parts)) + spread
+    fit = np.einsum("nqk,wq->nwk", u, v, optimize=True)
+    misfit = (on[..., None] * (y - fit) ** 2).sum((0, 2)) + np.einsum("wp,wpq,wq->w", v, spread.reshape(-1, q, q), v)
+    return np.hstack([moments, np.einsum("nwk,nqk->wq", y, u, optimize=True), on.sum(0)[:, None] * parts, misfit[:, None]])
 
 
 def solve_time(total: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
@@ -149,14 +159,41 @@ def solve_time(total: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]
     return new, max(float(total[:, -1].sum() / max(total[:, -2].sum(), 1.0)), 1e-3)
 
 
-def _components(pdf: pd.DataFrame, series: Mapping[str, Sequence[str]], signed: Sequence[str]) -> Iterator[tuple]:
-    """Dense arrays of a block of sources: seen flags, values, and per component its fit cells and scale."""
+def _blocks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
     each = max(1, _BLOCK_CELLS // (int(pdf["last_slot"].max()) + 1)) if len(pdf) else 1
     for start in range(0, len(pdf), each):
-        own = pdf.iloc[start : start + each]
-        seen, value = _dense(own, series)
-        high = np.where(np.isnan(h := own["limit"].to_numpy(float)), np.inf, h)
-        yield own, seen, value, {c: _fit_cells(value[c], -high if s in signed else np.zeros(len(high)), high) for s, parts in series.items() for c in parts}, high
+        yield pdf.iloc[start : start + each]
+
+
+def _high(pdf: pd.DataFrame) -> np.ndarray:
+    high = pdf["limit"].to_numpy(float)
+    return np.where(np.isnan(high), np.inf, high)
+
+
+def _with_fit_cells(pdf: pd.DataFrame, series: Mapping[str, Sequence[str]], signed: Sequence[str]) -> pd.DataFrame:
+    """pdf with the cells of each series to which all its components can be fitted, and the components' scales."""
+    places = _places(pdf)
+    shape, row, col, on = places
+    value, high = _dense(pdf, places, [c for parts in series.values() for c in parts], float), _high(pdf)
+    ends = np.cumsum(pdf["slots"].map(len).to_numpy())[:-1]
+    out = {}
+    for s, parts in series.items():
+        fit = [_fit_cells(value[c], -high if s in signed else np.zeros(len(high)), high) for c in parts]
+        use = np.logical_and.reduce([f[0] for f in fit])
+        flags = np.zeros(len(row), bool)
+        flags[on] = use[row[on], col[on]]
+        out[f"{s}_use"] = pd.Series(np.split(flags, ends), index=pdf.index, dtype=object)
+        out[f"{s}_scale"] = pd.Series(list(np.stack([f[1] for f in fit], 1)), index=pdf.index, dtype=object)
+    return pdf.assign(**out)
+
+
+def _components(pdf: pd.DataFrame, series: Mapping[str, Sequence[str]]) -> Iterator[tuple]:
+    """Blocks of sources, with per series its values (components as last axis), the cells to fit to and the scales."""
+    for own in _blocks(pdf):
+        places = _places(own)
+        value = _dense(own, places, [c for parts in series.values() for c in parts], float)
+        use = _dense(own, places, [f"{s}_use" for s in series], bool)
+        yield own, places, {s: (np.stack([value[c] for c in parts], 2), use[f"{s}_use"], np.stack(own[f"{s}_scale"].to_numpy())) for s, parts in series.items()}
 
 
 def regular_grid(
@@ -210,7 +247,13 @@ def regular_grid(
             *[F.col(f"cells.{c}").alias(c) for c in names],
         )
     )
-    matrix = written(gathered)
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from (_with_fit_cells(own, series, signed) for own in _blocks(pdf))
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in gathered.schema] + [f"`{s}_use` array<boolean>, `{s}_scale` array<double>" for s in series]
+    matrix = written(gathered.mapInPandas(prepare, ", ".join(kinds)))
     start, noise = start_factors(rank)
     v, known = start, np.zeros(WINDOW, bool)
     width = (rank + 1) * (rank + 2) + 2
@@ -219,9 +262,9 @@ def regular_grid(
         def equations(batches: Iterator[pd.DataFrame], v: np.ndarray = v, noise: float = noise) -> Iterator[pd.DataFrame]:
             total = np.zeros((WINDOW, width))
             for pdf in batches:
-                for _, _, value, fit, _ in _components(pdf, series, signed):
-                    for c in names:
-                        _, _, o, y, _ = _rows(value[c], *fit[c], least_cells)
+                for _, _, blocks in _components(pdf, series):
+                    for block in blocks.values():
+                        _, _, o, y, _ = _rows(*block, least_cells)
                         if len(o):
                             total += time_equations(o, y, v, noise)
             yield pd.DataFrame({"period": np.arange(WINDOW), "sums": list(total)})
@@ -241,46 +284,50 @@ def regular_grid(
 
     def entries(batches: Iterator[pd.DataFrame], v: np.ndarray = v, noise: float = noise, known: np.ndarray = known) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for own, seen, value, fit, high in _components(pdf, series, signed):
-                inside = np.arange(seen[next(iter(series))].shape[1]) <= own["last_slot"].to_numpy()[:, None]
-                for s, parts in series.items():
-                    filled = {c: _fill(value[c], *fit[c], seen[s] | ~inside, v, noise, known, least_cells) for c in parts}
+            for own, places, blocks in _components(pdf, series):
+                seen, high = _dense(own, places, [f"{s}_seen" for s in series], bool), _high(own)
+                inside = np.arange(places[0][1]) <= own["last_slot"].to_numpy()[:, None]
+                row, col = np.nonzero(inside)
+                ids = own["source_id"].to_numpy(object)[row]
+                for s, block in blocks.items():
+                    found, sd = _fill(*block, seen[f"{s}_seen"] | ~inside, v, noise, known, least_cells)
                     low = -high if s in signed else np.zeros(len(high))
                     with np.errstate(invalid="ignore"):
-                        able = np.logical_and.reduce([(x >= low[:, None]) & (x <= high[:, None]) for x, _ in filled.values()])
-                    row, col = np.nonzero(inside)
-                    state = np.where(seen[s], 2, able.astype(int))[row, col]
-                    out = {"bundle_id": own["source_id"].to_numpy(object)[row], "slot": col.astype(np.int64), "series": s, "state": STATES[state]}
-                    for name, c in zip("xy", parts):
-                        out[name] = np.where(state == 2, value[c][row, col], np.where(state == 1, filled[c][0][row, col], np.nan))
-                    sd = np.sqrt(sum(filled[c][1] ** 2 for c in parts))[row, col]
-                    yield pd.DataFrame({**{"y": np.nan}, **out, "sd": np.where(state == 1, sd, np.nan)})[["bundle_id", "slot", "series", "state", "x", "y", "sd"]]
+                        able = ((found >= low[:, None, None]) & (found <= high[:, None, None])).all(2)
+                    state = np.where(seen[f"{s}_seen"], 2, able.astype(int))[row, col]
+                    out = {"bundle_id": ids, "slot": col.astype(np.int64), "series": s, "state": STATES[state], "x": np.nan, "y": np.nan, "sd": np.where(state == 1, sd[row, col], np.nan)}
+                    for k, name in zip(range(found.shape[2]), "xy"):
+                        out[name] = np.where(state == 2, block[0][row, col, k], np.where(state == 1, found[row, col, k], np.nan))
+                    yield pd.DataFrame(out)
 
     out = matrix.mapInPandas(entries, "bundle_id string, slot long, series string, state string, x double, y double, sd double")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "sd")})
 
 
 def _fill(value: np.ndarray, use: np.ndarray, scale: np.ndarray, settled: np.ndarray, v: np.ndarray, noise: float, known: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fitted value and standard deviation of the cells not settled, from the window in which each is most central
+    """Fitted values and standard deviation of the cells not settled, from the window in which each is most central
     among those whose time factors are known there."""
     at, first, o, y, mean = _rows(value, use, scale, least)
-    shape = (len(value), value.shape[1] + WINDOW)
-    found, spread, off = np.full(shape, np.nan), np.full(shape, np.nan), np.full(shape, np.inf)
+    slots, parts = value.shape[1:]
+    shape = (len(value), slots + WINDOW)
+    found, spread, off = np.full((*shape, parts), np.nan), np.full(shape, np.nan), np.full(shape, np.inf)
     left = np.pad(~settled, [(0, 0), (0, WINDOW)])
+    beside = np.where(known, np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2), np.inf)
     for f in np.unique(first):
         own = np.flatnonzero(first == f)
         own = own[left[at[own], f : f + WINDOW].any(1)]  # a window without missing cells needs no factors
         if not len(own):
             continue
-        u, cov = source_factors(o[own], y[own], v, noise)
+        u, cov, pattern = source_factors(o[own], y[own], v, noise)
         part = np.ix_(at[own], np.arange(f, f + WINDOW))
-        beside = np.where(known, np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2), np.inf)
         nearer = beside < off[part]
-        variance = np.einsum("wp,npq,wq->nw", v, cov, v, optimize=True) + noise
-        found[part] = np.where(nearer, u @ v.T * scale[at[own]][:, None] + mean[own][:, None], found[part])
-        spread[part] = np.where(nearer, np.sqrt(variance) * scale[at[own]][:, None], spread[part])
+        variance = (np.matmul(v, cov) * v).sum(2)[pattern] + noise
+        size = scale[at[own]]
+        fitted = np.einsum("nqk,wq->nwk", u, v, optimize=True) * size[:, None] + mean[own][:, None]
+        found[part] = np.where(nearer[..., None], fitted, found[part])
+        spread[part] = np.where(nearer, np.sqrt(variance * (size**2).sum(1)[:, None]), spread[part])
         off[part] = np.where(nearer, beside, off[part])
-    return found[:, : value.shape[1]], spread[:, : value.shape[1]]
+    return found[:, :slots], spread[:, :slots]
 
 
 def _finite(v: Column) -> Column:
