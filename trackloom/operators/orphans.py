@@ -76,6 +76,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     keys = used.select("relation", "ref_key").union(known.select("relation", "ref_key")).distinct()
     codes = written(encode_keys(written(keys)))
 
+    # keys, codes and bitmaps grow with the data: they meet by merge joins, none is broadcast
+    codes = codes.hint("merge")
     coded = used.join(codes, ["relation", "ref_key"])
     wanted = coded.groupBy("relation", "container", "slot").agg(F.bitmap_construct_agg("bit").alias("refs"))
     own = known.join(codes, ["relation", "ref_key"])
@@ -97,13 +99,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
             .agg(F.bitmap_construct_agg("bit").alias("living"))
         )
     survivors = (
-        wanted.join(living, ["relation", "container", "slot"], "left")
+        wanted.join(living.hint("merge"), ["relation", "container", "slot"], "left")
         .select("relation", "container", "slot", F.explode(_bits_left("refs", "living")).alias("bit"))
     )
     suspects = (
         survivors.join(codes, ["relation", "container", "bit"])
-        .join(used, ["relation", "ref_key", "slot"])
-        .join(known.withColumn("there", F.lit(True)), ["relation", "ref_key"], "left")
+        .join(used.hint("merge"), ["relation", "ref_key", "slot"])
+        .join(known.withColumn("there", F.lit(True)).hint("merge"), ["relation", "ref_key"], "left")
     )
     kinds = F.when(F.col("there").isNull(), F.array(F.lit("missing"))).otherwise(
         F.array_compact(
