@@ -54,6 +54,18 @@ def unit_bins(curves: DataFrame, centers: Sequence[float] = CENTERS_S) -> DataFr
     return chosen.where("metric <> 'vcc'").select(*columns, *values, "pair_count", "lag_frames").unionByName(both)
 
 
+def matrix_bins(rows: DataFrame, centers: Sequence[float] = CENTERS_S) -> DataFrame:
+    """Matrices in (site1, site2) order on the lag bins: per unit, direction, component and bin the row nearest to the
+    center in log lag, then with most pairs, then of the smallest lag; both directions averaged where both exist."""
+    from trackloom.operators.lags import symmetrise
+
+    binned = rows.withColumn("bin_s", lag_bin(F.col("lag_s_median"), centers)).where("bin_s is not null and normalized_value is not null")
+    off = F.when(F.col("bin_s") > 0, F.abs(F.ln(F.col("lag_s_median") / F.col("bin_s")))).otherwise(F.lit(0.0))
+    keys = ["unit_id", "row_component", "column_component", "bin_s"]
+    chosen = first_by(binned, [*keys, "direction"], F.round(off, 12), F.desc("pair_count"), "lag")
+    return symmetrise(chosen, keys, ["lag_s_median", "normalized_value", "raw_value"])
+
+
 def hour_curves(bins: DataFrame) -> DataFrame:
     """Equal-unit curves per metric, site, hour and bin with the units available at that hour. Null hours keep
     their curves but have no denominator."""

@@ -87,16 +87,16 @@ def _target_velocities(spark: SparkSession, d: str) -> DataFrame:
     return written(lags.velocities(_sites(spark, d), written(deltas.where("delta is not null").select("nd2_id", "delta").distinct())))
 
 
-def _target_lags():
+def target_lags():
     return F.least(F.col("movie_frames") - 1, F.floor(2.5 * F.col("delta") + 1e-12)).cast("int")
 
 
 def k_vac_targets(spark: SparkSession, d: str) -> DataFrame:
-    return _round(lags.velocity_autocorrelation(_target_velocities(spark, d), last=_target_lags()))
+    return _round(lags.velocity_autocorrelation(_target_velocities(spark, d), last=target_lags()))
 
 
 def k_vcc_targets(spark: SparkSession, d: str) -> DataFrame:
-    found = lags.velocity_cross_correlation(_target_velocities(spark, d), last=_target_lags()).where("value is not null")
+    found = lags.velocity_cross_correlation(_target_velocities(spark, d), last=target_lags()).where("value is not null")
     return _round(lags.symmetrise(found, ["unit_id", "delta", "lag"], ["value", "raw_value", "lag_s_median"]))
 
 

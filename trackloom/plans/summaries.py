@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.numeric import bin_edges
-from trackloom.operators import cube, curves, lags, resampling
-from trackloom.plans.kernels import UNIT_CURVES, _r, _round, computed_curves
+from trackloom.operators import cube, curves, lags, points, resampling, schedules
+from trackloom.plans.kernels import TARGET_V, TARGETS, UNIT_CURVES, VCC, _r, _round, computed_curves, frames as bundle_frames, target_lags
 from trackloom.session import written
 from trackloom.sources.tables import named_sql, named_table as table
 
@@ -173,14 +173,42 @@ def f_bootstrap_exponents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vcc_units(spark: SparkSession, d: str) -> DataFrame:
-    """One symmetric cross-correlation per unit, target duration and center: directions averaged where both exist, then
-    offsets of one target averaged within the unit."""
-    own = _clean(spark, d).where("metric = 'vcc' and hour_post_delivery is not null and scaled_lag_tau_over_delta <= 2.5")
-    target = F.when(F.col("delta_median_s") < 15, 10.0).when(F.col("delta_median_s") < 30, 20.0).otherwise(40.0)
-    keys = ["hour_post_delivery", "unit_id", "crop_id", "delta_median_s", "target_s"]
-    both = lags.symmetrise(own.withColumn("target_s", target), [*keys, "lag_frames"], ["value", "scaled_lag_tau_over_delta"])
-    binned = curves.scaled_bins(both, SCALED[:11], keys)
-    return binned.groupBy("hour_post_delivery", "target_s", "center", "unit_id", "crop_id").agg(F.avg("value").alias("value"), F.avg("delta_median_s").alias("delta_s"))
+    """One symmetric cross-correlation per unit, target duration and scaled-lag center, from the frames: each
+    acquisition's offset nearest to the target, directions averaged where both exist, the nearest lag of each center."""
+    own = written(bundle_frames(spark, d))
+    matched = written(schedules.matched_delta(points.acquisition_clock(table(spark, d, "frame_table")), TARGETS).where("delta is not null").select("nd2_id", "delta", "target_s"))
+    v = written(lags.velocities(points.site_points(own), matched))
+    cross = lags.velocity_cross_correlation(v, last=target_lags()).where("value is not null")
+    both = lags.symmetrise(cross, ["unit_id", "delta", "lag"], ["value", "delta_s_median"])
+    ids = own.groupBy("unit_id").agg(*[F.min(c).alias(c) for c in lags.IDENTITY])
+    named = both.join(ids, "unit_id").join(F.broadcast(matched), ["nd2_id", "delta"]).where("hour is not null")  # one row per acquisition and target
+    named = named.select("unit_id", "crop_id", F.col("hour").alias("hour_post_delivery"), "target_s", "value", F.col("delta_s_median").alias("delta_s"), "pair_count", F.col("lag").alias("lag_frames"), (F.col("lag") / F.col("delta")).alias("scaled_lag_tau_over_delta"))
+    return curves.scaled_bins(named, SCALED[:11], ["hour_post_delivery", "unit_id", "crop_id", "target_s"])
+
+
+def a_vcc_hour_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Symmetric cross-correlation per hour, target duration and scaled lag, every unit with equal weight."""
+    return _round(
+        _vcc_units(spark, d).groupBy("hour_post_delivery", "target_s", "center").agg(
+            F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"), F.count_distinct("unit_id").alias("n_units"), F.count_distinct("crop_id").alias("n_crops"), F.avg("delta_s").alias("delta_s"),
+        ), 5,
+    )
+
+
+def a_matrix_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Hour mean and SD of the symmetrised matrices of each acquisition's matched 10 s offset, on the lag bins."""
+    own = written(bundle_frames(spark, d))
+    deltas = schedules.matched_delta(points.acquisition_clock(table(spark, d, "frame_table"))).where("delta is not null").select("nd2_id", "delta")
+    vcc = lags.velocity_cross_correlation(written(lags.velocities(points.site_points(own), written(deltas))))
+    unit = curves.matrix_bins(lags.transpose_reverse(lags.matrix_rows(vcc)))
+    ids = own.groupBy("unit_id").agg(*[F.min(c).alias(c) for c in lags.IDENTITY])
+    value = lambda c, n: [F.avg(c).alias(f"{n}_mean"), F.stddev_samp(c).alias(f"{n}_sd")]
+    return _round(
+        unit.join(ids, "unit_id").groupBy("hour", "row_component", "column_component", "bin_s").agg(
+            F.avg("lag_s_median").alias("lag_s_mean"), *value("normalized_value", "normalized"), *value("raw_value", "raw"),
+            F.count_distinct("unit_id").alias("n_units"), F.count_distinct("crop_id").alias("n_crops"), F.count_distinct("nd2_id").alias("n_acquisitions"), F.sum("pair_count").alias("total_pairs"),
+        ), 5,
+    )
 
 
 def _cube() -> cube.Cube:
@@ -269,8 +297,25 @@ rmse as (select k.site, k.hour_post_delivery, {_r("sqrt(sum(n_units * pow(mean -
 """
 _six = lambda *c: ", ".join(_r(x, x) for x in c)
 
+VCC_UNITS = f"""{TARGET_V}, vtwin as (select o.*, m from twin o join (select unit_id, delta, median(duration_s) as m from v group by all) using (unit_id, delta)),
+vboth as (select r.unit_id, r.delta, lag, avg(r / e) as value, min(pair_count) as pair_count, any_value(m) as delta_s from raw r join vtwin o on r.unit_id = o.unit_id and r.delta = o.delta where early <> late and e > 0 and r is not null
+  group by r.unit_id, r.delta, lag having count(distinct late) = 2),
+vids as (select unit_id, min(nd2_id) as nd2_id, min(crop_id) as crop_id, min(hour) as hour_post_delivery from frames group by unit_id),
+vnamed as (select b.*, crop_id, hour_post_delivery, target_s, lag / b.delta as x from vboth b join vids using (unit_id) join (select nd2_id, delta, target_s from ranked where place = 1 and delta_s between 0.75 * target_s and 1.25 * target_s) f on vids.nd2_id = f.nd2_id and b.delta = f.delta where hour_post_delivery is not null),
+vnear as (select b.*, c.center, row_number() over (partition by unit_id, target_s, lag order by abs(x - c.center), c.center) as k from vnamed b cross join (select unnest([{", ".join(map(str, SCALED[:11]))}]::double[]) as center) c),
+vunits as (select * from (select * exclude (k), row_number() over (partition by unit_id, target_s, center order by round(abs(x - center), 12), pair_count desc, lag) as place from vnear where k = 1) where place = 1)
+"""
+MATRIX_BINS = f"""{TARGET_V.split("raw as (")[0].replace("[10.0, 20.0, 40.0]", "[10.0]").rstrip().rstrip(",")}, raw as ({VCC.split(", raw as (", 1)[1]}, mbin as (select *, cast({_bin_case().replace("lag_median_s", "lag_s_median")} as double) as bin_s from matrices where normalized_value is not null),
+mplaced as (select *, row_number() over (partition by unit_id, row_component, column_component, bin_s, direction order by round(case when bin_s > 0 then abs(ln(lag_s_median / bin_s)) else 0 end, 12), pair_count desc nulls last, lag) as place from mbin where bin_s is not null),
+munit as (select unit_id, r, c, bin_s, avg(lag_s_median) as lag_s, avg(normalized_value) as nv, avg(raw_value) as rv, min(pair_count) as pair_count
+  from (select *, case when direction = 'site2_later_vs_site1' then column_component else row_component end as r, case when direction = 'site2_later_vs_site1' then row_component else column_component end as c from mplaced where place = 1)
+  group by unit_id, r, c, bin_s having count(distinct direction) = 2),
+mids as (select unit_id, min(nd2_id) as nd2_id, min(crop_id) as crop_id, min(hour) as hour from frames group by unit_id)
+select hour, r as row_component, c as column_component, bin_s, {_r("avg(lag_s)", "lag_s_mean", 5)}, {_r("avg(nv)", "normalized_mean", 5)}, {_r("stddev_samp(nv)", "normalized_sd", 5)}, {_r("avg(rv)", "raw_mean", 5)}, {_r("stddev_samp(rv)", "raw_sd", 5)},
+  count(distinct unit_id) as n_units, count(distinct crop_id) as n_crops, count(distinct nd2_id) as n_acquisitions, cast(sum(pair_count) as bigint) as total_pairs from munit join mids using (unit_id) group by hour, r, c, bin_s"""
+
 QUERIES = {f.__name__: f for f in (
-    n_unit_bins, a_hour_curves, n_scaled_bins, a_delta_curves, a_collapsed_curves, n_fine_grid, f_power_fits, f_trajectory_fits, t_alpha_extremes, t_alpha_cases, t_site_ranks, t_near_lag,
+    n_unit_bins, a_hour_curves, a_vcc_hour_curves, a_matrix_bins, n_scaled_bins, a_delta_curves, a_collapsed_curves, n_fine_grid, f_power_fits, f_trajectory_fits, t_alpha_extremes, t_alpha_cases, t_site_ranks, t_near_lag,
     f_vac_consistency, t_best_worst_hour, f_hour_trend, f_zero_crossing, f_fbm_fits, f_fbm_bootstrap, f_bootstrap_means, f_bootstrap_exponents, f_vcc_endpoints, f_vcc_endpoint_intervals, f_window_means, f_tau_grid, f_tau_bootstrap,
 )}
 ORACLES = {n: named_sql(sql) for n, sql in {
@@ -300,6 +345,9 @@ select arg_min(hour_post_delivery, rmse) as best_hour, arg_max(hour_post_deliver
     "f_hour_trend": f"""{POWER}, ra as (select metric, site, rank() over (partition by metric, site order by hour_post_delivery) + (count(*) over (partition by metric, site, hour_post_delivery) - 1) / 2.0 as a,
   rank() over (partition by metric, site order by exponent) + (count(*) over (partition by metric, site, exponent) - 1) / 2.0 as b from power where exponent is not null)
 select metric, site, count(*) as n, {_r("case when stddev_samp(a) * stddev_samp(b) > 0 then covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b)) end", "rho")} from ra group by metric, site having count(*) >= 3""",
+    "a_vcc_hour_curves": f"""{VCC_UNITS} select hour_post_delivery, target_s, center, {_r("avg(value)", "mean", 5)}, {_r("stddev_samp(value)", "sd", 5)}, {_r("median(value)", "median", 5)}, count(distinct unit_id) as n_units, count(distinct crop_id) as n_crops, {_r("avg(delta_s)", "delta_s", 5)}
+from vunits group by hour_post_delivery, target_s, center""",
+    "a_matrix_bins": MATRIX_BINS,
     "f_vcc_endpoints": f"""{UNIT_CURVES}, clean as (
   select metric, c.unit_id, c.unit_id as bundle_id, ids.nd2_id, crop_id, hour as hour_post_delivery, site, direction, m.delta is not null as is_primary_matched_10s, delta_s_median as delta_median_s, lag as lag_frames, lag_s_median as lag_median_s,
     lag_s_median / delta_s_median as scaled_lag_tau_over_delta, value, raw_value, sd as endpoint_pair_sd, pair_count, normalization
