@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from trackloom.operators import lags, points, schedules
+from trackloom.operators import dense, lags, points, schedules
 
 P = "unit_id string, site string, nd2_id string, movie_frames int, frame int, time_s double, x double, y double"
 FR = "unit_id string, nd2_id string, crop_id string, hour double, frame int, movie_frames int, time_s double, x1 double, y1 double, x2 double, y2 double"
@@ -139,3 +139,36 @@ def test_dense_arrays_give_the_curves_of_the_joins(spark, data):
         for c in ("value", "raw_value", "sd", "lag_s_median", "delta_s_median", "normalization"):
             assert (a[k][c] is None) == (b[k][c] is None) and (a[k][c] is None or a[k][c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-12)), (k, c)
         assert (a[k].pair_count, a[k].is_primary, a[k].hour, a[k].nd2_id) == (b[k].pair_count, b[k].is_primary, b[k].hour, b[k].nd2_id)
+
+
+@pytest.mark.parametrize("channels", [["site1", "site2"], ["pair"]])
+def test_dense_displacements_equal_the_pair_joins(spark, channels):
+    rng = np.random.default_rng(8)
+    rows = []
+    for u in range(5):
+        xy = rng.normal(size=(40, 4)).cumsum(0)
+        for f in range(1, 41):
+            x = [float(v) if rng.random() > 0.3 else None for v in xy[f - 1]]
+            x[1], x[3] = (x[1] if x[0] is not None else None), (x[3] if x[2] is not None else None)
+            x[0], x[2] = (x[0] if x[1] is not None else None), (x[2] if x[3] is not None else None)
+            if u or f > 3:
+                rows.append((f"u{u}", "n", "c", 1.0, f, 40, f * 0.5 + float(rng.random()) * 0.1, *x))
+    rows.append(("empty", "n", "c", 1.0, 1, 40, 0.5, None, None, None, None))
+    frames = spark.createDataFrame(rows, "unit_id string, nd2_id string, crop_id string, hour double, frame int, movie_frames int, time_s double, x1 double, y1 double, x2 double, y2 double")
+    source = points.paired_points(frames) if channels == ["pair"] else points.site_points(frames)
+    columns = ["unit_id", "site", "lag", "pair_count", "value", "sd", "lag_s_mean", "lag_s_median", "lag_s_min", "lag_s_max"]
+    want, got = ({tuple(r[:3]): tuple(r[3:]) for r in df.select(*columns).collect()} for df in (lags.mean_squared_displacement(source), dense.displacements(frames, channels)))
+    assert want.keys() == got.keys() and len(want) > 30
+    for k, w in want.items():
+        assert got[k] == pytest.approx(w, nan_ok=True), k
+    assert dense.displacements(frames.where("false")).collect() == []
+
+
+def test_each_unit_has_its_own_tolerance(spark):
+    """A unit at a late epoch gets the rounding of its large times; the others stay exact."""
+    rows = [("late", "site1", f, 1e9 + f * 0.1, float(f), 0.0) for f in range(1, 12)] + [("early", "site1", f, f * 0.1 + (1e-8 if f == 5 else 0.0), float(f), 0.0) for f in range(1, 12)]
+    p = lags.with_tolerance(spark.createDataFrame(rows, "unit_id string, site string, frame int, time_s double, x double, y double"), 0.1)
+    size = {r.unit_id: r.tolerance for r in p.select("unit_id", "tolerance").distinct().collect()}
+    assert size["late"] > 1e-7 and size["early"] < 1e-12
+    got = lags.exact_time_pairs(p, [0.1], "tolerance").groupBy("unit_id").count().collect()
+    assert {r.unit_id: r["count"] for r in got} == {"late": 10, "early": 8}

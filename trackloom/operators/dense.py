@@ -9,7 +9,7 @@ one row per frame of its movie, and a task holds one batch and one unit.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -147,8 +147,9 @@ def _correlations(out: _Rows, xs: list, ys: list, t: np.ndarray, d: int, last: i
             out.put(metric, k, n, ok, site=site, direction=direction, delta=d, lag_s_median=lag_s, delta_s_median=own_delta[a] if metric == "vac" else both_delta, value=value, raw_value=raw, normalization=norm)
 
 
-def _curves(pdf: pd.DataFrame, cap: int, fraction: float, min_pairs: int, kind: type = _Rows) -> Iterator[pd.DataFrame]:
-    """Curves of whole units, or their census. Units of one movie length and offset family are laid side by side."""
+def _side_by_side(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """Units of one movie length and offset family as (unit, frame) arrays with holes: ids, movie length, offsets and
+    the arrays of time, x1, y1, x2 and y2."""
     first = pdf.drop_duplicates("unit_id")
     for (movie, deltas), group in first.groupby(["movie_frames", "deltas"], sort=False):
         for cut in range(0, len(group), 256):
@@ -156,17 +157,23 @@ def _curves(pdf: pd.DataFrame, cap: int, fraction: float, min_pairs: int, kind:
             own = pdf[pdf["unit_id"].isin(ids)]
             row = pd.Index(ids).get_indexer(own["unit_id"])
             col = own["frame"].to_numpy() - 1
-            t, x1, y1, x2, y2 = (np.full((len(ids), movie), np.nan) for _ in range(5))
-            for array, name in ((t, "time_s"), (x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2")):
+            arrays = [np.full((len(ids), movie), np.nan) for _ in range(5)]
+            for array, name in zip(arrays, ("time_s", "x1", "y1", "x2", "y2")):
                 array[row, col] = own[name].to_numpy(float)
-            out, last = kind(ids), min(cap, int(np.floor(fraction * movie)))
-            _displacement(out, "msd", "site1", x1, y1, t, last, min_pairs)
-            _displacement(out, "msd", "site2", x2, y2, t, last, min_pairs)
-            _displacement(out, "mscd", "pair", x2 - x1, y2 - y1, t, last, min_pairs)
-            for d in map(int, deltas.split()):
-                _correlations(out, [x1, x2], [y1, y2], t, d, last, min_pairs)
-            if out.at if kind is _Rows else out.sums:
-                yield out.frame()
+            yield ids, movie, deltas, arrays
+
+
+def _curves(pdf: pd.DataFrame, cap: int, fraction: float, min_pairs: int, kind: type = _Rows) -> Iterator[pd.DataFrame]:
+    """Curves of whole units, or their census. Units of one movie length and offset family are laid side by side."""
+    for ids, movie, deltas, (t, x1, y1, x2, y2) in _side_by_side(pdf):
+        out, last = kind(ids), min(cap, int(np.floor(fraction * movie)))
+        _displacement(out, "msd", "site1", x1, y1, t, last, min_pairs)
+        _displacement(out, "msd", "site2", x2, y2, t, last, min_pairs)
+        _displacement(out, "mscd", "pair", x2 - x1, y2 - y1, t, last, min_pairs)
+        for d in map(int, deltas.split()):
+            _correlations(out, [x1, x2], [y1, y2], t, d, last, min_pairs)
+        if out.at if kind is _Rows else out.sums:
+            yield out.frame()
 
 
 def unit_curves(frames: DataFrame, deltas: DataFrame, min_pairs: int = 8, cap: int = 50, fraction: float = 0.25) -> DataFrame:
@@ -181,12 +188,49 @@ def support_census(frames: DataFrame, deltas: DataFrame, min_pairs: int = 8, cap
     return _by_unit(frames, deltas, CENSUS, lambda pdf: _curves(pdf, cap, fraction, min_pairs, _Census))
 
 
-def _by_unit(frames: DataFrame, deltas: DataFrame, schema: str, make: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> DataFrame:
+STEPS = "unit_id string, site string, lag int, pair_count long, value double, sd double, lag_s_mean double, lag_s_median double, lag_s_min double, lag_s_max double"
+
+
+def displacements(frames: DataFrame, channels: Sequence[str] = ("site1", "site2"), min_pairs: int = 8, cap: int = 50, fraction: float = 0.25) -> DataFrame:
+    """What lags.mean_squared_displacement gives for the points of the channels (site1, site2, pair), from the frames."""
+    def steps(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for ids, movie, _, arrays in _side_by_side(pdf):
+            t, x1, y1, x2, y2 = arrays
+            place = {"site1": (x1, y1), "site2": (x2, y2), "pair": (x2 - x1, y2 - y1)}
+            parts = []
+            for site in channels:
+                x, y = place[site]
+                for k in range(1, min(cap, int(np.floor(fraction * movie))) + 1):
+                    sq = (x[:, k:] - x[:, :-k]) ** 2 + (y[:, k:] - y[:, :-k]) ** 2
+                    n = np.isfinite(sq).sum(1)
+                    at = np.flatnonzero(n)
+                    if not len(at):
+                        continue
+                    sq, n = sq[at], n[at]
+                    mean = np.nansum(sq, 1) / n
+                    spread = np.nansum((sq - mean[:, None]) ** 2, 1)
+                    enough = n >= min_pairs
+                    dt = np.where(np.isfinite(sq), (t[:, k:] - t[:, :-k])[at], np.nan)
+                    sd = np.sqrt(np.divide(spread, n - 1, out=np.full(len(n), np.nan), where=n > 1))
+                    parts.append(pd.DataFrame({
+                        "unit_id": ids[at], "site": site, "lag": k, "pair_count": n, "value": np.where(enough, mean, np.nan), "sd": np.where(enough, sd, np.nan),
+                        "lag_s_mean": np.nansum(dt, 1) / n, "lag_s_median": _middle(dt), "lag_s_min": np.nanmin(dt, 1), "lag_s_max": np.nanmax(dt, 1),
+                    }))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    found = _by_unit(frames, None, STEPS, steps)
+    return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("value", "sd")})
+
+
+def _by_unit(frames: DataFrame, deltas: DataFrame | None, schema: str, make: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> DataFrame:
     """make applied to batches of whole units."""
-    family = deltas.groupBy("nd2_id").agg(F.array_join(F.array_sort(F.collect_set("delta")), " ").alias("deltas"))
+    if deltas is None:
+        named = frames.withColumn("deltas", F.lit(""))
+    else:
+        named = frames.join(deltas.groupBy("nd2_id").agg(F.array_join(F.array_sort(F.collect_set("delta")), " ").alias("deltas")), "nd2_id")
     rows = (
-        frames.join(family, "nd2_id")
-        .select("unit_id", "frame", "movie_frames", "deltas", "time_s", "x1", "y1", "x2", "y2")
+        named.select("unit_id", "frame", "movie_frames", "deltas", "time_s", "x1", "y1", "x2", "y2")
         .repartition("unit_id")
         .sortWithinPartitions("unit_id", "frame")
     )

@@ -152,12 +152,14 @@ def transpose_reverse(matrices: DataFrame, reverse: str = "site2_later_vs_site1"
     )
 
 
-def exact_time_pairs(points: DataFrame, lags: Sequence[float], tolerance: float) -> DataFrame:
+def exact_time_pairs(points: DataFrame, lags: Sequence[float], tolerance: float | str) -> DataFrame:
     """For every point and physical lag the nearest later point of its unit within tolerance of t + lag; of
-    equally near ones the earlier. A band join on time buckets as wide as the tolerance allows, so a point
-    meets only the few points of two buckets per lag."""
-    width = max(2 * tolerance, 1e-9)
-    p = points.select("unit_id", "site", F.col("frame").cast("int").alias("frame"), "time_s", "x", "y")
+    equally near ones the earlier. tolerance: seconds, or the column of points that holds each unit's own (see
+    with_tolerance). A band join on time buckets as wide as the tolerance allows, so a point
+    meets only the few points of neighbouring buckets per lag."""
+    own = F.col(tolerance) if isinstance(tolerance, str) else F.lit(float(tolerance))
+    p = points.select("unit_id", "site", F.col("frame").cast("int").alias("frame"), "time_s", "x", "y", own.alias("tolerance"))
+    tolerance, width = F.col("tolerance"), F.greatest(2 * F.col("tolerance"), F.lit(1e-9))
     a = p.withColumn("want", F.explode(F.array(*[F.lit(float(x)) for x in lags])))
     spot = F.floor((F.col("time_s") + F.col("want")) / width)
     a = a.withColumn("bucket", F.explode(F.array(spot - 1, spot, spot + 1)))
@@ -214,13 +216,13 @@ def exact_time_correlation(v1: DataFrame, v2: DataFrame, lags: Sequence[float],
     return both.select("unit_id", "lag_s", "pair_count", raw_value.alias("raw_value"), norm.alias("normalization"), ratio(raw_value, norm).alias("value"))
 
 
-def default_tolerance(points: DataFrame, longest_lag: float) -> float:
-    """Tolerance of exact-time matching where none is given: rounding of the times about each unit's first, and one
-    unit in the last place of the times themselves; the largest over the units."""
+def with_tolerance(points: DataFrame, longest_lag: float) -> DataFrame:
+    """points with the column tolerance of their unit where none is given: rounding of the times about the unit's
+    first, and one unit in the last place of the times themselves."""
     eps = 2.0**-52
-    per = points.groupBy("unit_id", "site").agg((F.max("time_s") - F.min("time_s")).alias("span"), F.max(F.abs("time_s")).alias("size"))
-    need = F.greatest(64 * eps * F.greatest(F.lit(1.0), F.lit(abs(float(longest_lag))), F.col("span")), eps * F.col("size"))
-    return per.agg(F.max(need)).first()[0] or 64 * eps
+    per = points.groupBy("unit_id", "site").agg((F.max("time_s") - F.min("time_s")).alias("_span"), F.max(F.abs("time_s")).alias("_size"))
+    need = F.greatest(64 * eps * F.greatest(F.lit(1.0), F.lit(abs(float(longest_lag))), F.col("_span")), eps * F.col("_size"))
+    return points.join(per.select("unit_id", "site", need.alias("tolerance")), ["unit_id", "site"])
 
 
 def exact_time_turning(points: DataFrame, delta_s: float, tolerance: float) -> DataFrame:

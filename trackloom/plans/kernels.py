@@ -25,11 +25,11 @@ def _round(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def k_msd(spark: SparkSession, d: str) -> DataFrame:
-    return _round(lags.mean_squared_displacement(_sites(spark, d)))
+    return _round(dense.displacements(frames(spark, d)))
 
 
 def k_mscd(spark: SparkSession, d: str) -> DataFrame:
-    return _round(lags.mean_squared_displacement(points.paired_points(written(frames(spark, d)))))
+    return _round(dense.displacements(frames(spark, d), ["pair"]))
 
 
 def k_velocity(spark: SparkSession, d: str) -> DataFrame:
