@@ -2,10 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from trackloom.operators import dense, lags, points, schedules
+from trackloom.operators import curves, dense, lags, points, schedules
+from trackloom.plans import summaries
 
 P = "unit_id string, site string, nd2_id string, movie_frames int, frame int, time_s double, x double, y double"
 FR = "unit_id string, nd2_id string, crop_id string, hour double, frame int, movie_frames int, time_s double, x1 double, y1 double, x2 double, y2 double"
@@ -164,6 +167,53 @@ def test_dense_displacements_equal_the_pair_joins(spark, channels):
     assert dense.displacements(frames.where("false")).collect() == []
 
 
+def test_symmetric_cross_correlation_equals_the_pair_joins(spark):
+    """Holes, repeated times, several movie lengths and offset families, ties between lags, a unit of two acquisitions."""
+    rng = np.random.default_rng(11)
+    movies, rows = {"n1": 40, "n2": 90, "n3": 25}, []
+    for u in range(12):
+        own = ["n1", "n2", "n3"][u % 3]
+        xy = rng.normal(size=(90, 4)).cumsum(0)
+        for f in range(1, movies[own] + 1):
+            x = [float(v) for v in xy[f - 1]]
+            for s in (0, 2):
+                if rng.random() < (0.75 if u == 4 else 0.2):
+                    x[s : s + 2] = None, None
+            nd2 = "n2" if u == 0 and f > 20 else "n3" if u == 1 and f <= 25 else own
+            time = f * 0.5 if u != 5 or f % 7 else 0.5 * (f - 3)
+            rows.append((f"u{u}", nd2, "c", 1.0, f, movies[nd2], time + float(rng.random()) * 0.1, *x))
+    frames = spark.createDataFrame(rows, "unit_id string, nd2_id string, crop_id string, hour double, frame int, movie_frames int, time_s double, x1 double, y1 double, x2 double, y2 double").persist()
+    deltas = spark.createDataFrame([("n1", 2), ("n1", 10), ("n2", 10), ("n2", 36), ("n3", 80)], "nd2_id string, delta int")
+    centers = [0.25 * i for i in range(11)]
+    last = F.least(F.col("movie_frames") - 1, F.floor(2.5 * F.col("delta") + 1e-12)).cast("int")
+    cross = lags.velocity_cross_correlation(lags.velocities(points.site_points(frames), deltas), last=last).where("value is not null")
+    both = lags.symmetrise(cross, ["unit_id", "delta", "lag"], ["value", "delta_s_median"]).withColumns({"lag_frames": F.col("lag"), "scaled_lag_tau_over_delta": F.col("lag") / F.col("delta")})
+    want = by(curves.scaled_bins(both, centers, ["unit_id", "delta"]), "unit_id", "delta", "center")
+    got = by(dense.symmetric_cross_correlation(frames, deltas, centers), "unit_id", "delta", "center")
+    assert want.keys() == got.keys() and len(want) > 80 and {k[:2] for k in want} >= {("u0", 2), ("u1", 10), ("u1", 36)}
+    for k, w in want.items():
+        assert (got[k].lag, got[k].pair_count) == (w.lag, w.pair_count) and (got[k].value, got[k].delta_s_median) == pytest.approx((w.value, w.delta_s_median), rel=1e-9, abs=1e-12), k
+    assert dense.symmetric_cross_correlation(frames.where("false"), deltas, centers).collect() == []
+    assert dense.symmetric_cross_correlation(frames.where("frame = 1"), deltas, centers).collect() == []
+
+
+def test_hour_curves_and_tau_build_no_pairs_of_frames(spark, data, monkeypatch):
+    """The correlations over long lags come from the frames, and still equal their SQL."""
+    monkeypatch.setattr(lags, "_pairs", lambda *a: pytest.fail("a row for every pair of frames"))
+    assert summaries.f_tau_grid(spark, data).count() > 0
+    con = duckdb.connect()
+    for name in ("frame_table", "acquisition_index"):
+        con.execute(f"create view {name} as select * from '{data}/{name}.parquet'")
+    result = con.execute(summaries.ORACLES["a_vcc_hour_curves"])
+    names, keys = [d[0] for d in result.description], ("hour_post_delivery", "target_s", "center")
+    want = {tuple(r[names.index(k)] for k in keys): dict(zip(names, r)) for r in result.fetchall()}
+    got = {tuple(r[k] for k in keys): r.asDict() for r in summaries.a_vcc_hour_curves(spark, data).collect()}
+    assert want.keys() == got.keys() and len(want) > 100
+    for k, w in want.items():
+        for c, v in w.items():
+            assert got[k][c] == pytest.approx(v, nan_ok=True), (k, c)
+
+
 def test_each_unit_has_its_own_tolerance(spark):
     """A unit at a late epoch gets the rounding of its large times; the others stay exact."""
     rows = [("late", "site1", f, 1e9 + f * 0.1, float(f), 0.0) for f in range(1, 12)] + [("early", "site1", f, f * 0.1 + (1e-8 if f == 5 else 0.0), float(f), 0.0) for f in range(1, 12)]

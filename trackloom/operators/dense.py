@@ -1,4 +1,4 @@
-"""Unit curves of all metrics from dense frame arrays, many units at a time.
+"""Unit curves of all metrics, and binned cross-correlations, from dense frame arrays, many units at a time.
 
 The joins of `lags` build every pair of frames as a row; for the full family of curves that is hundreds of
 pairs per frame. Here a task lays the units of a batch side by side as (unit, frame) arrays with holes and
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,12 +224,94 @@ def displacements(frames: DataFrame, channels: Sequence[str] = ("site1", "site2"
     return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("value", "sd")})
 
 
-def _by_unit(frames: DataFrame, deltas: DataFrame | None, schema: str, make: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> DataFrame:
-    """make applied to batches of whole units."""
+SYMMETRIC = "unit_id string, delta int, lag int, center double, value double, pair_count long, delta_s_median double"
+
+
+def _lagged_sums(later: np.ndarray, earlier: np.ndarray, last: int) -> np.ndarray:
+    """Sum over t of later[t + k] * earlier[t] for k = 0..last, by unit; holes are zeros."""
+    ahead = np.pad(later, ((0, 0), (0, last)))
+    return np.einsum("ukt,ut->uk", sliding_window_view(ahead, earlier.shape[1], axis=1), earlier)
+
+
+def _near_centers(ok: np.ndarray, pairs: np.ndarray, d: int, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, lag and center of the points that curves.scaled_bins takes: of the lags whose nearest center it is (of
+    equals the lower) the nearest, then that of most pairs, then the smallest. ok, pairs: by unit and lag."""
+    k = np.arange(ok.shape[1])
+    off = np.abs(k[:, None] / d - centers)
+    place = off.argmin(1)
+    rank = np.unique(np.round(off[k, place], 12), return_inverse=True)[1]
+    most, none = int(pairs.max(initial=0)), np.iinfo(np.int64).max
+    order = np.where(ok, (rank * (most + 1) + most - pairs) * len(k) + k, none)
+    first = np.flatnonzero(np.diff(place, prepend=-1))  # lags of a center lie together
+    best = np.minimum.reduceat(order, first, axis=1)
+    unit, at = np.nonzero(best < none)
+    return unit, best[unit, at] % len(k), centers[place[first]][at]
+
+
+def _symmetric(pdf: pd.DataFrame, centers: np.ndarray, min_pairs: int) -> Iterator[pd.DataFrame]:
+    kinds = pdf[["unit_id", "movie_frames", "deltas"]].drop_duplicates()
+    mixed = kinds["unit_id"].duplicated(keep=False)  # frames of several acquisitions: such a unit goes by itself
+    groups = [g["unit_id"].to_numpy(object) for _, g in kinds[~mixed].groupby(["movie_frames", "deltas"], sort=False)]
+    groups = [g[cut : cut + 256] for g in groups for cut in range(0, len(g), 256)] + [np.array([u], object) for u in kinds["unit_id"][mixed].unique()]
+    group, row = (pd.Series(np.concatenate(x), np.concatenate(groups)) for x in ([np.full(len(g), i) for i, g in enumerate(groups)], [np.arange(len(g)) for g in groups]))
+    unit = pdf["unit_id"]
+    pdf = pdf.assign(group=group.reindex(unit).to_numpy(), row=row.reindex(unit).to_numpy())
+    for i, own in pdf.groupby("group", sort=False):
+        ids, movies, families = groups[i], own["movie_frames"].unique(), own["deltas"].unique()
+        at = own["row"].to_numpy(), own["frame"].to_numpy() - 1
+        width = int(own["frame"].max())
+        t, x1, y1, x2, y2, movie = (np.full((len(ids), width), np.nan) for _ in range(6))
+        for array, name in ((t, "time_s"), (x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"), (movie, "movie_frames")):
+            array[at] = own[name].to_numpy(float)
+        for d in sorted({int(d) for f in families for d in f.split()}):
+            starts = width - d
+            if starts < 1:
+                continue
+            one, two = _velocity(x1, y1, t, d), _velocity(x2, y2, t, d)
+            if len(families) > 1:  # a velocity starts where its own acquisition has the offset
+                begins = np.zeros(t.shape, bool)
+                begins[at] = own["deltas"].map({f: str(d) in f.split() for f in families}).to_numpy(bool)
+                one, two = ([np.where(begins[:, :starts], c, np.nan) for c in v] for v in (one, two))
+            power = [_mean(v[0] ** 2 + v[1] ** 2) for v in (one, two)]
+            scale = np.sqrt(power[0][1] * power[1][1])
+            supported = (power[0][0] >= min_pairs) & (power[1][0] >= min_pairs) & ~(scale <= 0)
+            if not supported.any():
+                continue
+            use = np.flatnonzero(supported)
+            last = min(int(np.floor(centers[-1] * d + 1e-12)), starts - 1)
+            sites = [[~np.isnan(v[0][use]), *(np.nan_to_num(c[use], nan=0.0, posinf=np.inf, neginf=-np.inf) for c in v[:2])] for v in (one, two)]
+            pairs, raw = [], []
+            for later, earlier in (sites, sites[::-1]):
+                sums = [np.zeros((len(use), last + 1)) for _ in range(3)]
+                for m in movies:
+                    reach = min(last, m - 1)
+                    here = 1.0 if len(movies) == 1 else movie[use, :starts] == m
+                    for total, a, b in zip(sums, later, earlier):
+                        total[:, : reach + 1] += _lagged_sums(a.astype(float), b * here, reach)
+                pairs.append(np.rint(sums[0]).astype(np.int64))
+                raw.append(np.divide(sums[1] + sums[2], sums[0], out=np.zeros_like(sums[0]), where=sums[0] > 0))
+            fewer = np.minimum(*pairs)
+            u, lag, center = _near_centers(fewer >= min_pairs, fewer, d, centers)
+            if len(u):
+                value = (raw[0][u, lag] + raw[1][u, lag]) / 2 / scale[use][u]
+                middle = _middle(np.hstack([one[2][use], two[2][use]]))
+                yield pd.DataFrame({"unit_id": ids[use[u]], "delta": d, "lag": lag, "center": center, "value": value, "pair_count": fewer[u, lag], "delta_s_median": middle[u]})
+
+
+def symmetric_cross_correlation(frames: DataFrame, deltas: DataFrame, centers: Sequence[float], min_pairs: int = 8) -> DataFrame:
+    """Per unit, offset and scaled-lag center the point that curves.scaled_bins takes from lags.velocity_cross_correlation,
+    symmetrised, at lags up to the last center. frames, deltas: as for unit_curves."""
+    found = _by_unit(frames, deltas, SYMMETRIC, lambda pdf: _symmetric(pdf, np.array(centers), min_pairs), "left", 100_000)
+    return found.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # NaN of infinite energies comes back as null
+
+
+def _by_unit(frames: DataFrame, deltas: DataFrame | None, schema: str, make: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], how: str = "inner", least: int = 0) -> DataFrame:
+    """make applied to batches of whole units, of `least` rows if there are as many. how: frames of an acquisition
+    without offsets are left out (inner) or have none (left)."""
     if deltas is None:
         named = frames.withColumn("deltas", F.lit(""))
     else:
-        named = frames.join(deltas.groupBy("nd2_id").agg(F.array_join(F.array_sort(F.collect_set("delta")), " ").alias("deltas")), "nd2_id")
+        named = frames.join(deltas.groupBy("nd2_id").agg(F.array_join(F.array_sort(F.collect_set("delta")), " ").alias("deltas")), "nd2_id", how).withColumn("deltas", F.coalesce("deltas", F.lit("")))
     rows = (
         named.select("unit_id", "frame", "movie_frames", "deltas", "time_s", "x1", "y1", "x2", "y2")
         .repartition("unit_id")
@@ -236,17 +319,18 @@ def _by_unit(frames: DataFrame, deltas: DataFrame | None, schema: str, make: Cal
     )
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
+            held.append(pdf)
+            if sum(map(len, held)) < max(least, 1):
                 continue
+            pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf
             last = pdf["unit_id"].iloc[-1]
             open_ = (pdf["unit_id"] == last).to_numpy()
-            held = pdf[open_]
+            held = [pdf[open_]]
             if not open_.all():
                 yield from make(pdf[~open_])
-        if held is not None and len(held):
-            yield from make(held)
+        if sum(map(len, held)):
+            yield from make(pd.concat(held, ignore_index=True))
 
     return rows.mapInPandas(task, schema)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.numeric import bin_edges
-from trackloom.operators import cube, curves, lags, points, resampling, schedules
-from trackloom.plans.kernels import TARGET_V, TARGETS, UNIT_CURVES, VCC, _r, _round, computed_curves, frames as bundle_frames, target_lags
+from trackloom.operators import cube, curves, dense, lags, points, resampling, schedules
+from trackloom.plans.kernels import TARGET_V, TARGETS, UNIT_CURVES, VCC, _r, _round, computed_curves, frames as bundle_frames
 from trackloom.session import written
 from trackloom.sources.tables import named_sql, named_table as table
 
@@ -177,13 +177,10 @@ def _vcc_units(spark: SparkSession, d: str) -> DataFrame:
     acquisition's offset nearest to the target, directions averaged where both exist, the nearest lag of each center."""
     own = written(bundle_frames(spark, d))
     matched = written(schedules.matched_delta(points.acquisition_clock(table(spark, d, "frame_table")), TARGETS).where("delta is not null").select("nd2_id", "delta", "target_s"))
-    v = written(lags.velocities(points.site_points(own), matched))
-    cross = lags.velocity_cross_correlation(v, last=target_lags()).where("value is not null")
-    both = lags.symmetrise(cross, ["unit_id", "delta", "lag"], ["value", "delta_s_median"])
+    both = dense.symmetric_cross_correlation(own, matched, SCALED[:11])
     ids = own.groupBy("unit_id").agg(*[F.min(c).alias(c) for c in lags.IDENTITY])
     named = both.join(ids, "unit_id").join(F.broadcast(matched), ["nd2_id", "delta"]).where("hour is not null")  # one row per acquisition and target
-    named = named.select("unit_id", "crop_id", F.col("hour").alias("hour_post_delivery"), "target_s", "value", F.col("delta_s_median").alias("delta_s"), "pair_count", F.col("lag").alias("lag_frames"), (F.col("lag") / F.col("delta")).alias("scaled_lag_tau_over_delta"))
-    return curves.scaled_bins(named, SCALED[:11], ["hour_post_delivery", "unit_id", "crop_id", "target_s"])
+    return named.select("unit_id", "crop_id", F.col("hour").alias("hour_post_delivery"), "target_s", "value", F.col("delta_s_median").alias("delta_s"), "pair_count", F.col("lag").alias("lag_frames"), (F.col("lag") / F.col("delta")).alias("scaled_lag_tau_over_delta"), "center")
 
 
 def a_vcc_hour_curves(spark: SparkSession, d: str) -> DataFrame:
