@@ -14,12 +14,12 @@ def coordinate(c: str, valid: str) -> Column:
     return F.when(F.col(valid) & (F.abs(v) < float("inf")), v / 1000)
 
 
-def bundle_frames(frame_table: DataFrame, acquisition_index: DataFrame) -> DataFrame:
+def bundle_frames(frame_table: DataFrame, acquisition_index: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     """unit_id, nd2_id, crop_id, hour, frame, movie_frames, time_s, x1, y1, x2, y2 - one row per unit and frame.
 
     Of rows delivered again the first loaded counts; null bundle or frame and frames outside 1..movie_frames
     are left out. time_s is the acquisition's clock: the median time of all its bundles at that frame. A
-    point with one missing component is missing as a whole.
+    point with one missing component is missing as a whole. clock: acquisition_clock of the frame table, if made already.
     """
     one = (
         frame_table.where("bundle_id is not null and frame is not null and site1_valid is not null")
@@ -38,7 +38,7 @@ def bundle_frames(frame_table: DataFrame, acquisition_index: DataFrame) -> DataF
     )
     movies = acquisition_index.groupBy("nd2_id").agg(F.max("movie_frames").cast("int").alias("movie_frames"))
     placed = one.join(movies, "nd2_id").where((F.col("frame") >= 1) & (F.col("frame") <= F.col("movie_frames")))
-    clock = acquisition_clock(frame_table)
+    clock = acquisition_clock(frame_table) if clock is None else clock
     whole = lambda s, a: F.when(F.col(f"x{s}").isNotNull() & F.col(f"y{s}").isNotNull(), F.col(f"{a}{s}")).alias(f"{a}{s}")
     return placed.join(clock, ["nd2_id", "frame"]).select(
         F.col("bundle_id").alias("unit_id"),

@@ -175,8 +175,10 @@ def f_bootstrap_exponents(spark: SparkSession, d: str) -> DataFrame:
 def _vcc_units(spark: SparkSession, d: str) -> DataFrame:
     """One symmetric cross-correlation per unit, target duration and scaled-lag center, from the frames: each
     acquisition's offset nearest to the target, directions averaged where both exist, the nearest lag of each center."""
-    own = written(bundle_frames(spark, d))
-    matched = written(schedules.matched_delta(points.acquisition_clock(table(spark, d, "frame_table")), TARGETS).where("delta is not null").select("nd2_id", "delta", "target_s"))
+    rows = table(spark, d, "frame_table")
+    clock = written(points.acquisition_clock(rows))
+    own = written(points.bundle_frames(rows, table(spark, d, "acquisition_index"), clock))
+    matched = written(schedules.matched_delta(clock, TARGETS).where("delta is not null").select("nd2_id", "delta", "target_s"))
     both = dense.symmetric_cross_correlation(own, matched, SCALED[:11])
     ids = own.groupBy("unit_id").agg(*[F.min(c).alias(c) for c in lags.IDENTITY])
     named = both.join(ids, "unit_id").join(F.broadcast(matched), ["nd2_id", "delta"]).where("hour is not null")  # one row per acquisition and target
