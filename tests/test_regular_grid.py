@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as fn
 
@@ -96,3 +97,55 @@ def test_held_out_cells_are_filled_as_well_as_by_lines(spark):
     lines = np.array([np.interp(s, *known[b]) for b, s in both.index])
     assert len(both) > 1000, len(both)
     assert np.median(np.abs(both.x - both.true)) <= 1.05 * np.median(np.abs(lines - both.true))
+
+
+def test_the_half_step_solves_each_pattern_of_cells_once_and_depends_on_no_block(monkeypatch):
+    """Against windows solved one by one; series with the same cells, sources of different lengths, blocks of any size."""
+    rng = np.random.default_rng(5)
+    series, slots = {"a": ["a_x"], "b": ["b_x", "b_y"]}, [30, 31, 60, 100, 24, 7, 31]
+    use = [rng.random(n) < 0.7 for n in slots]
+    columns = {"last_slot": pa.array([n - 1 for n in slots], pa.int32()), "slots": pa.array([np.arange(n, dtype=np.int32) for n in slots])}
+    columns |= {c: pa.array([rng.normal(size=n).cumsum() for n in slots]) for c in ("a_x", "b_x", "b_y")}
+    columns |= {f"{s}_use": pa.array(use) for s in series} | {f"{s}_scale": pa.array([np.ones(len(c))] * len(slots)) for s, c in series.items()}
+    batch = pa.RecordBatch.from_pydict(columns)
+    v, noise = grid.start_factors(4)
+    solved = []
+    monkeypatch.setattr(grid, "inverses", lambda a, f=grid.inverses: (solved.append(a.shape[2]), f(a))[1])
+
+    def sums(cells):
+        monkeypatch.setattr(grid, "_BLOCK_CELLS", cells)
+        return sum(grid.time_equations([grid._rows(*b, 5)[2:4] for b in blocks.values()], v, noise) for _, _, blocks in grid._components(batch, series))
+
+    expected, patterns = np.zeros((grid.WINDOW, 5 * 6 + 2)), set()
+    for i, n in enumerate(slots):
+        for first in range(0, n, grid.WINDOW // 2):
+            at = first + np.flatnonzero(use[i][first : first + grid.WINDOW])
+            if len(at) >= 5:
+                patterns.add(tuple(at - first))
+                w = v[at - first]
+                cov = np.linalg.inv(w.T @ w / noise + np.eye(5))
+                for c in ("a_x", "b_x", "b_y"):
+                    y = columns[c][i].values.to_numpy()[at]
+                    y = y - y.mean()
+                    u = cov @ w.T @ y / noise
+                    moment = np.outer(u, u) + cov
+                    left = (y - w @ u) ** 2 + np.einsum("wp,pq,wq->w", w, cov, w)
+                    expected[at - first] += np.hstack([np.tile(moment.ravel(), (len(at), 1)), np.outer(y, u), np.ones((len(at), 1)), left[:, None]])
+    assert np.allclose(sums(10**6), expected) and sum(solved) == len(patterns)
+    assert np.allclose(sums(1), expected) and np.allclose(sums(62), expected)
+
+
+def test_short_sources_are_not_laid_out_as_wide_as_long_ones():
+    batch = pa.RecordBatch.from_pydict({"last_slot": pa.array([9, 149_999] + [9] * 5000, pa.int32())})
+    wide = [len(b) * (int(b["last_slot"].to_numpy().max()) + 1) for b in grid._blocks(batch)]
+    assert sum(wide) == 150_000 + 10 * 5001 and max(wide) <= grid._BLOCK_CELLS
+
+
+def test_inverses_are_those_of_numpy():
+    m = np.random.default_rng(3).normal(size=(50, 17, 9)) * 30
+    a = m @ m.transpose(0, 2, 1) + np.eye(17)
+    assert np.allclose(grid.inverses(a.transpose(1, 2, 0).copy()).transpose(2, 0, 1), np.linalg.inv(a), atol=1e-9)
+
+
+def test_the_windows_of_a_source_are_the_same_beside_longer_ones():
+    assert all(list(grid._windows(n)) == [f for f in grid._windows(333) if f < n] for n in range(1, 333))

@@ -18,16 +18,19 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators.spikes import segment_medians
 from trackloom.session import written
 
-STATES = np.array(["unsupported", "filled", "observed"], dtype=object)
+STATES = pa.array(["unsupported", "filled", "observed"])
 WINDOW, FAR, PRIOR = 24, 12.0, 10.0
-_BLOCK_CELLS = 100_000  # cells laid out as dense arrays at a time
+_BLOCK_CELLS = 200_000  # cells laid out as dense arrays at a time
+_PATTERNS = 512  # patterns of cells solved at a time; their matrices fit the processor's cache
 
 
 def slot_readings(frames: DataFrame, clocks: DataFrame, series: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -45,20 +48,25 @@ def slot_readings(frames: DataFrame, clocks: DataFrame, series: Mapping[str, Seq
     )
 
 
-def _places(pdf: pd.DataFrame) -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]:
-    """Shape of the dense arrays of the sources in pdf, and row and column of each listed slot with whether it has one."""
-    col = np.concatenate(pdf["slots"].to_numpy())
-    row = np.repeat(np.arange(len(pdf)), pdf["slots"].map(len).to_numpy())
-    return (len(pdf), int(pdf["last_slot"].max()) + 1), row, col, col >= 0
+def _places(batch: pa.RecordBatch) -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Shape of the dense arrays of the sources in batch, and row and column of each listed slot with whether it has one."""
+    col = _flat(batch, "slots")
+    row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch["slots"]).to_numpy())
+    return (len(batch), int(batch["last_slot"].to_numpy().max()) + 1), row, col, col >= 0
 
 
-def _dense(pdf: pd.DataFrame, places: tuple, names: Sequence[str], kind: type) -> dict[str, np.ndarray]:
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """What the lists of a column hold, end to end; NaN for null."""
+    return batch[name].flatten().to_numpy(zero_copy_only=False)
+
+
+def _dense(batch: pa.RecordBatch, places: tuple, names: Sequence[str], kind: type) -> dict[str, np.ndarray]:
     """Sources by slots of the listed columns: False or NaN where none."""
     shape, row, col, on = places
     out = {}
     for c in names:
         out[c] = np.full(shape, np.nan if kind is float else False, kind)
-        out[c][row[on], col[on]] = np.concatenate(pdf[c].to_numpy()).astype(kind)[on]
+        out[c][row[on], col[on]] = _flat(batch, c).astype(kind)[on]
     return out
 
 
@@ -86,26 +94,26 @@ def _fit_cells(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np
     return use, scale
 
 
-def _windows(slots: int) -> list[int]:
-    """First periods of the windows: half a window apart, the last one reaching the end."""
-    half = WINDOW // 2
-    return list(range(0, max(1, slots - half), half))
+def _windows(slots: int) -> range:
+    """First periods of the windows: half a window apart, so that every source's last periods have one of their own,
+    however many periods the sources beside it have."""
+    return range(0, slots, WINDOW // 2)
 
 
 def _rows(value: np.ndarray, use: np.ndarray, scale: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Windows with at least `least` cells: source, first period, cells in use, standardised values, means. value and
-    scale have the components of a series as last axis; they share their cells."""
-    slots = value.shape[1]
-    v, u = np.pad(np.where(use[..., None], value, 0.0), [(0, 0), (0, WINDOW), (0, 0)]), np.pad(use, [(0, 0), (0, WINDOW)])
+    scale have the components of a series as second axis; they share their cells."""
+    slots = value.shape[2]
+    v, u = np.pad(np.where(use[:, None], value, 0.0), [(0, 0), (0, 0), (0, WINDOW)]), np.pad(use, [(0, 0), (0, WINDOW)])
     out = []
     for first in _windows(slots):
         o = u[:, first : first + WINDOW]
         n = o.sum(1)
         at = np.flatnonzero(n >= least)
         o = o[at]
-        here = v[at, first : first + WINDOW]
-        mean = here.sum(1) / n[at, None]
-        y = np.where(o[..., None], here - mean[:, None], 0.0) / scale[at][:, None]
+        here = v[:, :, first : first + WINDOW][at]
+        mean = here.sum(2) / n[at, None]
+        y = np.where(o[:, None], here - mean[..., None], 0.0) / scale[at][..., None]
         out.append((at, np.full(len(at), first), o, y, mean))
     return tuple(np.concatenate(c) for c in zip(*out))
 
@@ -121,33 +129,75 @@ def start_factors(rank: int) -> tuple[np.ndarray, float]:
     return np.hstack([np.full((WINDOW, 1), float(WINDOW)), waves[:, :rank]]), max(rest, 0.02)
 
 
-def source_factors(o: np.ndarray, y: np.ndarray, v: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least-squares source factors of rows with cells o, one per component, the covariance of each pattern of cells,
-    and the pattern of each row. The unit ridge is the factors' own spread (the time factors carry the size), so every
-    system is positive definite."""
+def inverses(a: np.ndarray) -> np.ndarray:
+    """Inverses, in place, of matrices I + A, A symmetric and not negative, side by side on the last axis. Each pivot is
+    swept out of all of them at once, in strips that cover the lower triangle. No rows are exchanged: the pivots are 1 at
+    least, and rounding can't make them less."""
+    q = len(a)
+    strips = [(np.empty((min(top + 4, q) - top, min(top + 4, q), a.shape[2])), slice(top, top + 4)) for top in range(0, q, 4)]
+    for k in range(q):
+        col = np.concatenate([a[k, :k], a[k:, k]])
+        pivot = 1 / np.maximum(col[k], 1.0)
+        row = col * pivot
+        for change, own in strips:
+            part = a[own, : change.shape[1]]
+            np.multiply(col[own, None], row[: change.shape[1]], out=change)
+            np.subtract(part, change, out=part)
+        a[k, :k], a[k + 1 :, k], a[k, k] = row[:k], row[k + 1 :], -pivot
+    for k in range(q):
+        a[:k, k] = a[k, :k]
+    return np.negative(a, out=a)
+
+
+def source_factors(rows: Sequence[tuple[np.ndarray, np.ndarray]], v: np.ndarray, noise: float) -> Iterator[tuple]:
+    """Least-squares source factors of the rows of all series, each series given by its rows' cells and their values.
+    Rows with the same cells share a covariance whatever their series, so each pattern of cells is solved once.
+    Yields some patterns at a time (periods by patterns), their covariances (patterns last) and for each series the rows
+    that have them, the pattern of each (ascending) and its factors, one line per component. The unit ridge is the
+    factors' own spread (the time factors carry the size), so every system is positive definite."""
     q = v.shape[1]
-    bits = np.packbits(o, axis=1).astype(np.int64) @ (256 ** np.arange(-(-WINDOW // 8)))
-    _, some, pattern = np.unique(bits, return_index=True, return_inverse=True)
-    squares = (v[:, :, None] * v[:, None, :]).reshape(len(v), q * q)
-    gram = (o[some].astype(float) @ squares).reshape(-1, q, q) / noise + np.eye(q)
-    cov = np.linalg.inv(gram)
-    right = np.einsum("nwk,wq->nqk", y, v, optimize=True) / noise
-    return np.matmul(cov[pattern], right), cov, pattern
-
-
-def time_equations(o: np.ndarray, y: np.ndarray, v: np.ndarray, noise: float) -> np.ndarray:
-    """Sums over rows for the other half step, one line per period of the window: Gram matrix, right-hand side,
-    cells, squared residuals. They add up over tasks."""
-    u, cov, pattern = source_factors(o, y, v, noise)
-    q, parts = v.shape[1], y.shape[2]
-    on = o.astype(float)
-    seen = np.zeros((len(cov), WINDOW))
-    np.add.at(seen, pattern, on)
-    spread = (seen.T @ cov.reshape(-1, q * q)) * parts
-    moments = sum(on.T @ (u[:, :, None, k] * u[:, None, :, k]).reshape(-1, q * q) for k in range(parts)) + spread
-    fit = np.einsum("nqk,wq->nwk", u, v, optimize=True)
-    misfit = (on[..., None] * (y - fit) ** 2).sum((0, 2)) + np.einsum("wp,wpq,wq->w", v, spread.reshape(-1, q, q), v)
-    return np.hstack([moments, np.einsum("nwk,nqk->wq", y, u, optimize=True), on.sum(0)[:, None] * parts, misfit[:, None]])
+    bits = [np.packbits(o, axis=1).astype(np.int64) @ (256 ** np.arange(-(-WINDOW // 8))) for o, _ in rows]
+    every, some = np.unique(np.concatenate(bits), return_index=True)
+    cells = np.concatenate([o for o, _ in rows])[some]
+    order = [np.argsort(b, kind="stable") for b in bits]
+    number = [np.searchsorted(every, b[at]) for b, at in zip(bits, order)]
+    squares = _squares(v).T / noise
+    for first in range(0, len(every), _PATTERNS):
+        on = cells[first : first + _PATTERNS].T.astype(float)
+        cov = inverses((squares @ on).reshape(q, q, -1) + np.eye(q)[..., None])
+        each = np.ascontiguousarray(cov.transpose(2, 0, 1))
+        solved = []
+        for (_, y), at, n in zip(rows, order, number):
+            low, high = np.searchsorted(n, (first, first + _PATTERNS))
+            own, pattern = at[low:high], n[low:high] - first
+            right = (y[own].reshape(-1, WINDOW) @ v).reshape(len(own), -1, q) / noise
+            solved.append((own, pattern, np.matmul(right, each[pattern])))
+        yield on, cov, solved
+
+
+def _squares(v: np.ndarray) -> np.ndarray:
+    return (v[:, :, None] * v[:, None, :]).reshape(len(v), -1)
+
+
+def time_equations(rows: Sequence[tuple[np.ndarray, np.ndarray]], v: np.ndarray, noise: float) -> np.ndarray:
+    """Sums over the rows of all series for the other half step, one line per period of the window: Gram matrix,
+    right-hand side, cells, squared residuals. They add up over tasks."""
+    q = v.shape[1]
+    moments, right, count, misfit = np.zeros((WINDOW, q * q)), np.zeros((WINDOW, q)), np.zeros(WINDOW), np.zeros(WINDOW)
+    for on, cov, solved in source_factors(rows, v, noise):
+        cov = cov.reshape(q * q, -1)
+        times = np.zeros(on.shape[1])
+        for (o, y), (at, pattern, u) in zip(rows, solved):
+            times += np.bincount(pattern, minlength=len(times)) * y.shape[1]
+            here, seen, flat = y[at], o[at].astype(float), u.reshape(-1, q)
+            moments += seen.T @ np.matmul(u.transpose(0, 2, 1), u).reshape(-1, q * q)
+            right += here.reshape(-1, WINDOW).T @ flat
+            miss = ((here - (flat @ v.T).reshape(here.shape)) * seen[:, None]).reshape(-1, WINDOW)
+            misfit += np.einsum("nw,nw->w", miss, miss)
+        moments += on @ (cov * times).T
+        misfit += (on * (_squares(v) @ cov)) @ times
+        count += on @ times
+    return np.hstack([moments, right, count[:, None], misfit[:, None]])
 
 
 def solve_time(total: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
@@ -159,41 +209,47 @@ def solve_time(total: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]
     return new, max(float(total[:, -1].sum() / max(total[:, -2].sum(), 1.0)), 1e-3)
 
 
-def _blocks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    each = max(1, _BLOCK_CELLS // (int(pdf["last_slot"].max()) + 1)) if len(pdf) else 1
-    for start in range(0, len(pdf), each):
-        yield pdf.iloc[start : start + each]
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The sources in blocks of at most _BLOCK_CELLS dense cells (one source at least), those with the most periods
+    first, so that short sources are not laid out as wide as long ones."""
+    last = batch["last_slot"].to_numpy()
+    order, start = np.argsort(-last, kind="stable"), 0
+    while start < len(order):
+        end = start + max(1, _BLOCK_CELLS // (int(last[order[start]]) + 1))
+        yield batch.take(pa.array(order[start:end]))
+        start = end
 
 
-def _high(pdf: pd.DataFrame) -> np.ndarray:
-    high = pdf["limit"].to_numpy(float)
+def _high(batch: pa.RecordBatch) -> np.ndarray:
+    high = batch["limit"].to_numpy(zero_copy_only=False).astype(float)
     return np.where(np.isnan(high), np.inf, high)
 
 
-def _with_fit_cells(pdf: pd.DataFrame, series: Mapping[str, Sequence[str]], signed: Sequence[str]) -> pd.DataFrame:
-    """pdf with the cells of each series to which all its components can be fitted, and the components' scales."""
-    places = _places(pdf)
+def _with_fit_cells(batch: pa.RecordBatch, series: Mapping[str, Sequence[str]], signed: Sequence[str]) -> pa.RecordBatch:
+    """batch with the cells of each series to which all its components can be fitted, and the components' scales."""
+    places = _places(batch)
     shape, row, col, on = places
-    value, high = _dense(pdf, places, [c for parts in series.values() for c in parts], float), _high(pdf)
-    ends = np.cumsum(pdf["slots"].map(len).to_numpy())[:-1]
-    out = {}
+    value, high = _dense(batch, places, [c for parts in series.values() for c in parts], float), _high(batch)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch["slots"]).to_numpy())])
+    out = dict(zip(batch.schema.names, batch.columns))
     for s, parts in series.items():
         fit = [_fit_cells(value[c], -high if s in signed else np.zeros(len(high)), high) for c in parts]
         use = np.logical_and.reduce([f[0] for f in fit])
         flags = np.zeros(len(row), bool)
         flags[on] = use[row[on], col[on]]
-        out[f"{s}_use"] = pd.Series(np.split(flags, ends), index=pdf.index, dtype=object)
-        out[f"{s}_scale"] = pd.Series(list(np.stack([f[1] for f in fit], 1)), index=pdf.index, dtype=object)
-    return pdf.assign(**out)
+        scale = np.stack([f[1] for f in fit], 1)
+        out[f"{s}_use"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flags))
+        out[f"{s}_scale"] = pa.ListArray.from_arrays(pa.array(np.arange(len(scale) + 1) * len(parts), pa.int32()), pa.array(scale.ravel()))
+    return pa.RecordBatch.from_pydict(out)
 
 
-def _components(pdf: pd.DataFrame, series: Mapping[str, Sequence[str]]) -> Iterator[tuple]:
-    """Blocks of sources, with per series its values (components as last axis), the cells to fit to and the scales."""
-    for own in _blocks(pdf):
+def _components(batch: pa.RecordBatch, series: Mapping[str, Sequence[str]]) -> Iterator[tuple]:
+    """Blocks of sources, with per series its values (components as second axis), the cells to fit to and the scales."""
+    for own in _blocks(batch):
         places = _places(own)
         value = _dense(own, places, [c for parts in series.values() for c in parts], float)
         use = _dense(own, places, [f"{s}_use" for s in series], bool)
-        yield own, places, {s: (np.stack([value[c] for c in parts], 2), use[f"{s}_use"], np.stack(own[f"{s}_scale"].to_numpy())) for s, parts in series.items()}
+        yield own, places, {s: (np.stack([value[c] for c in parts], 1), use[f"{s}_use"], _flat(own, f"{s}_scale").reshape(len(own), -1)) for s, parts in series.items()}
 
 
 def regular_grid(
@@ -248,28 +304,27 @@ def regular_grid(
         )
     )
 
-    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from (_with_fit_cells(own, series, signed) for own in _blocks(pdf))
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (_with_fit_cells(own, series, signed) for own in _blocks(batch))
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in gathered.schema] + [f"`{s}_use` array<boolean>, `{s}_scale` array<double>" for s in series]
-    matrix = written(gathered.mapInPandas(prepare, ", ".join(kinds)))
+    matrix = written(gathered.mapInArrow(prepare, ", ".join(kinds)))
+    fitted = matrix.select("last_slot", "slots", *names, *[f"{s}_{c}" for s in series for c in ("use", "scale")])
     start, noise = start_factors(rank)
     v, known = start, np.zeros(WINDOW, bool)
     width = (rank + 1) * (rank + 2) + 2
     for _ in range(rounds):
 
-        def equations(batches: Iterator[pd.DataFrame], v: np.ndarray = v, noise: float = noise) -> Iterator[pd.DataFrame]:
+        def equations(batches: Iterator[pa.RecordBatch], v: np.ndarray = v, noise: float = noise) -> Iterator[pa.RecordBatch]:
             total = np.zeros((WINDOW, width))
-            for pdf in batches:
-                for _, _, blocks in _components(pdf, series):
-                    for block in blocks.values():
-                        _, _, o, y, _ = _rows(*block, least_cells)
-                        if len(o):
-                            total += time_equations(o, y, v, noise)
-            yield pd.DataFrame({"period": np.arange(WINDOW), "sums": list(total)})
-
-        sums = matrix.mapInPandas(equations, "period int, sums array<double>").select("period", F.posexplode("sums").alias("at", "part"))
+            for batch in batches:
+                for _, _, blocks in _components(batch, series):
+                    total += time_equations([_rows(*block, least_cells)[2:4] for block in blocks.values()], v, noise)
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(WINDOW + 1) * width, pa.int32()), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_pydict({"period": pa.array(np.arange(WINDOW), pa.int32()), "sums": sums})
+
+        sums = fitted.mapInArrow(equations, "period int, sums array<double>").select("period", F.posexplode("sums").alias("at", "part"))
         lines = sums.groupBy("period", "at").agg(F.sum("part").alias("total")).collect()  # WINDOW x width numbers, whatever the input
         total = np.zeros((WINDOW, width))
         for period, at, part in lines:
@@ -282,52 +337,58 @@ def regular_grid(
         if abs(noise - before) <= tolerance * before:
             break
 
-    def entries(batches: Iterator[pd.DataFrame], v: np.ndarray = v, noise: float = noise, known: np.ndarray = known) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for own, places, blocks in _components(pdf, series):
+    def entries(batches: Iterator[pa.RecordBatch], v: np.ndarray = v, noise: float = noise, known: np.ndarray = known) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, places, blocks in _components(batch, series):
                 seen, high = _dense(own, places, [f"{s}_seen" for s in series], bool), _high(own)
                 inside = np.arange(places[0][1]) <= own["last_slot"].to_numpy()[:, None]
                 row, col = np.nonzero(inside)
-                ids = own["source_id"].to_numpy(object)[row]
-                for s, block in blocks.items():
-                    found, sd = _fill(*block, seen[f"{s}_seen"] | ~inside, v, noise, known, least_cells)
+                ids = own["source_id"].take(pa.array(row))
+                fills = _fill(list(blocks.values()), [seen[f"{s}_seen"] | ~inside for s in series], v, noise, known, least_cells)
+                for (s, block), (found, sd) in zip(blocks.items(), fills):
                     low = -high if s in signed else np.zeros(len(high))
                     with np.errstate(invalid="ignore"):
-                        able = ((found >= low[:, None, None]) & (found <= high[:, None, None])).all(2)
+                        able = ((found >= low[:, None, None]) & (found <= high[:, None, None])).all(1)
                     state = np.where(seen[f"{s}_seen"], 2, able.astype(int))[row, col]
-                    out = {"bundle_id": ids, "slot": col.astype(np.int64), "series": s, "state": STATES[state], "x": np.nan, "y": np.nan, "sd": np.where(state == 1, sd[row, col], np.nan)}
-                    for k, name in zip(range(found.shape[2]), "xy"):
-                        out[name] = np.where(state == 2, block[0][row, col, k], np.where(state == 1, found[row, col, k], np.nan))
-                    yield pd.DataFrame(out)
-
-    out = matrix.mapInPandas(entries, "bundle_id string, slot long, series string, state string, x double, y double, sd double")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "sd")})
-
-
-def _fill(value: np.ndarray, use: np.ndarray, scale: np.ndarray, settled: np.ndarray, v: np.ndarray, noise: float, known: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fitted values and standard deviation of the cells not settled, from the window in which each is most central
-    among those whose time factors are known there."""
-    at, first, o, y, mean = _rows(value, use, scale, least)
-    slots, parts = value.shape[1:]
-    shape = (len(value), slots + WINDOW)
-    found, spread, off = np.full((*shape, parts), np.nan), np.full(shape, np.nan), np.full(shape, np.inf)
-    left = np.pad(~settled, [(0, 0), (0, WINDOW)])
+                    out = {"bundle_id": ids, "slot": pa.array(col, pa.int64()), "series": pa.repeat(s, len(row)), "state": STATES.take(pa.array(state))}
+                    for k, name in enumerate("xy"):
+                        number = np.where(state == 2, block[0][row, k, col], np.where(state == 1, found[row, k, col], np.nan)) if k < found.shape[1] else np.full(len(row), np.nan)
+                        out[name] = pa.array(number, from_pandas=True)
+                    out["sd"] = pa.array(np.where(state == 1, sd[row, col], np.nan), from_pandas=True)
+                    yield pa.RecordBatch.from_pydict(out)
+
+    return matrix.mapInArrow(entries, "bundle_id string, slot long, series string, state string, x double, y double, sd double")
+
+
+def _fill(blocks: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], settled: Sequence[np.ndarray], v: np.ndarray, noise: float, known: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per series, fitted values and standard deviation of the cells not settled, from the window in which each is most
+    central among those whose time factors are known there."""
+    rows = []
+    for block, done in zip(blocks, settled):
+        at, first, *rest = _rows(*block, least)
+        left = np.pad(~done, [(0, 0), (0, WINDOW)])
+        own = np.flatnonzero(sliding_window_view(left, WINDOW, axis=1)[at, first].any(1))  # a window without missing cells needs no factors
+        rows.append([c[own] for c in (at, first, *rest)])
+    values, variances = [np.empty_like(r[3]) for r in rows], [np.empty(r[2].shape) for r in rows]
+    for _, cov, solved in source_factors([(r[2], r[3]) for r in rows], v, noise):
+        variance = (_squares(v) @ cov.reshape(v.shape[1] ** 2, -1)).T + noise
+        for value, spread, (at, pattern, u) in zip(values, variances, solved):
+            value[at], spread[at] = (u.reshape(-1, v.shape[1]) @ v.T).reshape(len(u), -1, WINDOW), variance[pattern]
     beside = np.where(known, np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2), np.inf)
-    for f in np.unique(first):
-        own = np.flatnonzero(first == f)
-        own = own[left[at[own], f : f + WINDOW].any(1)]  # a window without missing cells needs no factors
-        if not len(own):
-            continue
-        u, cov, pattern = source_factors(o[own], y[own], v, noise)
-        part = np.ix_(at[own], np.arange(f, f + WINDOW))
-        nearer = beside < off[part]
-        variance = (np.matmul(v, cov) * v).sum(2)[pattern] + noise
-        size = scale[at[own]]
-        fitted = np.einsum("nqk,wq->nwk", u, v, optimize=True) * size[:, None] + mean[own][:, None]
-        found[part] = np.where(nearer[..., None], fitted, found[part])
-        spread[part] = np.where(nearer, np.sqrt(variance * (size**2).sum(1)[:, None]), spread[part])
-        off[part] = np.where(nearer, beside, off[part])
-    return found[:, :slots], spread[:, :slots]
+    out = []
+    for (value, _, scale), (at, first, _, _, mean), fitted, variance in zip(blocks, rows, values, variances):
+        sources, parts, slots = value.shape
+        found, spread, off = np.full((sources, slots + WINDOW, parts), np.nan), np.full((sources, slots + WINDOW), np.nan), np.full((sources, slots + WINDOW), np.inf)
+        for f in np.unique(first):
+            own = np.flatnonzero(first == f)
+            part, size = np.ix_(at[own], np.arange(f, f + WINDOW)), scale[at[own]]
+            nearer = beside < off[part]
+            moved = (fitted[own] * size[..., None] + mean[own][..., None]).transpose(0, 2, 1)
+            found[part] = np.where(nearer[..., None], moved, found[part])
+            spread[part] = np.where(nearer, np.sqrt(variance[own] * (size**2).sum(1)[:, None]), spread[part])
+            off[part] = np.where(nearer, beside, off[part])
+        out.append((found[:, :slots].transpose(0, 2, 1), spread[:, :slots]))
+    return out
 
 
 def _finite(v: Column) -> Column:
